@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scores as S
 from ..functions.scores import eps_log2, log2_draws
 from ..operators.quantiles import exact_quantiles, grid_quantiles
 
@@ -44,8 +45,9 @@ def k_from_eps_quantile(rows: DataFrame, grid: DataFrame, q: float, low: float,
     """The same where the ``q`` quantile of the bounds, not the largest, equals epsilon; all points together.
 
     A row's bound passes e at its own k = (e - log2 T - g) / N, so the two order statistics of that
-    value at 1 - q enclose the solution. Bisection starts from there and needs few steps; the
-    grid's state is small and lives in the driver.
+    value at 1 - q enclose the solution. The bounds' quantile is piecewise linear in k, so
+    interpolation with an occasional bisection needs few steps. The grid's state, one bracket per
+    point, lives in the driver.
     """
     spark = rows.sparkSession
     rows = rows.select(F.col(generator).alias("g"), F.col(n).alias("n")).withColumn("slope", -F.col("g") / F.col("n"))
@@ -56,26 +58,47 @@ def k_from_eps_quantile(rows: DataFrame, grid: DataFrame, q: float, low: float,
     edge = 1.0 / max(count - 1, 1)
     around = [max(0.0, 1.0 - q - 1.5 * edge), min(1.0, 1.0 - q + 1.5 * edge)]
     start = grid_quantiles(rows, "slope", "n", grid.select("grid_id", "log10_eps"), ["grid_id"], own, crossing, around)
-    state: dict[int, list[float]] = {i: [low, high] for i in points}
-    for r in start.groupBy("grid_id").agg(F.min("quantile").alias("a"), F.max("quantile").alias("b")).collect():
-        state[r["grid_id"]] = [min(max(r["a"], low), high), min(max(r["b"], low), high)]
+    target = {i: float(e) / S.LOG10_2 for i, e in points.items()}
+
+    def gap(ks: list[tuple[int, int, float]]) -> dict[tuple[int, int], float]:
+        """Quantile of the bounds minus epsilon at each (point, slot, k)."""
+        at = spark.createDataFrame(ks, "grid_id int, slot int, k double")
+        bound = F.col("g") + log2_draws(draws) + F.col("k") * F.col("n")
+        shift = log2_draws(draws) + F.col("k") * F.col("n")
+        found = grid_quantiles(rows, "g", "n", at, ["grid_id", "slot"], shift, bound, [q]).collect()
+        return {(r["grid_id"], r["slot"]): r["quantile"] - target[r["grid_id"]] for r in found}
+
+    ends = {
+        r["grid_id"]: [min(max(r["a"], low), high), min(max(r["b"], low), high)]
+        for r in start.groupBy("grid_id").agg(F.min("quantile").alias("a"), F.max("quantile").alias("b")).collect()
+    }
     solved: dict[int, float] = {}
-    e_log2 = {i: float(e) / 0.30102999566398120 for i, e in points.items()}
-    for _ in range(max_steps):
-        active = {i: (a + b) / 2 for i, (a, b) in state.items() if i not in solved}
+    first = gap([(i, s, k) for i, ab in ends.items() for s, k in enumerate(ab)])
+    state = {i: [ab[0], first[i, 0], ab[1], first[i, 1]] for i, ab in ends.items()}
+    widen = [i for i, (_, fa, _, fb) in state.items() if fa > 0 or fb < 0]
+    if widen:
+        outer = gap([(i, s, k) for i in widen for s, k in enumerate((low, high))])
+        for i in widen:
+            state[i] = [low, outer[i, 0], high, outer[i, 1]]
+    for i, (a, fa, b, fb) in state.items():
+        if fa >= 0 or fb <= 0:
+            # At an end of the bracket the bound already meets or can never reach epsilon.
+            solved[i] = a if fa >= 0 else b
+    for step in range(max_steps):
+        active = {
+            i: (a + (b - a) * fa / (fa - fb) if step % 4 < 3 else (a + b) / 2)
+            for i, (a, fa, b, fb) in state.items() if i not in solved
+        }
         if not active:
             break
-        mids = spark.createDataFrame(list(active.items()), "grid_id int, k double")
-        bound = F.col("g") + log2_draws(draws) + F.col("k") * F.col("n")
-        shift = log2_draws(draws) + F.col("k") * F.col("n")
-        for r in grid_quantiles(rows, "g", "n", mids, ["grid_id"], shift, bound, [q]).collect():
-            i, mid = r["grid_id"], active[r["grid_id"]]
-            a, b = state[i]
-            if abs(r["quantile"] - e_log2[i]) < tolerance or b - a < 1e-12:
-                solved[i] = mid
-            elif r["quantile"] > e_log2[i]:
-                state[i][1] = mid
+        at = gap([(i, 0, k) for i, k in active.items()])
+        for i, k in active.items():
+            f = at[i, 0]
+            if abs(f) < tolerance:
+                solved[i] = k
+            elif f > 0:
+                state[i][2:] = [k, f]
             else:
-                state[i][0] = mid
-    ks = [(i, solved.get(i, sum(state[i]) / 2)) for i in points]
+                state[i][:2] = [k, f]
+    ks = [(i, solved.get(i, (state[i][0] + state[i][2]) / 2)) for i in points]
     return grid.join(F.broadcast(spark.createDataFrame(ks, "grid_id int, k double")), "grid_id")
