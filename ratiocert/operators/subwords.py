@@ -47,23 +47,35 @@ def merge(words: DataFrame, left: str, right: str) -> DataFrame:
     return words.withColumn("symbols", F.replace("symbols", before, F.lit(f"{OPEN}{left}{right}{CLOSE}")))
 
 
+def updated_pairs(pairs: DataFrame, words: DataFrame, left: str, right: str) -> DataFrame:
+    """Pair counts after one merge: only words that hold the pair are counted again."""
+    touched = words.where(F.contains("symbols", F.lit(f"{OPEN}{left}{CLOSE}{OPEN}{right}{CLOSE}")))
+    gone = pair_counts(touched).withColumn("freq", -F.col("freq"))
+    come = pair_counts(merge(touched, left, right))
+    changed = pairs.unionByName(gone).unionByName(come).groupBy("left", "right").agg(F.sum("freq").alias("freq"))
+    return changed.where(F.col("freq") > 0)
+
+
 def learn_merges(corpus: DataFrame, tokens: Column, vocabulary: int | None = None, rounds: int | None = None,
                  special: int = 4, cut_every: int = 8) -> DataFrame:
     """(rank, left, right, freq) of the merges up to a vocabulary size or number of rounds.
 
-    Each round counts pairs over distinct words and brings one row back. The growing chain of
-    rewrites is cut in the shared folder every few rounds.
+    Pairs are counted over distinct words once; each round brings one row to the driver and counts
+    only the words it changes. Pair counts are stored every round, the chain of word rewrites every
+    few rounds, in the shared folder.
     """
     words = cut_lineage(as_symbols(word_counts(corpus, tokens)))
     if rounds is None:
         alphabet = words.select(F.explode(F.split("word", "")).alias("c")).where("c <> ''").distinct().count()
         rounds = max(vocabulary - special - alphabet, 0)
+    pairs = cut_lineage(pair_counts(words))
     learned = []
     for step in range(rounds):
-        top = best_pair(pair_counts(words))
+        top = best_pair(pairs)
         if top is None:
             break
         learned.append((step, top["left"], top["right"], top["freq"]))
+        pairs = cut_lineage(updated_pairs(pairs, words, top["left"], top["right"]))
         words = merge(words, top["left"], top["right"])
         if (step + 1) % cut_every == 0:
             words = cut_lineage(words)
