@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def overlap_tokens(text: Column) -> Column:
@@ -47,7 +48,7 @@ def f_measure(overlap: Column, n_response: Column, n_target: Column) -> Column:
     return F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(F.lit(0.0))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def common_subsequence(left: pd.Series, right: pd.Series) -> pd.Series:
     """Length of the longest common subsequence of two token arrays (bit-parallel rows)."""
 

@@ -21,13 +21,18 @@ def sequence_length(max_length: int, constant: bool, seed: int, row_id: Column)
     return (F.lit(1) + seeded_int(f"{seed}-length", F.lit(max_length), row_id)).cast("int")
 
 
+def with_population(rows: DataFrame, n_int: int, n_char: int, modality: str, name: str) -> DataFrame:
+    """Every row with the item array, which is built once."""
+    pool = rows.sparkSession.range(0, 1, 1, 1).select(T.population(n_int, n_char, modality).alias(name))
+    return rows.crossJoin(F.broadcast(pool))
+
+
 def sequences(ids: DataFrame, row_id: str, task: str, max_length: int, n_int: int, n_char: int, seed: int,
               modality: str = "mixed", constant: bool = False) -> DataFrame:
     """Adds ``input`` and ``answer`` texts for every id; each row draws its own items, without a shuffle."""
-    pool = T.population(n_int, n_char, modality)
-    rid = F.col(row_id)
+    pool, rid = F.col("__pool"), F.col(row_id)
     drawn = T.drawn_items(pool, sequence_length(max_length, constant, seed, rid), seed, rid)
-    items = ids.select(row_id, drawn.alias("items"))
+    items = with_population(ids, n_int, n_char, modality, "__pool").select(row_id, "__pool", drawn.alias("items"))
     return items.select(
         row_id,
         F.array_join("items", " ").alias("input"),

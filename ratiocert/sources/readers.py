@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
+from ..operators.ordering import row_positions
 
 
 def score_runs(spark: SparkSession, root: str | Sequence[str], schema: T.StructType | None = None) -> DataFrame:
@@ -20,12 +21,13 @@ def score_runs(spark: SparkSession, root: str | Sequence[str], schema: T.StructT
     return reader.parquet(*([root] if isinstance(root, str) else list(root)))
 
 
-def gate_results(spark: SparkSession, path: str) -> DataFrame:
-    """(idx, result fields) of every file {"config", "results", "metrics"}.
+def gate_results(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """(idx, result fields) of every document {"config", "results", "metrics"}.
 
-    A file is one JSON document and so one row; write large results as line-wise tables instead.
+    By default a file is one JSON document and so one row; without ``multi_line`` a file holds one
+    document per line, which is the form for large results.
     """
-    files = spark.read.schema(schemas.GATE_RESULTS_FILE).json(path, multiLine=True)
+    files = spark.read.schema(schemas.GATE_RESULTS_FILE).json(path, multiLine=multi_line)
     return files.select(F.posexplode("results").alias("idx", "r")).select("idx", "r.*")
 
 
@@ -36,27 +38,29 @@ def qa_corpus(spark: SparkSession, path: str, schema: T.StructType = schemas.QA_
     return df.withColumnsRenamed(renames or {})
 
 
-def prompt_responses(spark: SparkSession, path: str) -> DataFrame:
-    """(idx, prompt, response) of files {"data": [{prompt, response}]}."""
-    files = spark.read.schema(schemas.PROMPT_RESPONSE_FILE).json(path, multiLine=True)
+def prompt_responses(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """(idx, prompt, response) of documents {"data": [{prompt, response}]}."""
+    files = spark.read.schema(schemas.PROMPT_RESPONSE_FILE).json(path, multiLine=multi_line)
     return files.select(F.posexplode("data").alias("idx", "p")).select("idx", "p.*")
 
 
-def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
-
-
-def text_lines(spark: SparkSession, path: str, chars: int, n: int) -> DataFrame:
-    """The first ``n`` lines in file order, stripped and cut to ``chars`` characters.
-
-    Order comes from file path, block start and the row's place in its block.
-    """
-    lines = spark.read.text(path).select(
+def file_ordered(spark: SparkSession, path: str) -> DataFrame:
+    """Text lines with columns (file, block, row) that sort them in file order."""
+    return spark.read.text(path).select(
         "value",
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
     )
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def text_lines(spark: SparkSession, path: str, chars: int, n: int) -> DataFrame:
+    """The first ``n`` lines in file order (all where negative), stripped and cut to ``chars`` characters."""
+    lines = file_ordered(spark, path)
     first = lines.orderBy("file", "block", "row")
     first = first.limit(n) if n >= 0 else first
     return first.select(F.substring(stripped(F.col("value")), 1, chars).alias("line"))
@@ -73,8 +77,9 @@ def category_list(spark: SparkSession, folder: str, name: str = "categories.txt"
         path = posixpath.join(place, name)
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
         if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-            names = whole_texts(spark, path).select(F.posexplode(F.split(F.regexp_replace("text", r"\n$", ""), "\n")).alias("idx", "c"))
-            return names.select(F.trim("c").alias("category"), "idx")
+            lines = file_ordered(spark, path).where(F.trim("value") != "")
+            placed = row_positions(lines, ["file", "block", "row"])
+            return placed.select(F.trim("value").alias("category"), "idx")
     raise FileNotFoundError(f"{name} is neither in {folder} nor in its parent")
 
 
