@@ -22,41 +22,36 @@ def half_of(text: Column, seed: int, prefix: int = 40) -> Column:
     return (F.conv(first, 16, 10).cast("int") % 2).alias("half")
 
 
-def vocabulary(train: DataFrame, tokens: str, min_count: int) -> DataFrame:
-    """(tok, n): training tokens seen at least ``min_count`` times."""
-    return (
-        train.select(F.explode(tokens).alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= min_count)
-    )
+def pair_table(train: DataFrame, tokens: str, in_domain: Column) -> DataFrame:
+    """(prev, tok, c, c_in): how often each token follows each other, in all and in in-domain text.
+
+    The only pass over the training text; both models are derived from this much smaller table.
+    The first token of a text follows the start token.
+    """
+    pairs = train.select(F.explode(bigrams(F.col(tokens), F.lit(BOS))).alias("p"), in_domain.alias("__in"))
+    return pairs.groupBy("p.prev", "p.tok").agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("__in")).alias("c_in"))
 
 
-def unigram_table(train: DataFrame, tokens: str, in_domain: Column, min_count: int = 3, alpha: float = 0.5) -> DataFrame:
+def unigram_table(pairs: DataFrame, min_count: int = 3, alpha: float = 0.5) -> DataFrame:
     """(tok, n, p_generator, p_model, n_context): one row per vocabulary token and one for unknowns.
 
     ``n`` counts the token in all training text; ``p_generator`` is fitted on in-domain text only,
     ``p_model`` on all of it; ``n_context`` counts how often the token is followed by another.
     Both models share the vocabulary, without which their ratio would mean nothing.
     """
-    flagged = train.select(F.col(tokens).alias("t"), in_domain.alias("__in"))
-    occurrences = flagged.select(F.posexplode("t").alias("pos", "tok"), F.size("t").alias("len"), "__in")
-    per_token = occurrences.groupBy("tok").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("__in")).alias("n_in"),
-        F.count_if(F.col("pos") < F.col("len") - 1).alias("n_context"),
-    )
+    zero = F.lit(0).cast("long")
+    sides = pairs.select("tok", F.col("c").alias("n"), F.col("c_in").alias("n_in"), zero.alias("n_context")).unionByName(
+        pairs.where(F.col("prev") != BOS).select(
+            F.col("prev").alias("tok"), zero.alias("n"), zero.alias("n_in"), F.col("c").alias("n_context")))
+    sums = lambda df, key: df.groupBy(key).agg(*[F.sum(c).alias(c) for c in ("n", "n_in", "n_context")])
+    per_token = sums(sides, "tok")
     known = F.when(F.col("n") >= min_count, F.col("tok")).otherwise(F.lit(UNK))
-    merged = per_token.groupBy(known.alias("tok")).agg(
-        F.sum("n").alias("n"), F.sum("n_in").alias("n_in"), F.sum("n_context").alias("n_context")
-    )
     # The unknown token belongs to the vocabulary even where training has none.
-    spark = train.sparkSession
-    empty = spark.createDataFrame([(UNK, 0, 0, 0)], "tok string, n long, n_in long, n_context long")
-    table = merged.unionByName(empty).groupBy("tok").agg(
-        F.sum("n").alias("n"), F.sum("n_in").alias("n_in"), F.sum("n_context").alias("n_context")
-    )
-    sums = table.agg(F.sum("n").alias("__n"), F.sum("n_in").alias("__in"), F.count(F.lit(1)).alias("__v"))
-    smooth = lambda c, total: (c + F.lit(alpha)) / (total + F.lit(alpha) * F.col("__v"))
-    return table.crossJoin(F.broadcast(sums)).select(
+    empty = pairs.sparkSession.createDataFrame([(UNK, 0, 0, 0)], "tok string, n long, n_in long, n_context long")
+    table = sums(per_token.withColumn("tok", known).unionByName(empty), "tok")
+    total = table.agg(F.sum("n").alias("__n"), F.sum("n_in").alias("__in"), F.count(F.lit(1)).alias("__v"))
+    smooth = lambda c, of: (c + F.lit(alpha)) / (of + F.lit(alpha) * F.col("__v"))
+    return table.crossJoin(F.broadcast(total)).select(
         "tok", "n", "n_context",
         smooth(F.col("n_in"), F.col("__in")).alias("p_generator"),
         smooth(F.col("n"), F.col("__n")).alias("p_model"),
@@ -83,19 +78,17 @@ def known_pairs(pairs: DataFrame, vocab: DataFrame, count: str) -> DataFrame:
     return mapped.groupBy(prev.alias("prev"), F.col("__tok").alias("tok")).agg(F.sum(count).alias(count))
 
 
-def bigram_table(train: DataFrame, tokens: str, unigrams: DataFrame) -> DataFrame:
-    """(prev, tok, c): pair counts over all training text in the shared vocabulary.
+def bigram_table(pairs: DataFrame, unigrams: DataFrame) -> DataFrame:
+    """(prev, tok, c): pair counts in the shared vocabulary, without text beginnings.
 
-    Pairs are counted before the vocabulary is applied, so the lookups see each distinct pair once.
+    The vocabulary is applied to counted pairs, so the lookups see each distinct pair once.
     """
-    inner = F.filter(bigrams(F.col(tokens), F.lit(BOS)), lambda p: p["prev"] != BOS)
-    raw = train.select(F.explode(inner).alias("p")).groupBy("p.prev", "p.tok").agg(F.count(F.lit(1)).alias("c"))
-    return known_pairs(raw, unigrams, "c")
+    return known_pairs(pairs.where(F.col("prev") != BOS).select("prev", "tok", "c"), unigrams, "c")
 
 
 def score_sequences(samples: DataFrame, sample_id: str, prompt: str, response: str, unigrams: DataFrame,
-                    pairs: DataFrame, lam: float = 0.6, scope: str = "y|x") -> DataFrame:
-    """(sample_id, ll_model, ll_generator, n_token): natural-log scores of every sample.
+                    pairs: DataFrame, lam: float = 0.6, scope: str = "y|x", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(sample_id, carry, ll_model, ll_generator, n_token): natural-log scores of every sample.
 
     Under ``y|x`` the first response token is conditioned on the last prompt token, under ``y`` on
     the start token, and ``x+y`` scores prompt and response together. The generator is a unigram.
@@ -112,14 +105,14 @@ def score_sequences(samples: DataFrame, sample_id: str, prompt: str, response: s
     else:
         raise ValueError(f"unknown scope {scope!r}")
     used = (
-        samples.select(sample_id, F.explode(grams).alias("p"))
-        .groupBy(sample_id, "p.prev", "p.tok")
+        samples.select(sample_id, *carry, F.explode(grams).alias("p"))
+        .groupBy(sample_id, *carry, "p.prev", "p.tok")
         .agg(F.count(F.lit(1)).alias("times"))
     )
     scored = pair_scores(used.select("prev", "tok").distinct(), unigrams, pairs, lam)
     return (
         used.join(scored, ["prev", "tok"])
-        .groupBy(sample_id)
+        .groupBy(sample_id, *carry)
         .agg(
             F.sum(F.col("times") * F.col("ln_model")).alias("ll_model"),
             F.sum(F.col("times") * F.col("ln_generator")).alias("ll_generator"),

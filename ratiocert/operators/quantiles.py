@@ -3,30 +3,44 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..session import cut_lineage
 from .ordering import values_at_ranks
 
 # Up to this many rows the built-in aggregate's map of distinct values is known to fit in memory.
-SMALL_ROWS = 2_000_000
+SMALL_ROWS = 1_000_000
+# Rank error of the sketches is 1 / SKETCH of the group.
+SKETCH = 10_000
+# Up to this many groups a table of group brackets is broadcast.
+SMALL_GROUPS = 10_000
+# Cells of a grid search: bounds what is read to the driver and sent to the tasks (some 10 MB).
+MAX_CELLS = 1 << 18
 
 
 def _fractions(qs: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(q)) for q in qs])
 
 
-def _interpolated(found: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _interpolated(found: DataFrame, keys: Sequence[str], only: Column | None = None) -> DataFrame:
     """Two neighbouring order statistics per quantile to one number."""
     low = F.max(F.when(F.col("target.side") == 0, F.col("value")))
     high = F.max(F.when(F.col("target.side") == 1, F.col("value")))
     frac = F.max("target.frac")
-    return found.groupBy(*keys, F.col("target.q").alias("q")).agg((low + (high - low) * frac).alias("quantile"))
+    out = found.groupBy(*keys, F.col("target.q").alias("q")).agg(
+        (low + (high - low) * frac).alias("quantile"), (F.lit(True) if only is None else only).alias("__keep")
+    )
+    return out.where("__keep").drop("__keep")
 
 
-def _rank_targets(totals: DataFrame, keys: Sequence[str], qs: Sequence[float], base: Column | None = None) -> DataFrame:
+def _rank_targets(totals: DataFrame, keys: Sequence[str], qs: Sequence[float]) -> DataFrame:
     """Rows (keys, target, rank) for the two order statistics around each quantile."""
     spread = totals.withColumn("q", F.explode(_fractions(qs)))
     place = F.col("q") * (F.col("total") - 1)
@@ -35,20 +49,20 @@ def _rank_targets(totals: DataFrame, keys: Sequence[str], qs: Sequence[float], b
         F.struct(F.lit(0).alias("side"), low.alias("rank")),
         F.struct(F.lit(1).alias("side"), F.least(low + 1, F.col("total") - 1).alias("rank")),
     )
-    shifted = F.col("s.rank") if base is None else F.col("s.rank") - base
     return spread.withColumn("s", F.explode(sides)).select(
         *keys,
         F.struct("q", F.col("s.side").alias("side"), (place - low).alias("frac")).alias("target"),
-        shifted.alias("rank"),
+        F.col("s.rank").alias("rank"),
     )
 
 
 def exact_quantiles(df: DataFrame, value: Column | str, qs: Sequence[float], group: Sequence[str] = (),
-                    small_rows: int = SMALL_ROWS) -> DataFrame:
+                    small_rows: int = SMALL_ROWS, sketch: int = SKETCH) -> DataFrame:
     """(group, q, quantile) rows. NULL values are left out.
 
-    Small inputs (checked by a count) use the built-in aggregate. Larger ones are reduced to
-    distinct values and ranked over a range partitioning, so no task holds a whole group.
+    Small inputs (checked by a count) use the built-in aggregate. For larger ones a sketch of
+    bounded size brackets each quantile, one pass counts the rows below the brackets, and only
+    the few rows inside are ranked. The result is exact: should a bracket miss, all values are ranked.
     """
     column = F.col(value) if isinstance(value, str) else value
     rows = df.select(*group, column.cast("double").alias("__v")).where(F.col("__v").isNotNull())
@@ -56,9 +70,65 @@ def exact_quantiles(df: DataFrame, value: Column | str, qs: Sequence[float], gro
         packed = rows.groupBy(*group).agg(F.percentile("__v", _fractions(qs)).alias("__p"))
         pairs = F.arrays_zip(_fractions(qs).alias("q"), F.col("__p").alias("quantile"))
         return packed.where(F.col("__p").isNotNull()).select(*group, F.inline(pairs).alias("q", "quantile"))
-    counts = rows.groupBy(*group, "__v").agg(F.count(F.lit(1)).alias("__n"))
+    found, n_groups = _bracketed_quantiles(rows, qs, group, sketch)
+    if found.count() == n_groups * len(qs):
+        return found
+    return ranked_quantiles(rows, "__v", qs, group)
+
+
+def ranked_quantiles(rows: DataFrame, value: str, qs: Sequence[float], group: Sequence[str] = ()) -> DataFrame:
+    """The same by ranking all distinct values over a range partitioning; no task holds a whole group."""
+    counts = rows.groupBy(*group, value).agg(F.count(F.lit(1)).alias("__n"))
     totals = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("total"))
-    return _interpolated(values_at_ranks(counts, "__v", "__n", _rank_targets(totals, group, qs), group), group)
+    return _interpolated(values_at_ranks(counts, value, "__n", _rank_targets(totals, group, qs), group), group)
+
+
+def _bracketed_quantiles(rows: DataFrame, qs: Sequence[float], group: Sequence[str], sketch: int) -> tuple[DataFrame, int]:
+    """Quantiles whose bracket held, stored, and the number of groups."""
+    margin = 2.0 / sketch
+    lows, highs = [q - margin for q in qs], [q + margin for q in qs]
+    probes = _fractions([min(max(p, 0.0), 1.0) for p in (*lows, *highs)])
+    n = len(qs)
+    low = [F.min("__v") if p <= 0 else None for p in lows]
+    high = [F.max("__v") if p >= 1 else None for p in highs]
+    sketched = rows.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("total"), F.min("__v").alias("__min"), F.max("__v").alias("__max"),
+        F.percentile_approx("__v", probes, F.lit(sketch)).alias("__p"),
+    )
+    brackets = cut_lineage(sketched.select(
+        *group, "total",
+        *[(F.col("__min") if low[j] is not None else F.col("__p")[j]).alias(f"__lo{j}") for j in range(n)],
+        *[(F.col("__max") if high[j] is not None else F.col("__p")[n + j]).alias(f"__hi{j}") for j in range(n)],
+    ))
+    n_groups = brackets.count()
+    small = F.broadcast(brackets) if n_groups <= SMALL_GROUPS else brackets
+    met = rows.join(small, list(group)) if group else rows.crossJoin(small)
+    below = met.groupBy(*group).agg(
+        F.max("total").alias("total"),
+        *[F.count_if(F.col("__v") < F.col(f"__lo{j}")).alias(f"__b{j}") for j in range(n)],
+    )
+    inside = F.filter(
+        F.array(*[F.when(F.col("__v").between(F.col(f"__lo{j}"), F.col(f"__hi{j}")), F.lit(j)) for j in range(n)]),
+        lambda x: x.isNotNull(),
+    )
+    candidates = met.select(*group, "__v", F.explode(inside).alias("__j"))
+    counts = candidates.groupBy(*group, "__j", "__v").agg(F.count(F.lit(1)).alias("__n"))
+    base = F.element_at(F.array(*[F.col(f"__b{j}") for j in range(n)]), (F.col("__j") + 1))
+    targets = below.select(
+        *group, "total", F.posexplode(_fractions(qs)).alias("__j", "q"), *[f"__b{j}" for j in range(n)]
+    ).withColumn("__base", base)
+    place = F.col("q") * (F.col("total") - 1)
+    sides = F.array(
+        F.struct(F.lit(0).alias("side"), F.floor(place).alias("rank")),
+        F.struct(F.lit(1).alias("side"), F.least(F.floor(place) + 1, F.col("total") - 1).alias("rank")),
+    )
+    wanted = targets.withColumn("s", F.explode(sides)).select(
+        *group, "__j", F.struct("q", F.col("s.side").alias("side"), (place - F.floor(place)).alias("frac")).alias("target"),
+        (F.col("s.rank") - F.col("__base")).alias("rank"),
+    )
+    both = F.count_distinct("target.side") == 2
+    hits = values_at_ranks(counts, "__v", "__n", wanted, [*group, "__j"])
+    return cut_lineage(_interpolated(hits, group, both)), n_groups
 
 
 def wide_quantiles(long: DataFrame, keys: Sequence[str], names: dict[float, str]) -> DataFrame:
@@ -68,94 +138,123 @@ def wide_quantiles(long: DataFrame, keys: Sequence[str], names: dict[float, str]
     )
 
 
-def _cells_for(rows: int) -> int:
-    """Cells per length: finer as the table grows, so that few rows share a cell with the answer."""
-    return int(min(max(math.isqrt(rows) // 4, 128), 65536))
-
-
-def grid_quantiles(rows: DataFrame, base: str, length: str, grid: DataFrame, keys: Sequence[str], shift: Column,
-                   exact: Column, qs: Sequence[float], cells: int | None = None,
+def grid_quantiles(rows: DataFrame, base: str, length: str, grid: DataFrame, keys: Sequence[str], scale: Column,
+                   offset: Column, factor: Column, exact: Column, qs: Sequence[float], max_cells: int = MAX_CELLS,
                    small_rows: int = SMALL_ROWS) -> DataFrame:
-    """Exact quantiles of ``base + shift(length, grid)`` over all rows, for every grid point.
+    """Exact quantiles of ``base + scale * factor + offset`` over all rows, for every grid point.
 
-    Crossing rows with the grid would evaluate rows x points values. Within one length the
-    shift is the same for all rows, so their order never changes: rows are counted once into
-    cells of (length, range of ``base``), the cells are crossed with the grid to find which of
-    them can hold the wanted ranks, and only rows of those cells are evaluated, by ``exact``
-    (which equals the shifted base up to rounding).
-
-    ``shift`` and ``exact`` may use the columns of the grid; ``shift`` no row column but the length.
+    ``scale`` and ``offset`` are columns of the grid, ``factor`` depends on the row's length alone.
+    Crossing rows with the grid would evaluate rows x points values. Within one length a grid point
+    shifts all rows alike, so their order never changes: rows are counted once into cells of (length,
+    range of ``base``), and each grid point finds from the cells alone which of them can hold the
+    wanted ranks. Only rows of those cells are evaluated, by ``exact``, which equals the expression
+    above up to rounding. The number of cells is bounded whatever the number of rows.
     """
-    spread = rows.agg(F.count(F.lit(1)), F.min(base), F.max(base)).first()
-    n_rows, low, high = spread[0], spread[1], spread[2]
+    grid = cut_lineage(grid)  # a small table, read by several steps
+    n_rows, n_lengths = rows.agg(F.count(F.lit(1)), F.count_distinct(length)).first()
     if n_rows == 0:
         raise ValueError("no rows to take quantiles of")
-    n_cells = cells or _cells_for(n_rows)
-    width = (high - low) / n_cells or 1.0
-    slack = 1e-9 * max(abs(low), abs(high), 1.0)
-    boxed = rows.withColumn("__cell", F.floor((F.col(base) - F.lit(low)) / F.lit(width)).cast("int"))
-    cell_stats = boxed.groupBy(length, "__cell").agg(
+    if n_lengths > max_cells:
+        crossed = rows.crossJoin(F.broadcast(grid)).select(*keys, exact.alias("__v"))
+        return exact_quantiles(crossed, "__v", qs, keys, small_rows)
+    per_length = max(min(max_cells // n_lengths, 2 * math.isqrt(n_rows)), 1)
+    boxed = _boxed(rows, base, per_length)
+    cells = boxed.groupBy(F.col(length).alias("__len"), factor.alias("__f"), "__cell").agg(
         F.count(F.lit(1)).alias("__n"), F.min(base).alias("__lo"), F.max(base).alias("__hi")
-    )
-    # One row per (grid point, cell) with the cell's bounds at this point, widened for rounding.
-    crossed = (
-        cell_stats.crossJoin(F.broadcast(grid))
-        .withColumn("__s", shift)
-        .select(
-            *keys, length, "__cell", "__n",
-            (F.col("__lo") + F.col("__s") - slack - 1e-12 * F.abs("__s")).alias("__lo"),
-            (F.col("__hi") + F.col("__s") + slack + 1e-12 * F.abs("__s")).alias("__hi"),
-        )
-    )
-    by_low = Window.partitionBy(*keys).orderBy("__lo").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    by_high = Window.partitionBy(*keys).orderBy("__hi").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = crossed.withColumn("__upto_lo", F.sum("__n").over(by_low)).withColumn("__upto_hi", F.sum("__n").over(by_high))
-    # The order statistic of a rank lies between the lower and upper cell bounds at that rank.
-    brackets = ranked
+    ).toPandas()
     places = []
-    for j, q in enumerate(qs):
+    for q in qs:
         first = math.floor(q * (n_rows - 1))
-        last = min(first + 1, n_rows - 1)
-        places.append((float(q), first, last, q * (n_rows - 1) - first))
-    aggs = []
-    for j, (_, first, last, _) in enumerate(places):
-        aggs.append(F.min(F.when(F.col("__upto_lo") > first, F.col("__lo"))).alias(f"__L{j}"))
-        aggs.append(F.min(F.when(F.col("__upto_hi") > last, F.col("__hi"))).alias(f"__U{j}"))
-    limits = brackets.groupBy(*keys).agg(*aggs)
-    # Cells that reach into the bracket are candidates; those wholly below it only count.
-    tagged = ranked.join(F.broadcast(limits), list(keys))
-    below = [F.sum(F.when(F.col("__hi") < F.col(f"__L{j}"), F.col("__n")).otherwise(0)).alias(f"__b{j}")
-             for j in range(len(places))]
-    bases = tagged.groupBy(*keys).agg(*below)
-    flags = F.filter(
-        F.array(*[F.when((F.col("__hi") >= F.col(f"__L{j}")) & (F.col("__lo") <= F.col(f"__U{j}")), F.lit(j))
-                  for j in range(len(places))]),
-        lambda x: x.isNotNull(),
-    )
-    wanted = tagged.withColumn("__j", F.explode(flags)).select(*keys, length, "__cell", "__j")
+        places.append((float(q), first, min(first + 1, n_rows - 1), q * (n_rows - 1) - first))
+    spots = cut_lineage(_searched(grid.select(*keys, scale.alias("__a"), offset.alias("__b")), keys, cells, places))
+    weighted = _with_weights(boxed, length, cells, n_rows)
+    wanted = spots.select(*keys, "__j", F.inline(F.arrays_zip("lens", "cells")).alias("__len", "__cell"))
     candidates = (
-        boxed.join(wanted, [length, "__cell"])
+        weighted.join(wanted.withColumnRenamed("__len", length), [length, "__cell"])
         .join(F.broadcast(grid), list(keys))
-        .select(*keys, "__j", exact.alias("__v"))
+        .select(*keys, "__j", exact.alias("__v"), "__w")
     )
-    targets = bases.select(*keys, F.explode(F.array(*[
+    groups = [*keys, "__j"]
+    counts = candidates.groupBy(*groups, "__v").agg(F.sum("__w").alias("__n"))
+    sides = F.array(*[
         F.struct(F.lit(j).alias("j"), F.lit(q).alias("q"), F.lit(side).alias("side"), F.lit(frac).alias("frac"),
-                 (F.lit(rank) - F.col(f"__b{j}")).alias("rank"))
+                 F.lit(rank).alias("rank"))
         for j, (q, first, last, frac) in enumerate(places) for side, rank in ((0, first), (1, last))
-    ])).alias("t")).select(
-        *keys, F.col("t.j").alias("__j"), F.struct("t.q", "t.side", "t.frac").alias("target"), F.col("t.rank").alias("rank")
+    ])
+    targets = spots.withColumn("t", F.explode(F.filter(sides, lambda s: s["j"] == F.col("__j")))).select(
+        *groups, F.struct("t.q", "t.side", "t.frac").alias("target"), (F.col("t.rank") - F.col("below")).alias("rank")
     )
-    groups = [*keys, "__j"]
-    counts = candidates.groupBy(*groups, "__v").agg(F.count(F.lit(1)).alias("__n"))
     if n_rows <= small_rows:
-        # Few rows per group are certain here: rank each group by a plain window.
+        # No group can exceed the small number of rows: a plain window ranks each.
         upto = Window.partitionBy(*groups).orderBy("__v")
-        local = counts.withColumn("__end", F.sum("__n").over(upto))
         found = (
-            local.join(F.broadcast(targets), groups)
+            counts.withColumn("__end", F.sum("__n").over(upto))
+            .join(F.broadcast(targets), groups)
             .where((F.col("rank") < F.col("__end")) & (F.col("rank") >= F.col("__end") - F.col("__n")))
             .select(*groups, "target", F.col("__v").alias("value"))
         )
     else:
         found = values_at_ranks(counts, "__v", "__n", targets, groups)
     return _interpolated(found, keys)
+
+
+def _boxed(rows: DataFrame, base: str, n: int) -> DataFrame:
+    """Adds ``__cell``: the place of ``base`` among about ``n`` evenly filled ranges."""
+    steps = [i / n for i in range(1, n)]
+    edges: list[float] = []
+    if steps:
+        found = rows.agg(F.percentile_approx(base, _fractions(steps), F.lit(max(2 * n, 1000)))).first()[0]
+        edges = sorted(set(found))
+    splits = [float("-inf"), *edges, float("inf")]
+    if len(splits) < 3:
+        return rows.withColumn("__cell", F.lit(0))
+    placed = Bucketizer(splits=splits, inputCol=base, outputCol="__bucket").transform(rows)
+    return placed.withColumn("__cell", F.col("__bucket").cast("int")).drop("__bucket")
+
+
+def _searched(grid: DataFrame, keys: Sequence[str], cells: pd.DataFrame, places: list) -> DataFrame:
+    """Per grid point and quantile: rows surely below, and the cells that can hold the wanted ranks.
+
+    The order statistic of a rank lies between the lower and the upper cell bounds at that rank, so
+    cells that end below the former are below, and cells that begin above the latter are above.
+    """
+    schema = T.StructType([
+        *[grid.schema[k] for k in keys], T.StructField("__j", T.IntegerType()), T.StructField("below", T.LongType()),
+        T.StructField("lens", T.ArrayType(T.LongType())), T.StructField("cells", T.ArrayType(T.IntegerType())),
+    ])
+    lens, ids = cells["__len"].to_numpy("int64"), cells["__cell"].to_numpy("int32")
+    factors, counts = cells["__f"].to_numpy("float64"), cells["__n"].to_numpy("int64")
+    los, his = cells["__lo"].to_numpy("float64"), cells["__hi"].to_numpy("float64")
+    names = list(keys)
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.to_dict("records"):
+                shift = row["__a"] * factors + row["__b"]
+                slack = 1e-9 * np.maximum(np.maximum(np.abs(los), np.abs(his)), np.maximum(np.abs(shift), 1.0))
+                low, high = los + shift - slack, his + shift + slack
+                by_low, by_high = np.argsort(low), np.argsort(high)
+                upto_low, upto_high = np.cumsum(counts[by_low]), np.cumsum(counts[by_high])
+                for j, (_, first, last, _) in enumerate(places):
+                    bottom = low[by_low[np.searchsorted(upto_low, first, side="right")]]
+                    top = high[by_high[np.searchsorted(upto_high, last, side="right")]]
+                    inside = (high >= bottom) & (low <= top)
+                    out.append((*[row[k] for k in names], j, int(counts[high < bottom].sum()), lens[inside], ids[inside]))
+            yield pd.DataFrame(out, columns=[f.name for f in schema.fields])
+
+    spread = grid.repartition(min(max(grid.sparkSession.sparkContext.defaultParallelism, 1), 256))
+    return spread.mapInPandas(search, schema)
+
+
+def _with_weights(boxed: DataFrame, length: str, cells: pd.DataFrame, n_rows: int, share: int = 1000) -> DataFrame:
+    """Adds ``__w``; equal rows of crowded cells, of which there are at most ``share``, become one row."""
+    crowded = cells[(cells["__n"] * share >= n_rows) & (cells["__n"] > share)]
+    if crowded.empty:
+        return boxed.withColumn("__w", F.lit(1).cast("long"))
+    spark = boxed.sparkSession
+    hot = F.broadcast(spark.createDataFrame(
+        [(int(a), int(b)) for a, b in zip(crowded["__len"], crowded["__cell"])], f"`{length}` long, __cell int"))
+    merged = boxed.join(hot, [length, "__cell"], "left_semi").groupBy(*boxed.columns).agg(F.count(F.lit(1)).alias("__w"))
+    rest = boxed.join(hot, [length, "__cell"], "left_anti").withColumn("__w", F.lit(1).cast("long"))
+    return merged.unionByName(rest)

@@ -23,11 +23,15 @@ def as_symbols(words: DataFrame) -> DataFrame:
 
 def pair_counts(words: DataFrame) -> DataFrame:
     """(left, right, freq) over neighbouring symbols of all words."""
-    parts = F.split(F.expr(f"substring(symbols, 2, length(symbols) - 2)"), CLOSE + OPEN)
-    listed = words.select(parts.alias("s"), "freq").where(F.size("s") > 1)
-    pairs = F.transform(
-        F.sequence(F.lit(1), F.size("s") - 1),
-        lambda i: F.struct(F.element_at("s", i).alias("left"), F.element_at("s", i + 1).alias("right")),
+    # One separator character, so that the split needs no pattern.
+    bare = F.replace("symbols", F.lit(CLOSE), F.lit(""))
+    listed = words.select(F.split(bare, OPEN).alias("s"), "freq")  # the first part is empty
+    pairs = F.filter(
+        F.zip_with(
+            F.slice("s", F.lit(2), F.size("s")), F.slice("s", F.lit(3), F.size("s")),
+            lambda a, b: F.struct(a.alias("left"), b.alias("right")),
+        ),
+        lambda p: p["right"].isNotNull(),
     )
     return (
         listed.select(F.explode(pairs).alias("p"), "freq")

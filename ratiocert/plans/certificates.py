@@ -34,12 +34,12 @@ def constriction_grid(rows: DataFrame, grid: DataFrame, keys: Sequence[str], qs:
         F.col("ll2_model"),
         S.upper_bound(F.col("ll2_generator"), F.col("n_token_response"), draws, F.col("k")),
     )
-    shift = (-F.col("k") * F.col("n_token_response") - S.log2_draws(draws)) / F.lit(S.LOG2_10)
+    scale, offset = -F.col("k") / F.lit(S.LOG2_10), -S.log2_draws(draws) / F.lit(S.LOG2_10)
     rows = rows.select(
         "ll2_model", "ll2_generator", "n_token_response",
         (S.log_ratio(F.col("ll2_model"), F.col("ll2_generator")) / F.lit(S.LOG2_10)).alias("__base"),
     )
-    return grid_quantiles(rows, "__base", "n_token_response", grid, keys, shift, exact, qs, **kwargs)
+    return grid_quantiles(rows, "__base", "n_token_response", grid, keys, scale, offset, F.col("n_token_response"), exact, qs, **kwargs)
 
 
 def constriction_by_frr(rows: DataFrame, frrs: Sequence[float] = FRR_TABLE, only_ood: bool = True,

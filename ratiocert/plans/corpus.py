@@ -24,26 +24,26 @@ class Fit:
 
 def prepared(docs: DataFrame, seed: int = 23633) -> DataFrame:
     """Distinct documents with their words and their half of the data."""
-    kept = N.distinct_texts(docs, "doc_id", "text")
-    return kept.select("doc_id", "lang", words(F.col("text")).alias("words"), N.half_of(F.col("text"), seed))
+    return N.distinct_texts(docs, "doc_id", "text").select(
+        "doc_id", "lang", words(F.col("text")).alias("words"), N.half_of(F.col("text"), seed)
+    )
 
 
 def fit_models(docs: DataFrame, domain: str = "en", min_count: int = 3, alpha: float = 0.5, prompt_words: int = 8,
-               min_words: int = 10, store: bool = True) -> Fit:
+               min_words: int = 10) -> Fit:
     """Fits G on in-domain and F on all text of one half; the other half is left for scoring.
 
-    The two count tables are read by several later joins, so they are stored once.
+    The training text is read once, into pair counts. They and the two model tables, which several
+    later joins read, are stored in the shared folder.
     """
     texts = prepared(docs)
-    train = texts.where(F.col("half") == 0)
-    unigrams = N.unigram_table(train, "words", F.col("lang") == domain, min_count, alpha)
-    unigrams = cut_lineage(unigrams) if store else unigrams
-    pairs = N.bigram_table(train, "words", unigrams)
-    pairs = cut_lineage(pairs) if store else pairs
+    raw = cut_lineage(N.pair_table(texts.where(F.col("half") == 0), "words", F.col("lang") == domain))
+    unigrams = cut_lineage(N.unigram_table(raw, min_count, alpha))
+    pairs = cut_lineage(N.bigram_table(raw, unigrams))
     samples = (
         texts.where((F.col("half") == 1) & (F.size("words") >= prompt_words + min_words))
         .select(
-            F.col("doc_id").alias("sample_id"), "lang",
+            F.col("doc_id").alias("sample_id"), F.col("lang").alias("dataset"),
             head(F.col("words"), F.lit(prompt_words)).alias("prompt"),
             tail_from(F.col("words"), F.lit(prompt_words)).alias("response"),
         )
@@ -53,9 +53,9 @@ def fit_models(docs: DataFrame, domain: str = "en", min_count: int = 3, alpha: f
 
 def corpus_scores(fit: Fit, domain: str = "en", scope: str = "y|x", lam: float = 0.6) -> DataFrame:
     """The canonical score table of the held-out samples."""
-    raw = N.score_sequences(fit.held_out, "sample_id", "prompt", "response", fit.unigrams, fit.bigrams, lam, scope)
-    about = fit.held_out.select("sample_id", F.col("lang").alias("dataset"))
-    return raw.join(about, "sample_id").select(
+    raw = N.score_sequences(
+        fit.held_out, "sample_id", "prompt", "response", fit.unigrams, fit.bigrams, lam, scope, ("dataset",))
+    return raw.select(
         "sample_id",
         "dataset",
         F.lit(f"F({scope})||G({'x+y' if scope == 'x+y' else 'y'})").alias("distributions"),

@@ -64,3 +64,43 @@ def split_sequences(pairs: DataFrame, row_id: str, n_train: int, n_val: int) ->
         "split",
         F.when(F.col("position") < n_train, "train").when(F.col("position") < n_train + n_val, "val").otherwise("test"),
     )
+
+
+def scored_sequences(rows: DataFrame, text: str, n_int: int, n_char: int, modality: str = "mixed") -> DataFrame:
+    """Adds ``check``: all checks of each completed sequence; NULL fields where it has no valid form.
+
+    The parts are taken in steps, each used by the next, so that no step is evaluated twice.
+    """
+    columns = rows.columns
+    parts = F.split(text, " ")
+    groups = T.instruction_groups(F.col(text))
+    pooled = with_population(with_population(rows, n_int, n_char, modality, "__pool"), n_int, n_char, "int", "__ints")
+    split = pooled.select("*", parts.alias("__parts"), groups.alias("__groups"))
+    letters = F.split(F.element_at("__groups", 1), r"\s")
+    placed = split.select(
+        *columns, "__pool", "__ints", "__parts",
+        ((F.element_at("__parts", 1) == "Q") & (F.size("__groups") == 1)
+         & F.when(F.size("__groups") == 1, F.size(F.array_distinct(letters)) == 4).otherwise(F.lit(False))).alias("__valid"),
+        F.array_position(F.transform("__parts", lambda p: p.isin(T.INSTRUCTION_LETTERS)), F.lit(True)).cast("int").alias("__at"),
+    )
+    at, size = F.col("__at"), F.size("__parts")
+    cut = placed.select(
+        *columns, "__pool", "__ints", "__valid",
+        F.when(F.col("__valid"), F.element_at("__parts", at)).alias("__task"),
+        F.when(F.col("__valid"), F.slice("__parts", F.lit(2), F.greatest(at - 2, F.lit(0)))).alias("__given"),
+        F.when(F.col("__valid"), F.slice("__parts", at + 4, F.greatest(size - at - 3, F.lit(0)))).alias("__done"),
+    )
+    want = F.lit(None).cast("array<string>")
+    for name, letter in T.TASK_LETTER.items():
+        want = F.when(F.col("__task") == letter, T.solve(F.col("__given"), name, F.col("__pool"))).otherwise(want)
+    solved = cut.withColumn("__want", want).withColumn("__lengths", F.size("__given") == F.size("__done"))
+    valid = F.col("__valid")
+    check = F.struct(
+        valid.alias("starts_with_q"),
+        valid.alias("instruct_sequence_valid"),
+        F.when(valid, F.col("__lengths")).alias("lengths_match"),
+        (valid & F.col("__lengths") & (F.col("__done") == F.col("__want"))).alias("task_correct"),
+        F.when(valid, F.size(F.array_except("__given", "__ints")) == 0).alias("int_population"),
+        F.when(valid, T.agreement(F.col("__want"), F.col("__done"))).alias("num_token_match"),
+    )
+    return solved.select(*columns, check.alias("check"))

@@ -52,20 +52,21 @@ def k_from_eps_quantile(rows: DataFrame, grid: DataFrame, q: float, low: float,
     spark = rows.sparkSession
     rows = rows.select(F.col(generator).alias("g"), F.col(n).alias("n")).withColumn("slope", -F.col("g") / F.col("n"))
     points = {r["grid_id"]: r["log10_eps"] for r in grid.select("grid_id", "log10_eps").collect()}
-    own = (eps_log2(F.col("log10_eps")) - log2_draws(draws)) / F.col("n")
+    own = eps_log2(F.col("log10_eps")) - log2_draws(draws)
     crossing = (eps_log2(F.col("log10_eps")) - log2_draws(draws) - F.col("g")) / F.col("n")
     count = rows.count()
     edge = 1.0 / max(count - 1, 1)
     around = [max(0.0, 1.0 - q - 1.5 * edge), min(1.0, 1.0 - q + 1.5 * edge)]
-    start = grid_quantiles(rows, "slope", "n", grid.select("grid_id", "log10_eps"), ["grid_id"], own, crossing, around)
+    start = grid_quantiles(rows, "slope", "n", grid.select("grid_id", "log10_eps"), ["grid_id"], own, F.lit(0.0), 1 / F.col("n"), crossing, around)
     target = {i: float(e) / S.LOG10_2 for i, e in points.items()}
 
     def gap(ks: list[tuple[int, int, float]]) -> dict[tuple[int, int], float]:
         """Quantile of the bounds minus epsilon at each (point, slot, k)."""
         at = spark.createDataFrame(ks, "grid_id int, slot int, k double")
         bound = F.col("g") + log2_draws(draws) + F.col("k") * F.col("n")
-        shift = log2_draws(draws) + F.col("k") * F.col("n")
-        found = grid_quantiles(rows, "g", "n", at, ["grid_id", "slot"], shift, bound, [q]).collect()
+        found = grid_quantiles(
+            rows, "g", "n", at, ["grid_id", "slot"], F.col("k"), log2_draws(draws), F.col("n"), bound, [q]
+        ).collect()
         return {(r["grid_id"], r["slot"]): r["quantile"] - target[r["grid_id"]] for r in found}
 
     ends = {

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratiocert.operators.ordering import row_after
+from ratiocert.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,6 +32,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def wide_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table whose rows are costly to process, over all cores however few row groups it has."""
+    return spread(table(spark, sf, name))
+
+
 # --- scored responses: one per lineitem row --------------------------------------------------
 
 _GENERATOR = "-l_extendedprice/CAST(1000 AS DOUBLE)"

@@ -13,10 +13,11 @@ from ratiocert.plans import corpus as P
 from ratiocert.plans import curves as V
 from ratiocert.plans import gate as G
 from ratiocert.plans.thresholds import k_from_eps, k_from_eps_quantile, k_from_frr
+from ratiocert.session import cut_lineage
 from ratiocert.streaming import gate_stream as ST
 
 from .base import (GATE_K, GATE_T, V_BENCH, V_BENCH_LL, V_GATE, V_JUDGE, V_SCORED, V_SCORES, V_TOKENS, bench, bench_ll,
-                   draws, judged, query, scores, table, token_scores)
+                   draws, judged, query, scores, table, token_scores, wide_table)
 
 L10 = repr(S.LOG2_10)
 L2 = repr(S.LOG10_2)
@@ -254,8 +255,6 @@ def stm_gate(spark, sf):
 
 def certified_corpus(spark, sf):
     """Documents to constriction table: fit, score, choose k by false-rejection rate, summarise."""
-    fit = P.fit_models(table(spark, sf, "documents"))
-    from ratiocert.session import cut_lineage
-
+    fit = P.fit_models(wide_table(spark, sf, "documents"))
     scored_docs = cut_lineage(P.corpus_scores(fit))
     return rounded(C.constriction_by_frr(scored_docs, distributions=None), 4)

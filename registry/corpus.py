@@ -9,7 +9,7 @@ from ratiocert.functions import prompts as P
 from ratiocert.functions import sequences as Q
 from ratiocert.operators.packing import packed_blocks
 
-from .base import (SQL_WORDS, V_ITEMS, V_PAIR_TOKENS, V_PAIRS, items, joined, pair_tokens, pairs, query, table)
+from .base import (SQL_WORDS, V_ITEMS, V_PAIR_TOKENS, V_PAIRS, items, joined, pair_tokens, pairs, query, table, wide_table)
 
 NL = "chr(10)"
 
@@ -131,7 +131,7 @@ def seq_view(spark, sf):
   g AS (SELECT tok, row_number() OVER (ORDER BY doc_id, i) - 1 AS p FROM w), n AS (SELECT (count(*) // 127) AS whole FROM g)
   SELECT p // 127 AS block, concat('<s> ', string_agg(tok, ' ' ORDER BY p)) AS tokens FROM g CROSS JOIN n WHERE p // 127 < whole GROUP BY 1""")
 def seq_pack_blocks(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", Q.words(F.col("text")).alias("t"))
+    docs = wide_table(spark, sf, "documents").select("doc_id", Q.words(F.col("text")).alias("t"))
     blocks = packed_blocks(docs, "doc_id", "t", 128, bos=Q.BOS)
     return blocks.select("block", joined("tokens").alias("tokens"))
 

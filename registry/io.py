@@ -10,7 +10,7 @@ from ratiocert.plans import gate as G
 from ratiocert.session import scratch_path
 from ratiocert.sources import cache, readers, writers
 
-from .base import (GATE_K, GATE_T, SQL_WORDS, V_GATE, V_PAIRS, V_SCORED, V_SCORES, draws, pairs, query, scores, table)
+from .base import (GATE_K, GATE_T, SQL_WORDS, V_GATE, V_PAIRS, V_SCORED, V_SCORES, draws, pairs, query, scores, table, wide_table)
 from .certificates import EPS_TABLE_SQL, SQL_KS, SQL_PCTS, rounded, sql_cr, sql_grid
 from .tasks import SQL_BASE, SQL_TASK, _sequences
 
@@ -167,7 +167,7 @@ def snk_manifest(spark, sf):
 @query("cache_processed", f"SELECT doc_id, CAST(len({SQL_WORDS.format('text')}) AS BIGINT) AS n_words FROM documents")
 def cache_processed(spark, sf):
     settings = {"source": sf, "rule": "words"}
-    make = lambda: table(spark, sf, "documents").select("doc_id", Q.words(F.col("text")).alias("words"))
+    make = lambda: wide_table(spark, sf, "documents").select("doc_id", Q.words(F.col("text")).alias("words"))
     root = scratch_path(spark, "cache")
     cache.cached(spark, root, "documents", settings, make)
     again = cache.cached(spark, root, "documents", settings, make)

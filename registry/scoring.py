@@ -10,7 +10,7 @@ from ratiocert.operators import ngrams as N
 from ratiocert.operators import subwords as W
 from ratiocert.plans import corpus as P
 
-from .base import SQL_WORDS, V_BENCH, V_LOGITS, V_TOKENS, bench, logits, query, table, token_scores
+from .base import SQL_WORDS, V_BENCH, V_LOGITS, V_TOKENS, bench, logits, query, table, token_scores, wide_table
 from .certificates import certified_corpus, rounded
 
 LSE = "(list_max({l}) + ln(list_sum(list_transform({l}, lambda x: exp(x - list_max({l}))))))"
@@ -68,19 +68,19 @@ def scr_choice_argmax(spark, sf):
 
 @query("tok_words", f"WITH d AS (SELECT doc_id, {SQL_WORDS.format('text')} AS t FROM documents), w AS (SELECT unnest(t) AS tok FROM d) SELECT tok, count(*) AS n FROM w GROUP BY tok")
 def tok_words(spark, sf):
-    words = table(spark, sf, "documents").select(F.explode(Q.words(F.col("text"))).alias("tok"))
+    words = wide_table(spark, sf, "documents").select(F.explode(Q.words(F.col("text"))).alias("tok"))
     return words.groupBy("tok").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("tok_words_and_marks", r"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '([\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+)') AS t FROM documents) SELECT doc_id, CAST(len(t) AS BIGINT) AS n, t[1] AS first, t[len(t)] AS last FROM w""")
 def tok_words_and_marks(spark, sf):
     t = Q.words_and_marks(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", t.alias("t")).select(
+    return wide_table(spark, sf, "documents").select("doc_id", t.alias("t")).select(
         "doc_id", F.size("t").cast("long").alias("n"), F.try_element_at("t", F.lit(1)).alias("first"), F.try_element_at("t", F.lit(-1)).alias("last"))
 
 
 def _symbols(spark, sf):
-    return W.as_symbols(W.word_counts(table(spark, sf, "documents"), Q.words(F.col("text"))))
+    return W.as_symbols(W.word_counts(wide_table(spark, sf, "documents"), Q.words(F.col("text"))))
 
 
 @query("tok_bpe_pairs", f"""WITH d AS (SELECT {SQL_WORDS.format('text')} AS t FROM documents), w AS (SELECT unnest(t) AS word FROM d), f AS (SELECT word, count(*) AS freq FROM w GROUP BY word),
@@ -91,7 +91,7 @@ def tok_bpe_pairs(spark, sf):
 
 @query("tok_bpe_train")
 def tok_bpe_train(spark, sf):
-    return W.learn_merges(table(spark, sf, "documents"), Q.words(F.col("text")), rounds=12)
+    return W.learn_merges(wide_table(spark, sf, "documents"), Q.words(F.col("text")), rounds=12)
 
 
 # --- n-gram models ---------------------------------------------------------------------------------
@@ -113,14 +113,14 @@ SQL_BI = """known AS (SELECT tok FROM uni WHERE tok <> '<unk>'),
 
 @query("lm_fit_unigram", f"WITH {SQL_CORPUS} SELECT tok, n, n_context, round(ln(pg),6) AS ln_g, round(ln(pf),6) AS ln_f FROM uni")
 def lm_fit_unigram(spark, sf):
-    texts = P.prepared(table(spark, sf, "documents")).where("half = 0")
-    uni = N.unigram_table(texts, "words", F.col("lang") == "en")
+    texts = P.prepared(wide_table(spark, sf, "documents")).where("half = 0")
+    uni = N.unigram_table(N.pair_table(texts, "words", F.col("lang") == "en"))
     return uni.select("tok", "n", "n_context", F.round(F.log("p_generator"), 6).alias("ln_g"), F.round(F.log("p_model"), 6).alias("ln_f"))
 
 
 @query("lm_fit_bigram", f"WITH {SQL_CORPUS}, {SQL_BI} SELECT prev, tok, c FROM bi")
 def lm_fit_bigram(spark, sf):
-    return P.fit_models(table(spark, sf, "documents")).bigrams.select("prev", "tok", "c")
+    return P.fit_models(wide_table(spark, sf, "documents")).bigrams.select("prev", "tok", "c")
 
 
 def _score_sql(scope: str, digits: int = 4) -> str:
@@ -143,7 +143,7 @@ def _score_sql(scope: str, digits: int = 4) -> str:
 
 
 def _scored(spark, sf, scope):
-    fit = P.fit_models(table(spark, sf, "documents"))
+    fit = P.fit_models(wide_table(spark, sf, "documents"))
     return rounded(P.corpus_scores(fit, scope=scope), 4)
 
 

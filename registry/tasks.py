@@ -8,7 +8,7 @@ from ratiocert.functions import tasks as T
 from ratiocert.operators import aggregates as A
 from ratiocert.plans import tasks as K
 
-from .base import query, table
+from .base import query, table, wide_table
 from .certificates import rounded
 
 N_INT, N_CHAR, LENGTH, SEED = 12, 28, 9, 23633
@@ -32,7 +32,7 @@ SQL_TASK = {
 
 
 def _sequences(spark, sf, task):
-    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    orders = wide_table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
     return K.sequences(orders, "id", task, LENGTH, N_INT, N_CHAR, SEED)
 
 
@@ -83,9 +83,7 @@ def _checked(spark, sf):
         .otherwise(F.col("want")))
     text = F.concat(T.prompt(F.col("input"), "sort", 3, F.col("id")), F.array_join(got, " "))
     text = F.when(F.col("id") % 4 == 3, F.substring(text, 3, 1000)).otherwise(text)
-    rows = K.with_population(s.select("id", text.alias("text")), N_INT, N_CHAR, "mixed", "pool")
-    rows = K.with_population(rows, N_INT, N_CHAR, "int", "ints")
-    return rows.withColumn("check", T.score(F.col("text"), F.col("pool"), F.col("ints"))).drop("pool", "ints")
+    return K.scored_sequences(s.select("id", text.alias("text")), "text", N_INT, N_CHAR)
 
 
 @query("tsk_score", SQL_BASE + f", {SQL_DONE} SELECT id, ok AS starts_with_q, ok AS instruct_sequence_valid, lengths_match, task_correct, int_population, round(num_token_match, 9) AS num_token_match FROM checked")
