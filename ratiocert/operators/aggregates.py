@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lookup import checked_broadcast
 from .ordering import running_start
 
 DECISIONS = ["IN", "OUT", "INVALID"]
@@ -29,32 +30,36 @@ def length_stats(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def abstention(df: DataFrame) -> DataFrame:
+def abstention_columns() -> list[Column]:
     """Means over gate decisions; the last is NULL when every request abstained."""
-    return df.agg(
+    return [
         F.avg(F.col("abstained").cast("double")).alias("mean_abstained"),
         F.avg("num_samples").alias("mean_num_samples"),
         F.avg(F.when(~F.col("abstained"), F.col("num_samples"))).alias("mean_num_samples_not_abstained"),
-    )
+    ]
 
 
-def decision_shares(df: DataFrame, decision: str = "decision") -> DataFrame:
-    """One row with the share of every decision, 0 where it does not occur."""
-    total = F.count(F.lit(1))
-    return df.agg(*[(F.count_if(F.col(decision) == d) / total).alias(f"prop_judge_{d}") for d in DECISIONS])
+def share(condition: Column) -> Column:
+    return F.count_if(condition) / F.count(F.lit(1))
 
 
-def abstain_by_decision(df: DataFrame, decision: str = "decision") -> DataFrame:
+def decision_share_columns(decision: str = "decision") -> list[Column]:
+    """The share of every decision, 0 where it does not occur."""
+    return [share(F.col(decision) == d).alias(f"prop_judge_{d}") for d in DECISIONS]
+
+
+def abstain_decision_cells(decision: str = "decision") -> dict[tuple[bool, str], Column]:
     """The 2 x 3 cells as shares of all rows."""
-    total = df.agg(F.count(F.lit(1)).alias("total"))
-    spark = df.sparkSession
-    cells = spark.createDataFrame([(a, d) for a in (True, False) for d in DECISIONS], "abstained boolean, decision string")
-    seen = df.groupBy("abstained", F.col(decision).alias("decision")).agg(F.count(F.lit(1)).alias("n"))
-    return (
-        cells.join(F.broadcast(seen.where(F.col("decision").isin(DECISIONS))), ["abstained", "decision"], "left")
-        .crossJoin(F.broadcast(total))
-        .select("abstained", "decision", (F.coalesce("n", F.lit(0)) / F.col("total")).alias("share"))
-    )
+    return {(a, d): share((F.col("abstained") == a) & (F.col(decision) == d)) for a in (True, False) for d in DECISIONS}
+
+
+def abstain_by_decision(df: DataFrame, decision: str = "decision") -> DataFrame:
+    """The cells as (abstained, decision, share) rows, from one pass."""
+    cells = [
+        F.struct(F.lit(a).alias("abstained"), F.lit(d).alias("decision"), c.alias("share"))
+        for (a, d), c in abstain_decision_cells(decision).items()
+    ]
+    return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
 
 
 def error_histogram(df: DataFrame, errors: str) -> DataFrame:
@@ -105,7 +110,7 @@ def ecdf(df: DataFrame, value: str, group: str) -> DataFrame:
     steps = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
     totals = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("total"))
     summed = running_start(steps, [value], "n", [group], name="before")
-    return summed.join(F.broadcast(totals), group).select(
+    return summed.join(checked_broadcast(totals), group).select(
         group, value, "n", ((F.col("before") + F.col("n")) / F.col("total")).alias("cdf")
     )
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.prompts import same_start
 from ..functions.seeded import seeded_key
-from .ordering import row_positions
+from .ordering import first_in_order, row_positions
 
 # The titles and subjects that count as medical.
 MEDICAL_TITLES = [
@@ -98,14 +98,14 @@ def judged(df: DataFrame, decision: str, keep: str | None) -> DataFrame:
     return df.where(F.col(decision) == keep)
 
 
-def first_rows(df: DataFrame, order: Sequence[Column | str], n: int) -> DataFrame:
+def first_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     """The first ``n`` rows in the order; all rows where ``n <= 0``."""
-    return df.orderBy(*order).limit(n) if n > 0 else df
+    return first_in_order(df, order, n) if n > 0 else df
 
 
 def random_rows(df: DataFrame, row_id: str, n: int, seed: int) -> DataFrame:
     """``n`` rows without replacement, the same for the same seed."""
-    return df.orderBy(seeded_key(seed, F.col(row_id)), F.col(row_id)).limit(n)
+    return first_in_order(df, {"key": seeded_key(seed, F.col(row_id)), "id": F.col(row_id)}, n)
 
 
 def shuffled_split(df: DataFrame, row_id: str, n_train: int, seed: int) -> DataFrame:

@@ -7,10 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 # A key with at least 1/HOT_SHARE of the weight is hot; there can be no more than HOT_SHARE of them.
 HOT_SHARE = 1000
 
 
+def checked_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """``df`` stored, and marked for broadcast only if its rows are few; a plain join side beyond that."""
+    stored = cut_lineage(df)
+    return F.broadcast(stored) if stored.count() <= max_rows else stored
+
+
 def hot_rows(table: DataFrame, weight: str, share: int = HOT_SHARE) -> DataFrame:
     """Table rows whose weight is at least 1/share of the total: at most ``share`` rows."""
     total = table.agg(F.sum(weight).alias("__total"))

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import prompts as P
 from ..functions.prompts import same_start
 from ..functions.seeded import seeded_key
+from .lookup import checked_broadcast
+from .ordering import first_in_order
 
 
 def with_generated(base: DataFrame, generated: DataFrame, idx: str, prefix: str | None = None,
@@ -64,7 +67,8 @@ def shuffled_collection(parts: Sequence[DataFrame], row_id: str, seed: int, n: i
     available = stack.count()
     if n > available:
         raise ValueError(f"{n} rows requested, {available} available")
-    return stack.orderBy(seeded_key(seed, F.col("part"), F.col(row_id)), "part", row_id).limit(n)
+    order = {"key": seeded_key(seed, F.col("part"), F.col(row_id)), "part": F.col("part"), "id": F.col(row_id)}
+    return first_in_order(stack, order, n)
 
 
 def not_in(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -90,3 +94,23 @@ def flattened_config(config: DataFrame) -> DataFrame:
 def with_config(rows: DataFrame, config: DataFrame) -> DataFrame:
     """Every row with the one-row run configuration."""
     return rows.crossJoin(F.broadcast(flattened_config(config).limit(1)))
+
+
+def few_shot_prompts(items: DataFrame, examples: DataFrame, shots: int, idx: str = "idx") -> DataFrame:
+    """Adds ``prompt``: the item after its subject's first ``shots`` worked examples.
+
+    Both sides: idx, question, subject, choices, answer. The rank filter works before the shuffle too,
+    so a subject that makes up much of the examples is never collected whole, and the few
+    examples per subject reach the items by broadcast where their number allows.
+    """
+    item = P.multiple_choice(F.col("question"), F.col("choices"))
+    if shots == 0:
+        return items.withColumn("prompt", P.few_shot(F.col("subject"), F.array().cast("array<string>"), item))
+    solved = P.multiple_choice(F.col("question"), F.col("choices"), F.col("answer"))
+    rank = F.row_number().over(Window.partitionBy("subject").orderBy(idx))
+    first = examples.select("subject", idx, solved.alias("text")).withColumn("rn", rank).where(F.col("rn") <= shots)
+    per_subject = first.groupBy("subject").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct(idx, "text"))), lambda s: s["text"]).alias("__shots")
+    )
+    joined = items.join(checked_broadcast(per_subject), "subject")
+    return joined.withColumn("prompt", P.few_shot(F.col("subject"), F.col("__shots"), item)).drop("__shots")

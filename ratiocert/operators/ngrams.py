@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.seeded import seeded_key
 from ..functions.sequences import BOS, UNK
+from ..session import cut_lineage
 from .lookup import spread_left_join
 
 
@@ -108,10 +109,12 @@ def score_sequences(samples: DataFrame, sample_id: str, prompt: str, response: s
         samples.select(sample_id, *carry, F.explode(grams).alias("p"))
         .groupBy(sample_id, *carry, "p.prev", "p.tok")
         .agg(F.count(F.lit(1)).alias("times"))
+        .withColumn("pair", pair_key("prev", "tok"))
     )
-    scored = pair_scores(used.select("prev", "tok").distinct(), unigrams, pairs, lam)
+    weights = used.groupBy("prev", "tok").agg(F.count(F.lit(1)).alias("samples"))
+    scored = cut_lineage(pair_scores(weights, unigrams, pairs, lam).withColumn("pair", pair_key("prev", "tok")))
     return (
-        used.join(scored, ["prev", "tok"])
+        spread_left_join(used, scored, "pair", ["ln_model", "ln_generator"], "samples", F.xxhash64(sample_id, "pair"))
         .groupBy(sample_id, *carry)
         .agg(
             F.sum(F.col("times") * F.col("ln_model")).alias("ll_model"),
@@ -121,8 +124,16 @@ def score_sequences(samples: DataFrame, sample_id: str, prompt: str, response: s
     )
 
 
+def pair_key(prev: str, tok: str) -> Column:
+    """Both tokens as one join key; the separator cannot occur in a token."""
+    return F.concat(F.col(prev), F.lit("\u0001"), F.col(tok))
+
+
 def pair_scores(pairs_used: DataFrame, unigrams: DataFrame, pairs: DataFrame, lam: float) -> DataFrame:
-    """(prev, tok, ln_model, ln_generator) of each distinct pair of raw tokens."""
+    """(prev, tok, samples, ln_model, ln_generator) of each distinct pair of raw tokens.
+
+    Many rare pairs become the same pair of unknowns, so this lookup too answers hot pairs apart.
+    """
     unknown = unigrams.where(F.col("tok") == UNK).select(
         F.struct("p_generator", "p_model", "n_context").alias("__unk")
     )
@@ -135,16 +146,18 @@ def pair_scores(pairs_used: DataFrame, unigrams: DataFrame, pairs: DataFrame, la
     full = full.crossJoin(F.broadcast(unknown)).select(
         "prev",
         "tok",
+        "samples",
         F.when(F.col("__tn").isNull(), F.lit(UNK)).otherwise(F.col("tok")).alias("__kt"),
         F.when(F.col("n").isNull() & (F.col("prev") != BOS), F.lit(UNK)).otherwise(F.col("prev")).alias("__kp"),
         F.coalesce("p_generator", "__unk.p_generator").alias("__pg"),
         F.coalesce("p_model", "__unk.p_model").alias("__pf"),
         F.when(F.col("prev") == BOS, F.lit(0)).otherwise(F.coalesce("n_context", "__unk.n_context")).alias("__cu"),
     )
-    counts = pairs.select(F.col("prev").alias("__kp"), F.col("tok").alias("__kt"), F.col("c").alias("__c"))
-    joined = full.join(counts, ["__kp", "__kt"], "left")
+    full = full.withColumn("__pair", pair_key("__kp", "__kt"))
+    counts = pairs.select(pair_key("prev", "tok").alias("__pair"), F.col("c").alias("__c"))
+    joined = spread_left_join(full, counts, "__pair", ["__c"], "__c", F.xxhash64("prev", "tok"))
     mixed = F.when(
         F.col("__cu") > 0,
         F.lit(lam) * F.coalesce("__c", F.lit(0)) / F.col("__cu") + F.lit(1.0 - lam) * F.col("__pf"),
     ).otherwise(F.col("__pf"))
-    return joined.select("prev", "tok", F.log(mixed).alias("ln_model"), F.log("__pg").alias("ln_generator"))
+    return joined.select("prev", "tok", "samples", F.log(mixed).alias("ln_model"), F.log("__pg").alias("ln_generator"))

@@ -54,17 +54,13 @@ def run_gate(draws: DataFrame, k: float, max_draws: int, carry: tuple[str, ...]
 
 
 def gate_report(decisions: DataFrame, judged: bool = False) -> DataFrame:
-    """One row of metrics over all decisions."""
-    report = A.abstention(decisions)
-    if not judged:
-        return report
-    cells = A.abstain_by_decision(decisions)
-    named = F.concat(
-        F.lit("conf_matrix_abstained="), F.initcap(F.col("abstained").cast("string")), F.lit("-decision="), F.col("decision")
-    )
-    names = [f"conf_matrix_abstained={a}-decision={d}" for a in ("True", "False") for d in A.DECISIONS]
-    wide = cells.groupBy().agg(*[F.max(F.when(named == n, F.col("share"))).alias(n) for n in names])
-    return report.crossJoin(A.decision_shares(decisions)).crossJoin(wide)
+    """One row of metrics over all decisions, from one pass."""
+    columns = A.abstention_columns()
+    if judged:
+        cells = A.abstain_decision_cells()
+        columns += A.decision_share_columns()
+        columns += [c.alias(f"conf_matrix_abstained={a}-decision={d}") for (a, d), c in cells.items()]
+    return decisions.agg(*columns)
 
 
 def judge_decision(scores: dict[str, Column], strategy: str = "max", weights: list[list[float]] | None = None,

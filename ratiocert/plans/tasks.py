@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import tasks as T
 from ..functions.seeded import seeded_int
-from ..operators.ordering import row_positions
+from ..operators.ordering import first_in_order, row_positions
+from ..session import cut_lineage
 
 
 def settings_path(modality: str, task: str, max_length: int, n_int: int, n_char: int, constant: bool) -> str:
@@ -49,10 +50,10 @@ def unique_sequences(generate, wanted: int, row_id: str = "id", max_rounds: int
     have, first, size = 0, 0, wanted
     for _ in range(max_rounds):
         first += size
-        pairs = generate(0, first).groupBy("input", "answer").agg(F.min(row_id).alias(row_id))
+        pairs = cut_lineage(generate(0, first).groupBy("input", "answer").agg(F.min(row_id).alias(row_id)))
         have = pairs.count()
         if have >= wanted:
-            return pairs.orderBy(row_id).limit(wanted)
+            return first_in_order(pairs, [row_id], wanted)
         size = max(wanted - have, 1) * 2
     raise ValueError(f"only {have} of {wanted} unique sequences found")
 

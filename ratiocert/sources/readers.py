@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
-from ..operators.ordering import row_positions
+from ..operators.ordering import first_in_order, row_positions
 
 
 def score_runs(spark: SparkSession, root: str | Sequence[str], schema: T.StructType | None = None) -> DataFrame:
@@ -61,8 +61,7 @@ def stripped(text: Column) -> Column:
 def text_lines(spark: SparkSession, path: str, chars: int, n: int) -> DataFrame:
     """The first ``n`` lines in file order (all where negative), stripped and cut to ``chars`` characters."""
     lines = file_ordered(spark, path)
-    first = lines.orderBy("file", "block", "row")
-    first = first.limit(n) if n >= 0 else first
+    first = first_in_order(lines, ["file", "block", "row"], n) if n >= 0 else lines
     return first.select(F.substring(stripped(F.col("value")), 1, chars).alias("line"))
 
 

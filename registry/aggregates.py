@@ -80,7 +80,7 @@ def agg_length_stats(spark, sf):
 @query("agg_judge_share", f"WITH {V_JUDGE} SELECT " + ", ".join(
     f"round(avg(CASE WHEN decision='{d}' THEN 1.0 ELSE 0.0 END),9) AS \"prop_judge_{d}\"" for d in A.DECISIONS) + " FROM v_judge")
 def agg_judge_share(spark, sf):
-    return rounded(A.decision_shares(judged(spark, sf)), 9)
+    return rounded(judged(spark, sf).agg(*A.decision_share_columns()), 9)
 
 
 @query("agg_abstain_decision", f"""WITH {V_JUDGE}, cells AS (SELECT a AS abstained, d AS decision FROM (VALUES (true), (false)) x(a) CROSS JOIN (VALUES ('IN'), ('OUT'), ('INVALID')) y(d)),

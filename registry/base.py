@@ -94,7 +94,7 @@ gate AS (SELECT request_id, bool_and(first_ok IS NULL) AS abstained, count(*) AS
 
 
 def draws(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").selectExpr(*_DRAW_COLUMNS)
+    return wide_table(spark, sf, "lineitem").selectExpr(*_DRAW_COLUMNS)
 
 
 # --- prompt/response pairs: a user turn and the assistant turn right after it -------------------

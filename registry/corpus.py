@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ratiocert.functions import prompts as P
 from ratiocert.functions import sequences as Q
+from ratiocert.operators.merges import few_shot_prompts
 from ratiocert.operators.packing import packed_blocks
 
 from .base import (SQL_WORDS, V_ITEMS, V_PAIR_TOKENS, V_PAIRS, items, joined, pair_tokens, pairs, query, table, wide_table)
@@ -63,16 +63,9 @@ def fmt_yesno_scoring(spark, sf):
   FROM v_items v JOIN shots s ON v.subject=s.subject""")
 def fmt_few_shot(spark, sf):
     rows = items(spark, sf)
-    solved = P.multiple_choice(F.col("question"), F.col("choices"), F.col("answer"))
-    # Top 5 per subject: the rank filter is applied before the shuffle too, so no subject is collected whole.
-    rank = F.row_number().over(Window.partitionBy("subject").orderBy("idx"))
-    shots = (
-        rows.select("subject", "idx", solved.alias("e")).withColumn("rn", rank).where("rn <= 5").groupBy("subject")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "e"))), lambda s: s["e"]).alias("shots")))
-    item = P.multiple_choice(F.col("question"), F.col("choices"))
-    return rows.join(shots, "subject").select(
-        "idx", P.few_shot(F.col("subject"), F.col("shots"), item).alias("text"),
-        P.few_shot(F.col("subject"), F.array().cast("array<string>"), item).alias("zero_shot"))
+    five = few_shot_prompts(rows, rows, 5).select("idx", F.col("prompt").alias("text"))
+    none = few_shot_prompts(rows, rows, 0).select("idx", F.col("prompt").alias("zero_shot"))
+    return five.join(none, "idx")
 
 
 @query("sel_longest_answer", f"""WITH {V_ITEMS} SELECT idx, list_filter(choices, lambda x: length(x) = list_max(list_transform(choices, lambda y: length(y))))[1] AS answer FROM v_items""")
