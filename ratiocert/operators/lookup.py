@@ -25,14 +25,20 @@ def hot_rows(table: DataFrame, weight: str, share: int = HOT_SHARE) -> DataFrame
     return table.crossJoin(F.broadcast(total)).where(F.col(weight) * share >= F.col("__total")).drop("__total")
 
 
+# A stored table of up to this many short rows is broadcast whole.
+SMALL_TABLE = 200_000
+
+
 def spread_left_join(probe: DataFrame, table: DataFrame, key: str, values: Sequence[str], weight: str,
-                     spread: Column, share: int = HOT_SHARE) -> DataFrame:
-    """Left join on a string key in one pass over the probe.
+                     spread: Column, share: int = HOT_SHARE, small_rows: int = SMALL_TABLE) -> DataFrame:
+    """Left join on a string key in one pass over the probe; ``table`` should be stored.
 
-    Hot keys, whose number is bounded by their definition, are answered from a broadcast. Their
+    A table that is small, which is counted first, is broadcast. Beyond that, hot keys, whose number is bounded by their definition, are answered from a broadcast. Their
     rows then go through the shuffle under a key of their own (``spread``), so that no
     partition receives a hot key.
     """
+    if table.count() <= small_rows:
+        return probe.join(F.broadcast(table.select(key, *values)), key, "left").select(*probe.columns, *values)
     hot = hot_rows(table, weight, share).select(
         F.col(key).alias("__hk"), F.struct(*values).alias("__hot")
     )
