@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -138,9 +139,32 @@ def wide_quantiles(long: DataFrame, keys: Sequence[str], names: dict[float, str]
     )
 
 
+@dataclass(frozen=True)
+class Cells:
+    """Rows with their cell, and the summary of every cell."""
+
+    boxed: DataFrame
+    summary: pd.DataFrame | None
+    n_rows: int
+
+
+def counted_cells(rows: DataFrame, base: str, length: str, factor: Column, max_cells: int = MAX_CELLS) -> Cells:
+    """Cells of (length, range of ``base``), at most ``max_cells``; no summary where lengths alone are more."""
+    n_rows, n_lengths = rows.agg(F.count(F.lit(1)), F.count_distinct(length)).first()
+    if n_rows == 0:
+        raise ValueError("no rows to take quantiles of")
+    if n_lengths > max_cells:
+        return Cells(rows, None, n_rows)
+    boxed = _boxed(rows, base, max(min(max_cells // n_lengths, 2 * math.isqrt(n_rows)), 1))
+    summary = boxed.groupBy(F.col(length).alias("__len"), factor.alias("__f"), "__cell").agg(
+        F.count(F.lit(1)).alias("__n"), F.min(base).alias("__lo"), F.max(base).alias("__hi")
+    ).toPandas()
+    return Cells(boxed, summary, n_rows)
+
+
 def grid_quantiles(rows: DataFrame, base: str, length: str, grid: DataFrame, keys: Sequence[str], scale: Column,
                    offset: Column, factor: Column, exact: Column, qs: Sequence[float], max_cells: int = MAX_CELLS,
-                   small_rows: int = SMALL_ROWS) -> DataFrame:
+                   small_rows: int = SMALL_ROWS, counted: Cells | None = None) -> DataFrame:
     """Exact quantiles of ``base + scale * factor + offset`` over all rows, for every grid point.
 
     ``scale`` and ``offset`` are columns of the grid, ``factor`` depends on the row's length alone.
@@ -148,20 +172,15 @@ def grid_quantiles(rows: DataFrame, base: str, length: str, grid: DataFrame, key
     shifts all rows alike, so their order never changes: rows are counted once into cells of (length,
     range of ``base``), and each grid point finds from the cells alone which of them can hold the
     wanted ranks. Only rows of those cells are evaluated, by ``exact``, which equals the expression
-    above up to rounding. The number of cells is bounded whatever the number of rows.
+    above up to rounding. The number of cells is bounded whatever the number of rows; ``counted``
+    passes them on between calls over the same rows.
     """
     grid = cut_lineage(grid)  # a small table, read by several steps
-    n_rows, n_lengths = rows.agg(F.count(F.lit(1)), F.count_distinct(length)).first()
-    if n_rows == 0:
-        raise ValueError("no rows to take quantiles of")
-    if n_lengths > max_cells:
+    counted = counted or counted_cells(rows, base, length, factor, max_cells)
+    boxed, cells, n_rows = counted.boxed, counted.summary, counted.n_rows
+    if cells is None:
         crossed = rows.crossJoin(F.broadcast(grid)).select(*keys, exact.alias("__v"))
         return exact_quantiles(crossed, "__v", qs, keys, small_rows)
-    per_length = max(min(max_cells // n_lengths, 2 * math.isqrt(n_rows)), 1)
-    boxed = _boxed(rows, base, per_length)
-    cells = boxed.groupBy(F.col(length).alias("__len"), factor.alias("__f"), "__cell").agg(
-        F.count(F.lit(1)).alias("__n"), F.min(base).alias("__lo"), F.max(base).alias("__hi")
-    ).toPandas()
     places = []
     for q in qs:
         first = math.floor(q * (n_rows - 1))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions.scores import eps_log2, log2_draws
-from ..operators.quantiles import exact_quantiles, grid_quantiles
+from ..operators.quantiles import counted_cells, exact_quantiles, grid_quantiles
 
 
 def k_from_frr(scores: DataFrame, frrs: Sequence[float], ratio: str = "log2_ratio_norm") -> DataFrame:
@@ -58,6 +58,7 @@ def k_from_eps_quantile(rows: DataFrame, grid: DataFrame, q: float, low: float,
     edge = 1.0 / max(count - 1, 1)
     around = [max(0.0, 1.0 - q - 1.5 * edge), min(1.0, 1.0 - q + 1.5 * edge)]
     start = grid_quantiles(rows, "slope", "n", grid.select("grid_id", "log10_eps"), ["grid_id"], own, F.lit(0.0), 1 / F.col("n"), crossing, around)
+    counted = counted_cells(rows, "g", "n", F.col("n"))
     target = {i: float(e) / S.LOG10_2 for i, e in points.items()}
 
     def gap(ks: list[tuple[int, int, float]]) -> dict[tuple[int, int], float]:
@@ -65,7 +66,8 @@ def k_from_eps_quantile(rows: DataFrame, grid: DataFrame, q: float, low: float,
         at = spark.createDataFrame(ks, "grid_id int, slot int, k double")
         bound = F.col("g") + log2_draws(draws) + F.col("k") * F.col("n")
         found = grid_quantiles(
-            rows, "g", "n", at, ["grid_id", "slot"], F.col("k"), log2_draws(draws), F.col("n"), bound, [q]
+            rows, "g", "n", at, ["grid_id", "slot"], F.col("k"), log2_draws(draws), F.col("n"), bound, [q],
+            counted=counted,
         ).collect()
         return {(r["grid_id"], r["slot"]): r["quantile"] - target[r["grid_id"]] for r in found}
 
