@@ -96,21 +96,28 @@ def with_config(rows: DataFrame, config: DataFrame) -> DataFrame:
     return rows.crossJoin(F.broadcast(flattened_config(config).limit(1)))
 
 
-def few_shot_prompts(items: DataFrame, examples: DataFrame, shots: int, idx: str = "idx") -> DataFrame:
-    """Adds ``prompt``: the item after its subject's first ``shots`` worked examples.
+def worked_examples(examples: DataFrame, shots: int, idx: str = "idx") -> DataFrame:
+    """(subject, __shots): the texts of each subject's first examples, in order.
 
-    Both sides: idx, question, subject, choices, answer. The rank filter works before the shuffle too,
-    so a subject that makes up much of the examples is never collected whole, and the few
-    examples per subject reach the items by broadcast where their number allows.
+    The rank filter works before the shuffle too, so a subject that makes up much of the examples
+    is never collected whole.
     """
-    item = P.multiple_choice(F.col("question"), F.col("choices"))
-    if shots == 0:
-        return items.withColumn("prompt", P.few_shot(F.col("subject"), F.array().cast("array<string>"), item))
     solved = P.multiple_choice(F.col("question"), F.col("choices"), F.col("answer"))
     rank = F.row_number().over(Window.partitionBy("subject").orderBy(idx))
     first = examples.select("subject", idx, solved.alias("text")).withColumn("rn", rank).where(F.col("rn") <= shots)
-    per_subject = first.groupBy("subject").agg(
+    return first.groupBy("subject").agg(
         F.transform(F.array_sort(F.collect_list(F.struct(idx, "text"))), lambda s: s["text"]).alias("__shots")
     )
-    joined = items.join(checked_broadcast(per_subject), "subject")
+
+
+def few_shot_prompts(items: DataFrame, examples: DataFrame, shots: int, idx: str = "idx") -> DataFrame:
+    """Adds ``prompt``: the item after its subject's first ``shots`` worked examples.
+
+    Both sides: idx, question, subject, choices, answer. The few examples per subject reach the items by
+    broadcast where their number allows.
+    """
+    item = P.multiple_choice(F.col("question"), F.col("choices"))
+    if shots == 0:
+        return items.withColumn("prompt", P.few_shot(F.col("subject"), F.array().cast("array<string>"), item))
+    joined = items.join(checked_broadcast(worked_examples(examples, shots, idx)), "subject")
     return joined.withColumn("prompt", P.few_shot(F.col("subject"), F.col("__shots"), item)).drop("__shots")

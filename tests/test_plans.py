@@ -4,7 +4,9 @@ import os
 
 import pytest
 
+from ratiocert.operators.merges import worked_examples
 from registry import QUERIES
+from registry.base import items
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
@@ -23,7 +25,8 @@ def test_stays_in_the_jvm(spark, key):
 
 def test_ranks_are_limited_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan(spark, "crt_rejection_sampling")
-    assert "WindowGroupLimit" in plan(spark, "fmt_few_shot")
+    examples = worked_examples(items(spark, SF), 5)
+    assert "WindowGroupLimit" in examples._jdf.queryExecution().toString()
 
 
 def test_reads_only_needed_columns(spark):
