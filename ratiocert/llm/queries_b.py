@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .base import query, table
 from .jaccard_join import jaccard_components
+from .personal_data import find_personal_data
 
 
 @query("op6_jaccard_join")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_components(table(spark, sf, "documents"), words=4, percent=85)
+
+
+@query("op4_personal_data")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    found = find_personal_data(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
