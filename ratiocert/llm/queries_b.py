@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from .base import query, table
 from .jaccard_join import jaccard_components
+from .language_crf import fit_languages, predict_languages
 from .personal_data import find_personal_data
+from .string_tiling import tile_benchmark
 
 
 @query("op6_jaccard_join")
@@ -19,3 +21,21 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     found = find_personal_data(table(spark, sf, "documents"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def held_out(id_col: str = "doc_id"):
+    """True for the rows that are never learned from."""
+    return F.crc32(F.col(id_col).cast("string")) % 3 == 1
+
+
+@query("op2_language_crf")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    model = fit_languages(docs, ~F.coalesce(held_out(), F.lit(False)))
+    found = predict_languages(docs, model)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "n_words", "n_switches")
+
+
+@query("op3_string_tiling")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return tile_benchmark(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
