@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .base import query, table
 from .suffix_dedup import remove_repeats
+from .vector_dedup import near_vectors
 
 
 @query("op1_suffix_dedup")
@@ -15,3 +16,8 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     return done.select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query("op9_vector_dedup")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return near_vectors(table(spark, sf, "embeddings"), cosine=0.95)
