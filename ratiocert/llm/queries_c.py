@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import query, table
+from .secret_forest import find_secrets
 from .suffix_dedup import remove_repeats
 from .vector_dedup import near_vectors
 
@@ -21,3 +22,8 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_vector_dedup")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return near_vectors(table(spark, sf, "embeddings"), cosine=0.95)
+
+
+@query("op10_secret_forest")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return find_secrets(table(spark, sf, "documents"))
