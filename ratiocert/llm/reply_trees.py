@@ -38,19 +38,25 @@ def _chains(nodes: DataFrame) -> DataFrame:
     above = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
     linked = nodes.join(above, ["tree", "parent"], "left").join(children, ["tree", "parent"], "left")
     head = F.col("known").isNull() | (F.col("n_children") > 1)
-    state = cut_lineage(linked.select(
+    columns = ["tree", "node", "parent", "score", "chain", "dist"]
+    open_ones = cut_lineage(linked.select(
         "tree", "node", F.when(F.col("known"), F.col("parent")).alias("parent"), "score",
         F.when(head, F.col("node")).otherwise(F.col("parent")).alias("chain"),
         F.when(head, 0).otherwise(1).cast("long").alias("dist"),
     ))
-    total, reach = state.count(), 1
-    while reach <= total and state.where(F.col("dist") >= reach).limit(1).count():
-        up = state.select("tree", F.col("node").alias("chain"), F.col("chain").alias("top"), F.col("dist").alias("more"))
-        state = cut_lineage(state.join(up, ["tree", "chain"]).select(
+    done, reach, total = open_ones.where(F.col("dist") < 1), 1, open_ones.count()
+    open_ones = open_ones.where(F.col("dist") >= 1)
+    while reach <= total and open_ones.limit(1).count():
+        # Only messages whose first one isn't known yet move on; after each round those are at least twice as far from it.
+        known = done.union(open_ones)
+        up = known.select("tree", F.col("node").alias("chain"), F.col("chain").alias("top"), F.col("dist").alias("more"))
+        moved = cut_lineage(open_ones.join(up, ["tree", "chain"]).select(
             "tree", "node", "parent", "score", F.col("top").alias("chain"), (F.col("dist") + F.col("more")).alias("dist")
         ))
         reach *= 2
-    return state.where(F.col("dist") < reach)  # what is left beyond has no root: it replies to itself in a circle
+        done = done.union(moved.where(F.col("dist") < reach).select(columns))
+        open_ones = moved.where(F.col("dist") >= reach).select(columns)
+    return done  # what is left over has no first message: it replies to itself in a circle
 
 
 def best_paths(messages: DataFrame, top_k: int | None = 1) -> DataFrame:
