@@ -22,7 +22,15 @@ def query(key: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def bounded(spark: SparkSession) -> None:
+    """Session settings that bound what a task and a job hold: Arrow batches of at most 8 MB, however long the texts,
+    and no shuffle files beyond the job that wrote them (what later jobs read is stored)."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 

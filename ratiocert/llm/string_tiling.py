@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import word_count
+from .base import bounded, word_count
 from .tokens import Words, chunked, mixed
 
 SEED_WORDS = 5
@@ -178,6 +178,7 @@ def tile_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     Null and empty texts share nothing; items without words are left out; an empty test set leaves all texts clean.
     Repeated rows are judged each. Without ``keep``, columns other than the id are not kept, so that none can clash.
     """
+    bounded(docs.sparkSession)
     spark = docs.sparkSession
     sent = [spark.sparkContext.broadcast(s) for s in _slices(benchmark, item_col, item_text_col, seed_words, slice_words)]
 
