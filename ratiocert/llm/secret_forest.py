@@ -32,7 +32,7 @@ PROPOSAL = (
     rf"|(?<![{_RUN}])(?=[{_RUN}]*?[0-9])[{_RUN}]{{12,}}+={{0,2}}"
     r"|(?<![A-Za-z])[A-Za-z]{24,}+"
 )
-_WORTH_A_LOOK = rf"[0-9]|{_NAMES}|PRIVATE KEY|[A-Za-z]{{24}}"
+_WORTH_A_LOOK = rf"[0-9]|{_NAMES}|AKIA|PRIVATE KEY|[A-Za-z]{{24}}"
 
 FEATURES = [
     "f_length", "f_digits", "f_upper", "f_lower", "f_marks", "f_changes", "f_case_changes", "f_letter_pairs", "f_pair_cost", "f_dictionary",
