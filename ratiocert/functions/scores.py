@@ -48,7 +48,8 @@ def log_ratio(ll2_model: Column, ll2_generator: Column) -> Column:
 
 
 def per_token(value: Column, n: Column) -> Column:
-    return value / n
+    """NULL for a response without tokens."""
+    return F.when(n > 0, value / n)
 
 
 def log2_draws(draws: Column | int) -> Column:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .lookup import checked_broadcast
 from .ordering import running_start
 
@@ -92,14 +93,15 @@ def histogram(df: DataFrame, value: str, group: str, bins: int) -> DataFrame:
     """Density per group over bins shared by all groups; the maximum falls into the last bin."""
     rows = df.where(F.col(value).isNotNull())
     limits = rows.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    # A column of one value gets a range of width 1 around it.
+    half = F.when(F.col("hi") > F.col("lo"), F.lit(0.0)).otherwise(F.lit(0.5))
+    limits = limits.select((F.col("lo") - half).alias("lo"), (F.col("hi") + half).alias("hi"))
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     spot = F.least(F.floor((F.col(value) - F.col("lo")) / width).cast("int"), F.lit(bins - 1))
-    binned = rows.crossJoin(F.broadcast(limits)).groupBy(group, F.coalesce(spot, F.lit(0)).alias("bin")).agg(
+    binned = rows.crossJoin(F.broadcast(limits)).groupBy(group, spot.alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.first(width).alias("width"))
-    totals = rows.groupBy(group).agg(F.count(F.lit(1)).alias("total"))
-    return binned.join(totals, group).select(
-        group, "bin", "n", (F.col("n") / (F.col("total") * F.col("width"))).alias("density")
-    )
+    total = F.sum("n").over(Window.partitionBy(group))  # over at most ``bins`` rows a group
+    return binned.select(group, "bin", "n", (F.col("n") / (total * F.col("width"))).alias("density"))
 
 
 def ecdf(df: DataFrame, value: str, group: str) -> DataFrame:
@@ -107,8 +109,8 @@ def ecdf(df: DataFrame, value: str, group: str) -> DataFrame:
 
     Values are counted first and accumulated over a range partitioning: no group meets in one task.
     """
-    steps = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
-    totals = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("total"))
+    steps = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("n")))
+    totals = steps.groupBy(group).agg(F.sum("n").alias("total"))
     summed = running_start(steps, [value], "n", [group], name="before")
     return summed.join(checked_broadcast(totals), group).select(
         group, value, "n", ((F.col("before") + F.col("n")) / F.col("total")).alias("cdf")
@@ -122,6 +124,22 @@ def tail_shares(df: DataFrame, value: str, low: float, high: float, group: Seque
     )
 
 
+def perplexity(ll: Column, label: Column | None = None, mask: str = "none", ignored: int = -100) -> Column:
+    """exp of the mean negative natural-log likelihood; with ``mask="labels"`` only of tokens whose label isn't ``ignored``."""
+    if mask == "none":
+        return F.exp(-F.avg(ll))
+    if mask == "labels":
+        return F.exp(-F.avg(F.when(label != ignored, ll)))
+    raise ValueError(f"unknown mask {mask!r}")
+
+
+def consistency(recorded: DataFrame, again: DataFrame, row_id: str, value: str, tolerance: float = 1e-6) -> DataFrame:
+    """How many rows were scored twice, how many of them differ, and the largest difference."""
+    gap = F.abs(F.col("__a") - F.col("__b"))
+    both = recorded.select(row_id, F.col(value).alias("__a")).join(again.select(row_id, F.col(value).alias("__b")), row_id)
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(gap > tolerance).alias("n_different"), F.max(gap).alias("largest"))
+
+
 def melted(df: DataFrame, ids: Sequence[str], values: Sequence[str]) -> DataFrame:
     return df.unpivot(list(ids), list(values), "Metric", "Value")
 

@@ -56,6 +56,13 @@ def longer_than(df: DataFrame, column: str, minimum: int) -> DataFrame:
     return df.where(F.col(column) > minimum) if minimum > 0 else df
 
 
+def required(df: DataFrame, message: str) -> DataFrame:
+    """``df``, or an error where it has no row."""
+    if not df.limit(1).count():
+        raise ValueError(message)
+    return df
+
+
 def length_between(df: DataFrame, column: str, low: int | None, high: int | None) -> DataFrame:
     """Both ends included, either may be open."""
     if low is not None:
@@ -108,8 +115,12 @@ def random_rows(df: DataFrame, row_id: str, n: int, seed: int) -> DataFrame:
     return first_in_order(df, {"key": seeded_key(seed, F.col(row_id)), "id": F.col(row_id)}, n)
 
 
-def shuffled_split(df: DataFrame, row_id: str, n_train: int, seed: int) -> DataFrame:
-    """Adds ``split``: the first ``n_train`` rows of the seeded order are ``train``, the rest ``val``."""
-    keyed = df.select(row_id, seeded_key(seed, F.col(row_id)).alias("__key"))
+def shuffled_split(df: DataFrame, row_id: str, n_train: int, seed: int, test: DataFrame | None = None) -> DataFrame:
+    """Adds ``position`` in the seeded order and ``split``: the first ``n_train`` rows are ``train``, the rest ``val``.
+
+    Rows of ``test``, from a source of their own, follow as ``test`` without a position.
+    """
+    keyed = df.withColumn("__key", seeded_key(seed, F.col(row_id)))
     placed = row_positions(keyed, ["__key", row_id], "position").drop("__key")
-    return df.join(placed, row_id).withColumn("split", F.when(F.col("position") < n_train, "train").otherwise("val"))
+    split = placed.withColumn("split", F.when(F.col("position") < n_train, "train").otherwise("val"))
+    return split if test is None else split.unionByName(test.withColumn("split", F.lit("test")), allowMissingColumns=True)

@@ -62,15 +62,25 @@ def stacked(parts: Sequence[DataFrame]) -> DataFrame:
 def shuffled_collection(parts: Sequence[DataFrame], row_id: str, seed: int, n: int | None = None) -> DataFrame:
     """All parts stacked, in seeded order, cut to ``n`` rows; asking for more rows than there are is an error."""
     stack = stacked([p.withColumn("part", F.lit(i)) for i, p in enumerate(parts)])
+    order = {"key": seeded_key(seed, F.col("part"), F.col(row_id)), "part": F.col("part"), "id": F.col(row_id)}
     if n is None:
-        return stack
+        return stack.orderBy(*order.values())
     available = stack.count()
     if n > available:
         raise ValueError(f"{n} rows requested, {available} available")
-    order = {"key": seeded_key(seed, F.col("part"), F.col(row_id)), "part": F.col("part"), "id": F.col(row_id)}
     return first_in_order(stack, order, n)
 
 
+def without_copies(df: DataFrame, row_id: str, by: Sequence[str]) -> DataFrame:
+    """One row per value of ``by``, with the smallest id and the number of ``copies``."""
+    return df.groupBy(*by).agg(F.min(row_id).alias(row_id), F.count(F.lit(1)).alias("copies"))
+
+
+def with_threshold(rows: DataFrame, ks: DataFrame, grid_id: str = "grid_id") -> DataFrame:
+    """Rows with the threshold of their grid point, joined on the point's number and never on a float."""
+    return rows.join(checked_broadcast(ks), grid_id)
+
+
 def not_in(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     return left.join(right, list(on), "left_anti")
 
@@ -92,8 +102,11 @@ def flattened_config(config: DataFrame) -> DataFrame:
 
 
 def with_config(rows: DataFrame, config: DataFrame) -> DataFrame:
-    """Every row with the one-row run configuration."""
-    return rows.crossJoin(F.broadcast(flattened_config(config).limit(1)))
+    """Every row with the run configuration, which must have exactly one row."""
+    flat = flattened_config(config)
+    if flat.limit(2).count() != 1:
+        raise ValueError("a run has exactly one configuration")
+    return rows.crossJoin(F.broadcast(flat))
 
 
 def worked_examples(examples: DataFrame, shots: int, idx: str = "idx") -> DataFrame:

@@ -8,18 +8,24 @@ from pyspark.sql import functions as F
 from ..functions.seeded import seeded_key
 from ..functions.sequences import BOS, UNK
 from ..session import cut_lineage
-from .lookup import spread_left_join
+from .lookup import checked_broadcast, spread_left_join
 
 
-def distinct_texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """One document per text, the one with the smallest id. Only digests are shuffled with the ids."""
-    keep = docs.groupBy(F.sha2(F.col(text), 256).alias("__digest")).agg(F.min(doc_id).alias(doc_id)).select(doc_id)
-    return docs.join(keep, doc_id, "left_semi")
+def distinct_by_digest(rows: DataFrame, doc_id: str, digest: str) -> DataFrame:
+    """One row per digest, the one with the smallest id; ``rows`` should be stored.
+
+    Only the ids of surplus copies are looked for: digests and ids are all that is shuffled, and the surplus is
+    taken out by a broadcast where a count allows it.
+    """
+    ids = rows.select(doc_id, digest)
+    copied = ids.groupBy(digest).agg(F.min(doc_id).alias("__keep"), F.max(doc_id).alias("__last")).where("__keep < __last")
+    surplus = ids.join(copied, digest).where(F.col(doc_id) != F.col("__keep")).select(doc_id)
+    return rows.join(checked_broadcast(surplus), doc_id, "left_anti").drop(digest)
 
 
-def half_of(text: Column, seed: int, prefix: int = 40) -> Column:
-    """0 or 1 by the digest of the text's beginning, so that near copies fall on the same side."""
-    first = F.substring(seeded_key(seed, F.substring(text, 1, prefix)), 1, 1)
+def half_of(text: Column, seed: int) -> Column:
+    """0 or 1 by the digest of the whole text, so that equal texts fall on the same side."""
+    first = F.substring(seeded_key(seed, text), 1, 1)
     return (F.conv(first, 16, 10).cast("int") % 2).alias("half")
 
 
@@ -105,7 +111,7 @@ def score_sequences(samples: DataFrame, sample_id: str, prompt: str, response: s
         grams = bigrams(F.concat(prompt, response), F.lit(BOS))
     else:
         raise ValueError(f"unknown scope {scope!r}")
-    used = (
+    used = cut_lineage(
         samples.select(sample_id, *carry, F.explode(grams).alias("p"))
         .groupBy(sample_id, *carry, "p.prev", "p.tok")
         .agg(F.count(F.lit(1)).alias("times"))

@@ -23,10 +23,15 @@ class Fit:
 
 
 def prepared(docs: DataFrame, seed: int = 23633) -> DataFrame:
-    """Distinct documents with their words and their half of the data."""
-    return N.distinct_texts(docs, "doc_id", "text").select(
-        "doc_id", "lang", words(F.col("text")).alias("words"), N.half_of(F.col("text"), seed)
-    )
+    """Distinct documents with their words and their half of the data.
+
+    The text is read and cut into words once; what later steps need is stored.
+    """
+    text = F.col("text")
+    read = cut_lineage(docs.select(
+        "doc_id", "lang", words(text).alias("words"), N.half_of(text, seed), F.sha2(text, 256).alias("digest")
+    ))
+    return N.distinct_by_digest(read, "doc_id", "digest")
 
 
 def fit_models(docs: DataFrame, domain: str = "en", min_count: int = 3, alpha: float = 0.5, prompt_words: int = 8,

@@ -41,6 +41,11 @@ def sequences(ids: DataFrame, row_id: str, task: str, max_length: int, n_int: in
     )
 
 
+def distinct_sequences(made: DataFrame, row_id: str) -> DataFrame:
+    """One row per (input, answer), with the smallest id."""
+    return made.groupBy("input", "answer").agg(F.min(row_id).alias(row_id))
+
+
 def unique_sequences(generate, wanted: int, row_id: str = "id", max_rounds: int = 20) -> DataFrame:
     """Unique (input, answer) pairs, ``wanted`` of them: ids are added until enough are distinct.
 
@@ -50,7 +55,7 @@ def unique_sequences(generate, wanted: int, row_id: str = "id", max_rounds: int
     have, first, size = 0, 0, wanted
     for _ in range(max_rounds):
         first += size
-        pairs = cut_lineage(generate(0, first).groupBy("input", "answer").agg(F.min(row_id).alias(row_id)))
+        pairs = cut_lineage(distinct_sequences(generate(0, first), row_id))
         have = pairs.count()
         if have >= wanted:
             return first_in_order(pairs, [row_id], wanted)

@@ -14,13 +14,31 @@ from ..operators.ordering import first_in_order, row_positions
 
 
 def score_runs(spark: SparkSession, root: str | Sequence[str], schema: T.StructType | None = None) -> DataFrame:
-    """All score runs below a folder (``run_id=...`` folders), unreadable files left out."""
-    reader = spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
-    if schema is not None:
-        reader = reader.schema(schema)
+    """All score runs below one or more folders (``run_id=...`` folders), stacked by column name.
+
+    A file that can't be read fails the job; see :func:`readable_runs`.
+    """
+    reader = spark.read.schema(schema) if schema is not None else spark.read.option("mergeSchema", "true")
     return reader.parquet(*([root] if isinstance(root, str) else list(root)))
 
 
+def readable_runs(spark: SparkSession, folders: Sequence[str]) -> tuple[DataFrame | None, list[str]]:
+    """The runs of all folders that can be read, stacked by column name with their ``folder``, and the folders that can't.
+
+    Only footers are opened to find out; one small job per folder.
+    """
+    found: DataFrame | None = None
+    unread = []
+    for folder in folders:
+        try:
+            run = spark.read.option("mergeSchema", "true").parquet(folder).withColumn("folder", F.lit(folder))
+        except Exception as error:  # Spark has no common type for a missing, empty or damaged folder
+            unread.append(f"{folder}: {str(error).splitlines()[0]}")
+            continue
+        found = run if found is None else found.unionByName(run, allowMissingColumns=True)
+    return found, unread
+
+
 def gate_results(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """(idx, result fields) of every document {"config", "results", "metrics"}.
 

@@ -10,10 +10,12 @@ from ..plans.gate import judged_draw
 from ..session import scratch_path
 
 
-def scored_stream(spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.parquet",
+def scored_stream(spark: SparkSession, folder: str, schema: T.StructType, pattern: str | None = None,
                   files_per_batch: int | None = None) -> DataFrame:
-    """Parquet files with scored responses as they appear in a folder."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    """Parquet files with scored responses as they appear in a folder, or those among them whose names fit the pattern."""
+    reader = spark.readStream.schema(schema)
+    if pattern is not None:
+        reader = reader.option("pathGlobFilter", pattern)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(folder)
@@ -34,10 +36,19 @@ def abstention_by(decisions: DataFrame, key: str = "dataset") -> DataFrame:
 
 
 def drain(aggregated: DataFrame, name: str) -> DataFrame:
-    """Runs a keyed running total over everything available and returns the final totals."""
+    """Runs a keyed running total over everything available and returns the final totals.
+
+    Each batch writes its totals into the shared folder; the last one's are read back.
+    """
     spark = aggregated.sparkSession
+    path, last = scratch_path(spark, f"totals-{name}"), []
+
+    def store(totals: DataFrame, batch: int) -> None:
+        totals.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        last[:] = [batch]
+
     query = (
-        aggregated.writeStream.outputMode("complete").format("memory").queryName(name)
+        aggregated.writeStream.outputMode("complete").queryName(name).foreachBatch(store)
         .option("checkpointLocation", scratch_path(spark, f"stream-{name}"))
         .trigger(availableNow=True).start()
     )
@@ -45,4 +56,6 @@ def drain(aggregated: DataFrame, name: str) -> DataFrame:
         query.awaitTermination()
     finally:
         query.stop()
-    return spark.table(name)
+    if not last:
+        return spark.createDataFrame([], aggregated.schema)
+    return spark.read.schema(aggregated.schema).parquet(f"{path}/batch={last[0]}")

@@ -106,17 +106,23 @@ def agg_error_hist(spark, sf):
 
 
 @query("agg_exact_match", f"""WITH {V_PAIRS} SELECT round(avg(CASE WHEN right(concat(prompt, t), length(t)) = t THEN 1.0 ELSE 0.0 END),9) AS accuracy FROM
-  (SELECT prompt, CASE WHEN turn % 4 = 0 THEN right(prompt, 12) ELSE substring(response, 1, 12) END AS t, CASE WHEN turn % 4 = 0 THEN '' ELSE 'x' END AS z FROM v_pairs) q""".replace("concat(prompt, t)", "concat(prompt, z)"))
+  (SELECT prompt, CASE WHEN turn % 4 = 0 THEN substring(prompt, length(prompt)//2 + 1) ELSE response END AS t, CASE WHEN turn % 4 = 0 THEN '' ELSE 'x' END AS z FROM v_pairs) q""".replace("concat(prompt, t)", "concat(prompt, z)"))
 def agg_exact_match(spark, sf):
     p = pairs(spark, sf)
-    target = F.when(F.col("turn") % 4 == 0, F.expr("right(prompt, 12)")).otherwise(F.substring("response", 1, 12))
+    target = F.when(F.col("turn") % 4 == 0, F.expr("substring(prompt, length(prompt) div 2 + 1)")).otherwise(F.col("response"))
     response = F.concat("prompt", F.when(F.col("turn") % 4 == 0, "").otherwise("x"))
     return p.agg(F.round(A.exact_match(response, target), 9).alias("accuracy"))
 
 
-@query("agg_perplexity", f"""WITH {V_LOGITS} SELECT round(exp(-avg(l[token+1] - list_max(l) - ln(list_sum(list_transform(l, lambda x: exp(x - list_max(l))))))),6) AS perplexity FROM v_logits""")
+SQL_LL = "(l[token+1] - list_max(l) - ln(list_sum(list_transform(l, lambda x: exp(x - list_max(l))))))"
+
+
+@query("agg_perplexity", f"""WITH {V_LOGITS} SELECT round(exp(-avg({SQL_LL})),6) AS perplexity, round(exp(-avg({SQL_LL}) FILTER (token % 3 <> 0)),6) AS perplexity_labels FROM v_logits""")
 def agg_perplexity(spark, sf):
-    return logits(spark, sf).agg(F.round(F.exp(-F.avg(G.token_loglik(F.col("l"), F.col("token")))), 6).alias("perplexity"))
+    """Over all tokens, and over those with a label (here: every third token has none)."""
+    ll, label = G.token_loglik(F.col("l"), F.col("token")), F.when(F.col("token") % 3 == 0, -100).otherwise(F.col("token"))
+    return logits(spark, sf).agg(
+        F.round(A.perplexity(ll), 6).alias("perplexity"), F.round(A.perplexity(ll, label, "labels"), 6).alias("perplexity_labels"))
 
 
 def _hist_sql(source: str, value: str, bins: int) -> str:

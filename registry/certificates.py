@@ -117,14 +117,15 @@ def crt_k_from_eps_quantile(spark, sf):
 
 
 @query("crt_constriction", f"""WITH {V_SCORES}, c AS (SELECT l_orderkey, l_linenumber, ll2_model - (ll2_generator + CAST(1 AS DOUBLE)*n_token_response) AS cr FROM v_scores)
-  SELECT l_orderkey, l_linenumber, cr AS log2_cr, round(cr/{L10},6) AS log10_cr, round(cr/{math.log2(math.e)!r},6) AS ln_cr, round(pow(2.0, least(cr, 20.0)),4) AS p_cr FROM c""")
+  SELECT l_orderkey, l_linenumber, cr AS log2_cr, round(cr/{L10},6) AS log10_cr, round(cr/{math.log2(math.e)!r},6) AS ln_cr, round(pow(2.0, cr)/pow(10.0, floor(cr/{L10})),6) AS p_cr, CAST(floor(cr/{L10}) AS BIGINT) AS p_cr_exponent FROM c""")
 def crt_constriction(spark, sf):
     bound = S.upper_bound(F.col("ll2_generator"), F.col("n_token_response"), 1, F.lit(1.0))
     cr = lambda base: S.constriction(F.col("ll2_model"), bound, base)
-    capped = S.constriction(F.least(F.col("ll2_model") - bound, F.lit(20.0)), F.lit(0.0), "probability")
+    exponent = F.floor(cr("log10"))
+    mantissa = cr("probability") / F.pow(F.lit(10.0), exponent.cast("double"))
     return scores(spark, sf).select(
         "l_orderkey", "l_linenumber", cr("log2").alias("log2_cr"), F.round(cr("log10"), 6).alias("log10_cr"),
-        F.round(cr("ln"), 6).alias("ln_cr"), F.round(capped, 4).alias("p_cr"))
+        F.round(cr("ln"), 6).alias("ln_cr"), F.round(mantissa, 6).alias("p_cr"), exponent.cast("long").alias("p_cr_exponent"))
 
 
 SQL_PCTS = ", ".join(f"round(quantile_cont(cr, {q}), 6) AS {n}" for q, n in C.PERCENTILES.items())
@@ -247,8 +248,12 @@ def gate_batch_report(spark, sf):
 def stm_gate(spark, sf):
     from .base import _SCORE_COLUMNS
 
-    schema = table(spark, sf, "lineitem").schema
-    arriving = ST.scored_stream(spark, sf, schema, "lineitem.parquet").selectExpr(*_SCORE_COLUMNS)
+    stored = table(spark, sf, "lineitem")
+    # The table may be one file or a folder of files; a stream reads a folder.
+    parts = stored.inputFiles()
+    alone = len(parts) == 1 and parts[0].rstrip("/").endswith("/lineitem.parquet")
+    arriving = ST.scored_stream(spark, sf if alone else f"{sf}/lineitem.parquet", stored.schema, "lineitem.parquet" if alone else None)
+    arriving = arriving.selectExpr(*_SCORE_COLUMNS)
     decided = ST.gate_stream(arriving.withColumnRenamed("n_token_response", "n_token"), 2.0)
     return rounded(ST.drain(ST.abstention_by(decided), "stm_gate_totals"), 9)
 

@@ -22,11 +22,11 @@ def fmt_context_qa(spark, sf):
 
 
 @query("fmt_prefix_qa", f"""WITH {V_PAIRS} SELECT conv_id, turn, concat(CASE WHEN turn > 0 THEN concat('Turn ', CAST(turn AS VARCHAR), {NL}, {NL}) ELSE '' END,
-  'Question: ', prompt, {NL}, {NL}, 'Context: ', response, {NL}, {NL}, 'Answer: ', substring(response, 1, 20)) AS text FROM v_pairs""")
+  'Question: ', prompt, {NL}, {NL}, 'Context: ', response, {NL}, {NL}, 'Answer: ', response) AS text FROM v_pairs""")
 def fmt_prefix_qa(spark, sf):
     prefix = F.when(F.col("turn") > 0, F.concat(F.lit("Turn "), F.col("turn").cast("string")))
     prompt = P.context_question(F.col("prompt"), F.col("response"), prefix)
-    return pairs(spark, sf).select("conv_id", "turn", P.with_answer(prompt, F.substring("response", 1, 20)).alias("text"))
+    return pairs(spark, sf).select("conv_id", "turn", P.with_answer(prompt, F.col("response")).alias("text"))
 
 
 @query("fmt_question", f"""SELECT conv_id, turn, CASE WHEN q LIKE '%?' THEN concat('Question: ', q, {NL}, {NL}, 'Answer: ') ELSE concat(q, ' ') END AS text FROM

@@ -12,31 +12,47 @@ from ratiocert.operators.quality import scoring_record_rules, violations
 from .base import (V_BENCH, V_BENCH_LL, V_ITEMS, V_JUDGE, V_PAIR_TOKENS, V_PAIRS, V_SCORED, V_SCORES, bench, bench_ll, items,
                    joined, judged, pair_tokens, pairs, query, scores, table)
 from .certificates import sql_eps_k, sql_grid
-from ratiocert.operators.ordering import row_positions, sequence_grid
+from ratiocert.operators.ordering import sequence_grid
 from ratiocert.plans import certificates as C
 from ratiocert.plans.thresholds import k_from_eps
 
-TITLES = L.MEDICAL_TITLES + ["Anthropology", "Hydrogen", "Gymnastics", "Poultry", "Insect", "Bird", "Humanism", "Oxygen", "Race", "Annelid"]
-SQL_TITLES = "[" + ", ".join(f"'{t}'" for t in TITLES) + "]"
-SQL_MEDICAL = ", ".join(f"'{t}'" for t in L.MEDICAL_TITLES)
 
 
-def _titled(spark, sf):
-    names = F.array(*map(F.lit, TITLES))
-    return table(spark, sf, "part").select("p_partkey", F.element_at(names, (F.col("p_partkey") % len(TITLES) + 1).cast("int")).alias("title"))
+def _sql_list(names):
+    return ", ".join(f"'{n}'" for n in names)
 
 
-@query("flt_category", f"""WITH t AS (SELECT p_partkey, list_extract({SQL_TITLES}, p_partkey % {len(TITLES)} + 1) AS title FROM part)
-  SELECT p_partkey, title, 'in' AS side FROM t WHERE title IN ({SQL_MEDICAL}) UNION ALL SELECT p_partkey, title, 'out' FROM t WHERE title NOT IN ({SQL_MEDICAL})""")
+# Parts stand in for articles (every other one under a medical title, the rest under their own type) and for questions of
+# all subjects in turn.
+SQL_PARTS = f"""t AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN list_extract([{_sql_list(L.MEDICAL_TITLES)}], p_partkey % {len(L.MEDICAL_TITLES)} + 1) ELSE p_type END AS title,
+  list_extract([{_sql_list(L.SUBJECTS)}], p_partkey % {len(L.SUBJECTS)} + 1) AS subject FROM part)"""
+
+
+def _categorised(spark, sf):
+    def turn(names):
+        return F.element_at(F.array(*map(F.lit, names)), (F.col("p_partkey") % len(names) + 1).cast("int"))
+
+    title = F.when(F.col("p_partkey") % 2 == 0, turn(L.MEDICAL_TITLES)).otherwise(F.col("p_type"))
+    return table(spark, sf, "part").select("p_partkey", title.alias("title"), turn(L.SUBJECTS).alias("subject"))
+
+
+@query("flt_category", f"WITH {SQL_PARTS} " + " UNION ALL ".join(
+    f"SELECT p_partkey, {c} AS category, '{side}' AS side FROM t WHERE {c} {op} ({_sql_list(members)})"
+    for c, members in (("title", L.MEDICAL_TITLES), ("subject", L.MEDICAL_SUBJECTS)) for side, op in (("in", "IN"), ("out", "NOT IN"))))
 def flt_category(spark, sf):
-    t = _titled(spark, sf)
-    inside = L.in_category(t, "title", "medical_qa", L.MEDICAL_TITLES).withColumn("side", F.lit("in"))
-    return inside.unionByName(L.in_category(t, "title", "not_medical_qa", L.MEDICAL_TITLES).withColumn("side", F.lit("out")))
+    t = _categorised(spark, sf)
+    parts = [
+        L.in_category(t.select("p_partkey", F.col(c).alias("category")), "category", mode, members).withColumn("side", F.lit(side))
+        for c, members in (("title", L.MEDICAL_TITLES), ("subject", L.MEDICAL_SUBJECTS))
+        for side, mode in (("in", "medical_qa"), ("out", "not_medical_qa"))
+    ]
+    return M.stacked(parts)
 
 
 @query("flt_min_response", f"WITH {V_SCORES} SELECT l_orderkey, l_linenumber, n_token_response FROM v_scores WHERE n_token_response > 10")
 def flt_min_response(spark, sf):
-    return L.longer_than(scores(spark, sf).select("l_orderkey", "l_linenumber", "n_token_response"), "n_token_response", 10)
+    kept = L.longer_than(scores(spark, sf).select("l_orderkey", "l_linenumber", "n_token_response"), "n_token_response", 10)
+    return L.required(kept, "no response is longer than 10 tokens")
 
 
 @query("flt_len_range", f"WITH {V_SCORES} SELECT l_orderkey, l_linenumber, n_token_response FROM v_scores WHERE n_token_response >= 10 AND n_token_response <= 40")
@@ -52,13 +68,13 @@ def flt_drop_top_n(spark, sf):
 
 
 SQL_PREFIX = "substring({a}, 1, least(length({a}), length({b}))) = substring({b}, 1, least(length({a}), length({b})))"
-# Stored prompts: cut after 30 characters, and overwritten for every third turn pair.
-SQL_STORED = "CASE WHEN (conv_id + turn) % 3 = 0 THEN concat('Other: ', prompt) ELSE substring(concat('Question: ', prompt, ' tail'), 1, 30) END"
+# Stored prompts: longer than the question, and overwritten for every third turn pair.
+SQL_STORED = "CASE WHEN (conv_id + turn) % 3 = 0 THEN concat('Other: ', prompt) ELSE concat('Question: ', prompt, ' tail') END"
 
 
 def _stored():
     return F.when((F.col("conv_id") + F.col("turn")) % 3 == 0, F.concat(F.lit("Other: "), "prompt")).otherwise(
-        F.substring(F.concat(F.lit("Question: "), "prompt", F.lit(" tail")), 1, 30))
+        F.concat(F.lit("Question: "), "prompt", F.lit(" tail")))
 
 
 @query("flt_prompt_prefix", f"""WITH {V_PAIRS}, s AS (SELECT conv_id, turn, concat('Question: ', prompt) AS expected, {SQL_STORED} AS stored FROM v_pairs)
@@ -86,6 +102,14 @@ def smp_shuffle_split(spark, sf):
     return L.shuffled_split(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 1000, 23633)
 
 
+@query("smp_split_two_sources", """WITH k AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY md5(concat('23633|', CAST(o_orderkey AS VARCHAR))), o_orderkey) - 1 AS position FROM orders)
+  SELECT id, CASE WHEN position < 1000 THEN 'train' ELSE 'val' END AS split FROM k UNION ALL SELECT c_custkey, 'test' FROM customer""")
+def smp_split_two_sources(spark, sf):
+    """Training and validation rows of one source, test rows of another."""
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    return L.shuffled_split(orders, "id", 1000, 23633, test=table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))).select("id", "split")
+
+
 @query("smp_first_n", "SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 256")
 def smp_first_n(spark, sf):
     return L.first_rows(table(spark, sf, "documents").select("doc_id", "n_chars"), ["doc_id"], 256)
@@ -143,7 +167,8 @@ def join_benchmark_scores(spark, sf):
 def join_eps_k(spark, sf):
     ks = k_from_eps(scores(spark, sf).where("ood = 1"), sequence_grid(spark, 23, -20.0, 2.0, "log10_eps"), -100.0, 100.0)
     asked = table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") % 23).cast("int").alias("grid_id"))
-    return asked.join(F.broadcast(ks), "grid_id").select("o_orderkey", F.round("log10_eps", 6).alias("log10_eps"), F.round("k", 6).alias("k"))
+    found = M.with_threshold(asked, ks)
+    return found.select("o_orderkey", F.round("log10_eps", 6).alias("log10_eps"), F.round("k", 6).alias("k"))
 
 
 @query("cross_threshold", f"""WITH {V_SCORED}, grid AS (SELECT CAST(i AS DOUBLE)/2 AS k FROM range(8) t(i))
@@ -163,11 +188,10 @@ def cross_param_grid(spark, sf):
     return M.parameter_grid(t, e)
 
 
-@query("set_difference", f"""WITH t AS (SELECT p_partkey, list_extract({SQL_TITLES}, p_partkey % {len(TITLES)} + 1) AS title FROM part)
-  SELECT DISTINCT title FROM t WHERE title NOT IN ({SQL_MEDICAL})""")
+@query("set_difference", f"WITH {SQL_PARTS} SELECT DISTINCT subject FROM t WHERE subject NOT IN ({_sql_list(L.MEDICAL_SUBJECTS)})")
 def set_difference(spark, sf):
-    medical = spark.createDataFrame([(x,) for x in L.MEDICAL_TITLES], "title string")
-    return M.not_in(_titled(spark, sf).select("title").distinct(), F.broadcast(medical), ["title"])
+    medical = spark.createDataFrame([(x,) for x in L.MEDICAL_SUBJECTS], "subject string")
+    return M.not_in(_categorised(spark, sf).select("subject").distinct(), F.broadcast(medical), ["subject"])
 
 
 @query("set_distinct_pairs", "SELECT DISTINCT lang, source FROM documents")
@@ -178,7 +202,7 @@ def set_distinct_pairs(spark, sf):
 @query("set_dedup_sequences", "SELECT min(doc_id) AS doc_id, n_chars, count(*) AS copies FROM documents GROUP BY text, n_chars")
 def set_dedup_sequences(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "n_chars", F.sha2("text", 256).alias("digest"))
-    return docs.groupBy("digest", "n_chars").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).drop("digest")
+    return M.without_copies(docs, "doc_id", ["digest", "n_chars"]).drop("digest")
 
 
 @query("set_union_runs", """WITH u AS (SELECT 0 AS part, doc_id AS id, n_chars AS n FROM documents UNION ALL SELECT 1, page_id, length(html) FROM pages)

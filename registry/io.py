@@ -30,11 +30,15 @@ def src_scores(spark, sf):
     return runs.groupBy("run_id", "dataset").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("ll2_model"), 4).alias("ll2_model"))
 
 
-@query("snk_scores", SQL_RUNS + " SELECT l_orderkey, l_linenumber, ll2_model, run_id FROM s WHERE run_id = 'run2'")
+@query("snk_scores", SQL_RUNS + " SELECT l_orderkey, l_linenumber, ll2_model, run_id FROM s")
 def snk_scores(spark, sf):
-    """Reading one run touches its folder only."""
-    one = readers.score_runs(spark, _runs(spark, sf, "snk-scores")).where("run_id = 'run2'")
-    return one.select("l_orderkey", "l_linenumber", "ll2_model", "run_id")
+    """Each run is read from its own folder; all of them together are the table again."""
+    path = _runs(spark, sf, "snk-scores")
+    found, unread = readers.readable_runs(spark, [f"{path}/run_id=run{i}" for i in range(4)])
+    if unread:
+        raise OSError(f"unread runs: {unread}")
+    return found.withColumn("run_id", F.regexp_extract("folder", "run_id=([^/]*)$", 1)).select(
+        "l_orderkey", "l_linenumber", "ll2_model", "run_id")
 
 
 def _documents_of(rows, path, field, *columns):
@@ -62,12 +66,12 @@ def src_prompt_response(spark, sf):
     return readers.prompt_responses(spark, path, multi_line=False)
 
 
-@query("src_qa_corpus", f"WITH {V_PAIRS} SELECT conv_id * 1000 + turn AS id, prompt AS question, CAST(len(string_split(response, '. ')) AS INT) AS n_contexts, substring(response, 1, 10) AS answer, concat('t', CAST(turn AS VARCHAR)) AS subject FROM v_pairs")
+@query("src_qa_corpus", f"WITH {V_PAIRS} SELECT conv_id * 1000 + turn AS id, prompt AS question, CAST(len(string_split(response, '. ')) AS INT) AS n_contexts, response AS answer, concat('t', CAST(turn AS VARCHAR)) AS subject FROM v_pairs")
 def src_qa_corpus(spark, sf):
     path = scratch_path(spark, "qa")
     pairs(spark, sf).select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("prompt").alias("question"), F.split("response", r"\. ").alias("contexts"),
-        F.array(F.substring("response", 1, 10)).alias("answers"), F.concat(F.lit("t"), F.col("turn").cast("string")).alias("title")).write.json(path)
+        F.array("response").alias("answers"), F.concat(F.lit("t"), F.col("turn").cast("string")).alias("title")).write.json(path)
     corpus = readers.qa_corpus(spark, path, renames={"title": "subject"})
     return corpus.select("id", "question", F.size("contexts").alias("n_contexts"), F.element_at("answers", 1).alias("answer"), "subject")
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ratiocert.functions import logits as G
 from ratiocert.functions import sequences as Q
+from ratiocert.operators import aggregates as A
 from ratiocert.operators import ngrams as N
 from ratiocert.operators import subwords as W
 from ratiocert.plans import corpus as P
@@ -55,10 +56,9 @@ def scr_entropy(spark, sf):
 def scr_ll_consistency(spark, sf):
     t = token_scores(spark, sf)
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
-    recorded = t.select("vec_id", total(F.col("ll_f")).alias("a"))
-    again = t.select("vec_id", total(F.transform("ll_g", lambda x: x / 1.5)).alias("b"))
-    gap = F.abs(F.col("a") - F.col("b"))
-    return recorded.join(again, "vec_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(gap > 1e-6).alias("n_different"), F.round(F.max(gap), 6).alias("largest"))
+    recorded = t.select("vec_id", total(F.col("ll_f")).alias("ll"))
+    again = t.select("vec_id", total(F.transform("ll_g", lambda x: x / 1.5)).alias("ll"))
+    return A.consistency(recorded, again, "vec_id", "ll").withColumn("largest", F.round("largest", 6))
 
 
 @query("scr_choice_argmax", f"WITH {V_BENCH} SELECT idx, subject, answer_id, correct_answer_id, correct FROM bench")
@@ -79,11 +79,16 @@ def tok_words_and_marks(spark, sf):
         "doc_id", F.size("t").cast("long").alias("n"), F.try_element_at("t", F.lit(1)).alias("first"), F.try_element_at("t", F.lit(-1)).alias("last"))
 
 
+def _pieces():
+    """Words and runs of marks of the lower-cased text, digits among them."""
+    return Q.words_and_marks(F.lower("text"))
+
+
 def _symbols(spark, sf):
-    return W.as_symbols(W.word_counts(wide_table(spark, sf, "documents"), Q.words(F.col("text"))))
+    return W.as_symbols(W.word_counts(wide_table(spark, sf, "documents"), _pieces()))
 
 
-@query("tok_bpe_pairs", f"""WITH d AS (SELECT {SQL_WORDS.format('text')} AS t FROM documents), w AS (SELECT unnest(t) AS word FROM d), f AS (SELECT word, count(*) AS freq FROM w GROUP BY word),
+@query("tok_bpe_pairs", rf"""WITH d AS (SELECT regexp_extract_all(lower(text), '([\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]+)') AS t FROM documents), w AS (SELECT unnest(t) AS word FROM d), f AS (SELECT word, count(*) AS freq FROM w GROUP BY word),
   p AS (SELECT freq, word, unnest(range(1, length(word))) AS i FROM f) SELECT substring(word, i, 1) AS "left", substring(word, i+1, 1) AS "right", CAST(sum(freq) AS BIGINT) AS freq FROM p GROUP BY 1, 2""")
 def tok_bpe_pairs(spark, sf):
     return W.pair_counts(_symbols(spark, sf))
@@ -97,7 +102,7 @@ def tok_bpe_train(spark, sf):
 # --- n-gram models ---------------------------------------------------------------------------------
 
 SQL_CORPUS = f"""keep AS (SELECT min(doc_id) AS doc_id FROM documents GROUP BY text),
-  texts AS (SELECT doc_id, lang, {SQL_WORDS.format('text')} AS words, (instr('0123456789abcdef', substring(md5(concat('23633|', substring(text, 1, 40))), 1, 1)) - 1) % 2 AS half
+  texts AS (SELECT doc_id, lang, {SQL_WORDS.format('text')} AS words, (instr('0123456789abcdef', substring(md5(concat('23633|', text)), 1, 1)) - 1) % 2 AS half
     FROM documents WHERE doc_id IN (SELECT doc_id FROM keep)),
   train AS (SELECT * FROM texts WHERE half = 0),
   occ AS (SELECT lang, unnest(words) AS tok, generate_subscripts(words, 1) AS i, len(words) AS n FROM train),

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ratiocert.functions import tasks as T
 from ratiocert.operators import aggregates as A
 from ratiocert.plans import tasks as K
+from ratiocert.session import scratch_path
+from ratiocert.sources import writers
 
 from .base import query, table, wide_table
 from .certificates import rounded
@@ -20,14 +22,14 @@ def sql_letter(i: str) -> str:
 
 SQL_POOL = f"""pool AS (SELECT list_concat(list_transform(range(1, {N_INT + 1}), lambda i: CAST(i AS VARCHAR)), list_transform(range({N_CHAR}), lambda i: {sql_letter('i')})) AS pool)"""
 SQL_ITEMS = f"""items AS (SELECT o_orderkey AS id, pool, list_transform(list_sort(list_transform(pool, lambda w: concat(md5(concat('{SEED}|', CAST(o_orderkey AS VARCHAR), '|', w)), w)))[1:CAST(
-  1 + CAST(concat('0x', substring(md5(concat('{SEED}-length|', CAST(o_orderkey AS VARCHAR))), 1, 8)) AS BIGINT) % {LENGTH} AS INT)], lambda s: substring(s, 33, 1000)) AS items FROM orders CROSS JOIN pool)"""
+  1 + CAST(concat('0x', substring(md5(concat('{SEED}-length|', CAST(o_orderkey AS VARCHAR))), 1, 8)) AS BIGINT) % {LENGTH} AS INT)], lambda s: s[33:]) AS items FROM orders CROSS JOIN pool)"""
 SQL_BASE = f"WITH {SQL_POOL}, {SQL_ITEMS}"
 SQL_PARITY = "(list_sum(list_transform(range(1, length({w})+1), lambda j: ord({w}[j])))) % 2"
 SQL_TASK = {
     "sort": "list_sort(items)",
     "reverse-sort": "list_reverse(list_sort(items))",
     "add": "list_transform(items, lambda w: pool[list_position(pool, w) % len(pool) + 1])",
-    "even-odd": f"list_transform(list_sort(list_transform(items, lambda w: concat(CAST(CAST({SQL_PARITY.format(w='w')} AS INT) AS VARCHAR), w))), lambda s: substring(s, 2, 1000))",
+    "even-odd": f"list_transform(list_sort(list_transform(items, lambda w: concat(CAST(CAST({SQL_PARITY.format(w='w')} AS INT) AS VARCHAR), w))), lambda s: s[2:])",
 }
 
 
@@ -56,8 +58,8 @@ def _task_query(key: str, task: str) -> None:
 for _key, _task in (("tsk_sort", "sort"), ("tsk_reverse_sort", "reverse-sort"), ("tsk_add", "add"), ("tsk_even_odd", "even-odd")):
     _task_query(_key, _task)
 
-SQL_MARK = "[' S A E R ', ' S A R E ', ' S E A R ', ' S E R A ', ' S R A E ', ' S R E A ']"
-SQL_PROMPT = f"""concat('Q ', array_to_string(items, ' '), {SQL_MARK}[CAST(concat('0x', substring(md5(concat('3|', CAST(id AS VARCHAR))), 1, 8)) AS BIGINT) % 6 + 1])"""
+SQL_MARK = "array_to_string(list_transform(list_sort(list_transform(['A', 'E', 'R'], lambda x: concat(md5(concat('3|', CAST(id AS VARCHAR), '|', x)), x))), lambda s: s[-1:]), ' ')"
+SQL_PROMPT = f"""concat('Q ', array_to_string(items, ' '), ' S ', {SQL_MARK}, ' ')"""
 
 
 @query("tsk_prompt", SQL_BASE + f" SELECT id, {SQL_PROMPT} AS prompt, concat({SQL_PROMPT}, array_to_string({SQL_TASK['sort']}, ' ')) AS sequence, CAST(length({SQL_PROMPT}) AS INT) AS len_prompt_text FROM items")
@@ -69,7 +71,7 @@ def tsk_prompt(spark, sf):
 
 # Completed sequences: right ones, swapped answers, cut answers, missing start.
 SQL_DONE = f"""done AS (SELECT id, items, {SQL_TASK['sort']} AS want, CASE id % 4 WHEN 1 THEN list_reverse({SQL_TASK['sort']}) WHEN 2 THEN ({SQL_TASK['sort']})[1:greatest(len(items)-1, 1)] ELSE {SQL_TASK['sort']} END AS got, {SQL_PROMPT} AS prompt FROM items),
-  texts AS (SELECT id, items, want, got, CASE WHEN id % 4 = 3 THEN substring(concat(prompt, array_to_string(got, ' ')), 3, 1000) ELSE concat(prompt, array_to_string(got, ' ')) END AS text FROM done),
+  texts AS (SELECT id, items, want, got, CASE WHEN id % 4 = 3 THEN concat(prompt, array_to_string(got, ' '))[3:] ELSE concat(prompt, array_to_string(got, ' ')) END AS text FROM done),
   checked AS (SELECT id, text, id % 4 <> 3 AS ok, CASE WHEN id % 4 <> 3 THEN len(got) = len(items) END AS lengths_match, id % 4 <> 3 AND got = want AS task_correct,
     CASE WHEN id % 4 <> 3 THEN len(list_filter(items, lambda w: regexp_matches(w, '^[0-9]+$'))) = len(items) END AS int_population,
     CASE WHEN id % 4 <> 3 THEN len(list_filter(range(1, least(len(got), len(want))+1), lambda i: got[i] = want[i]))/CAST(least(len(got), len(want)) AS DOUBLE) END AS num_token_match FROM texts)"""
@@ -82,7 +84,7 @@ def _checked(spark, sf):
         .when(F.col("id") % 4 == 2, F.slice("want", F.lit(1), F.greatest(F.size("want") - 1, F.lit(1))))
         .otherwise(F.col("want")))
     text = F.concat(T.prompt(F.col("input"), "sort", 3, F.col("id")), F.array_join(got, " "))
-    text = F.when(F.col("id") % 4 == 3, F.substring(text, 3, 1000)).otherwise(text)
+    text = F.when(F.col("id") % 4 == 3, F.substring(text, F.lit(3), F.length(text))).otherwise(text)
     return K.scored_sequences(s.select("id", text.alias("text")), "text", N_INT, N_CHAR)
 
 
@@ -101,7 +103,10 @@ def agg_task_scores(spark, sf):
 
 @query("tsk_dataset", SQL_BASE + f""", u AS (SELECT min(id) AS id, array_to_string(items, ' ') AS input, any_value(array_to_string({SQL_TASK['add']}, ' ')) AS answer FROM items GROUP BY 2),
   p AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS position FROM u)
-  SELECT id, input, answer, position, CASE WHEN position < 10000 THEN 'train' WHEN position < 11024 THEN 'val' ELSE 'test' END AS split FROM p""")
+  SELECT input, answer, CASE WHEN position < 10000 THEN 'train' WHEN position < 11024 THEN 'val' ELSE 'test' END AS split FROM p""")
 def tsk_dataset(spark, sf):
-    unique = _sequences(spark, sf, "add").groupBy("input", "answer").agg(F.min("id").alias("id"))
-    return K.split_sequences(unique, "id", 10000, 1024)
+    """Unique sequences, split and written under their settings, then read back."""
+    folder = K.settings_path("mixed", "add", LENGTH, N_INT, N_CHAR, False)
+    path = f"{scratch_path(spark, 'tasks')}/{folder}"
+    writers.write_splits(K.split_sequences(K.distinct_sequences(_sequences(spark, sf, "add"), "id"), "id", 10000, 1024), path, "id")
+    return spark.read.schema("input string, answer string, split string").json(f"{path}/splits")

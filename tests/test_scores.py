@@ -111,3 +111,22 @@ def test_constriction_table_by_hand(frame):
     crs = [c / math.log2(10) for c in crs]
     assert out["log10_cr_median"] == pytest.approx(sum(crs) / 2)
     assert out["log10_cr_10"] == pytest.approx(crs[0] + 0.1 * (crs[1] - crs[0]))
+
+
+def test_edge_cases_have_results(spark):
+    from ratiocert.functions import scores as S
+    from ratiocert.functions import tasks as T
+    from ratiocert.operators import aggregates as A
+
+    one = spark.createDataFrame([("a", 2.0), ("a", 2.0), ("b", 2.0)], "g string, v double")
+    bins = {(r["g"], r["bin"], r["n"], r["density"]) for r in A.histogram(one, "v", "g", 4).collect()}
+    assert bins == {("a", 2, 2, 4.0), ("b", 2, 1, 4.0)}
+    lengths = spark.createDataFrame([(6.0, 3), (6.0, 0)], "v double, n int")
+    assert [r[0] for r in lengths.select(S.per_token(F.col("v"), F.col("n"))).collect()] == [2.0, None]
+    row = spark.range(1).select(
+        T.solve(F.array(F.lit("1"), F.lit("zzz")), "add", T.population(2, 0, "int")).alias("add"),
+        T.population(0, 3).alias("letters"), T.population(2, 0).alias("numbers"),
+        T.letter_word(F.lit(475_254)).alias("five"), T.letter_word(F.lit(475_253)).alias("four"),
+    ).first()
+    assert row["add"] == ["2", None] and row["letters"] == ["a", "b", "c"] and row["numbers"] == ["1", "2"]
+    assert (row["four"], row["five"]) == ("zzzz", "aaaaa")

@@ -10,17 +10,27 @@ from ratiocert.session import scratch_path, shared_dir
 from ratiocert.sources import cache, readers, writers
 
 
-def test_unreadable_runs_are_skipped(spark, tmp_path):
+def test_unreadable_runs_are_reported(spark, tmp_path):
     df = spark.range(10).select("id", F.concat(F.lit("r"), F.col("id") % 2).alias("run_id"))
     root = str(tmp_path / "runs")
     writers.write_scores(df, root)
     (tmp_path / "runs" / "run_id=bad").mkdir()
     (tmp_path / "runs" / "run_id=bad" / "part.parquet").write_bytes(b"PAR1 broken")
-    assert readers.score_runs(spark, root, df.schema).count() == 10
+    with pytest.raises(Exception, match="not a Parquet file"):
+        readers.score_runs(spark, root).count()
+    found, unread = readers.readable_runs(spark, [f"{root}/run_id={r}" for r in ("r0", "bad", "r1", "none")])
+    assert found.count() == 10 and [u.split(":")[0].rsplit("=")[-1] for u in (x.removeprefix("file:") for x in unread)] == ["bad", "none"]
     one = readers.score_runs(spark, root, df.schema).where("run_id = 'r1'")
     assert "PartitionFilters: [isnotnull(run_id" in one._jdf.queryExecution().toString()
 
 
+def test_runs_are_stacked_by_name(spark, tmp_path):
+    spark.range(3).select("id", F.lit(1.0).alias("a")).write.parquet(str(tmp_path / "runs" / "run_id=x"))
+    spark.range(2).select(F.lit("t").alias("b"), "id").write.parquet(str(tmp_path / "runs" / "run_id=y"))
+    for runs in (readers.score_runs(spark, str(tmp_path / "runs")), readers.readable_runs(spark, [str(tmp_path / "runs" / f"run_id={r}") for r in "xy"])[0]):
+        assert {"id", "a", "b"} <= set(runs.columns) and runs.count() == 5 and runs.where("b = 't' AND a IS NULL").count() == 2
+
+
 def test_json_documents(spark, tmp_path):
     doc = {"config": {"k": "4"}, "results": [{"abstained": False, "num_samples": 2, "generated_text": "a\nb"}, {"abstained": True}], "metrics": {"m": 1.0}}
     (tmp_path / "r.json").write_text(json.dumps(doc, indent=2))
