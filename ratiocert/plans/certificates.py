@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..operators.aggregates import histogram
 from ..operators.ordering import sequence_grid
-from ..operators.quantiles import exact_quantiles, grid_quantiles, wide_quantiles
-from .thresholds import k_from_eps, k_from_frr
+from ..operators.quantiles import counted_cells, exact_quantiles, grid_quantiles, wide_quantiles
+from ..session import cut_lineage
+from .thresholds import k_from_eps, k_from_eps_quantile, k_from_frr
 
 # Fixed values of the published tables.
 FRR_TABLE = [0.0, 0.01, 0.05, 0.1, 0.2, 0.25, 0.5]
@@ -27,6 +28,12 @@ def scored(rows: DataFrame) -> DataFrame:
     )
 
 
+def based(rows: DataFrame) -> DataFrame:
+    """The three columns that constriction ratios need, and the ratio before any threshold, stored: several passes read them."""
+    base = S.log_ratio(F.col("ll2_model"), F.col("ll2_generator")) / F.lit(S.LOG2_10)
+    return cut_lineage(rows.select("ll2_model", "ll2_generator", "n_token_response", base.alias("__base")))
+
+
 def constriction_grid(rows: DataFrame, grid: DataFrame, keys: Sequence[str], qs: Sequence[float],
                       draws: int = 1, **kwargs) -> DataFrame:
     """(keys, q, quantile) of the log10 constriction ratio at every ``k`` of the grid, exactly."""
@@ -35,10 +42,7 @@ def constriction_grid(rows: DataFrame, grid: DataFrame, keys: Sequence[str], qs:
         S.upper_bound(F.col("ll2_generator"), F.col("n_token_response"), draws, F.col("k")),
     )
     scale, offset = -F.col("k") / F.lit(S.LOG2_10), -S.log2_draws(draws) / F.lit(S.LOG2_10)
-    rows = rows.select(
-        "ll2_model", "ll2_generator", "n_token_response",
-        (S.log_ratio(F.col("ll2_model"), F.col("ll2_generator")) / F.lit(S.LOG2_10)).alias("__base"),
-    )
+    rows = rows if "__base" in rows.columns else based(rows)
     return grid_quantiles(rows, "__base", "n_token_response", grid, keys, scale, offset, F.col("n_token_response"), exact, qs, **kwargs)
 
 
@@ -48,7 +52,9 @@ def constriction_by_frr(rows: DataFrame, frrs: Sequence[float] = FRR_TABLE, only
     rows = scored(rows)
     if distributions is not None and "distributions" in rows.columns:
         rows = rows.where(F.col("distributions") == distributions)
-    ks = k_from_frr(rows, frrs)
+    # Scores may come from sums whose last digits depend on the run; every pass below must see the same ones.
+    rows = cut_lineage(rows.select("ll2_model", "ll2_generator", "n_token_response", "log2_ratio_norm", "ood"))
+    ks = cut_lineage(k_from_frr(rows, frrs))
     chosen = rows.where(F.col("ood") == 1) if only_ood else rows
     long = constriction_grid(chosen, ks, ["FRR"], list(PERCENTILES))
     wide = wide_quantiles(long, ["FRR"], PERCENTILES)
@@ -89,13 +95,24 @@ def atomic_certificates(rows: DataFrame, frr: float) -> DataFrame:
 
 
 def eps_table(rows: DataFrame, draws: Sequence[int] = (1,), points: int = 501, low: float = -50.0, high: float = 50.0,
-              bracket: tuple[float, float] = (-100.0, 100.0), **kwargs) -> DataFrame:
-    """The k/epsilon table over out-of-domain rows: k and constriction percentiles for each (T, epsilon)."""
+              bracket: tuple[float, float] = (-100.0, 100.0), upper_quantile: float = 1.0, tolerance: float = 1e-6,
+              **kwargs) -> DataFrame:
+    """The k/epsilon table over out-of-domain rows: k and constriction percentiles for each (T, epsilon).
+
+    Below 1, ``upper_quantile`` leaves the largest bounds out: that quantile of them, not their maximum, meets epsilon.
+    Rows are stored and counted into cells once for all T.
+    """
     spark = rows.sparkSession
+    rows = based(rows)
+    kwargs.setdefault("counted", counted_cells(rows, "__base", "n_token_response", F.col("n_token_response")))
     parts = []
     for t in draws:
         grid = sequence_grid(spark, points, low, high, "log10_eps")
-        ks = k_from_eps(rows, grid, *bracket, draws=t)
+        if upper_quantile < 1:
+            ks = k_from_eps_quantile(rows, grid, upper_quantile, *bracket, draws=t, tolerance=tolerance)
+        else:
+            ks = k_from_eps(rows, grid, *bracket, draws=t)
+        ks = cut_lineage(ks)
         long = constriction_grid(rows, ks.select("grid_id", "k"), ["grid_id"], list(PERCENTILES), t, **kwargs)
         wide = wide_quantiles(long, ["grid_id"], PERCENTILES)
         parts.append(

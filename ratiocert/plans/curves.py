@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 from ..operators.ordering import sequence_grid
 from ..operators.quantiles import wide_quantiles
 from ..operators.thresholds import bucketed_sums, curve_confusion, rates
+from ..session import cut_lineage
 from .certificates import constriction_grid, scored
 from .thresholds import k_from_eps
 
 
 def detection_curve(rows: DataFrame, points: int = 100, k_max: float = 10.0, k_min: float | None = None) -> DataFrame:
     """(k, FRR, TRR, J, log10_constriction_ratio) for evenly spaced k from the smallest per-token ratio."""
-    rows = scored(rows)
+    rows = cut_lineage(scored(rows).select("ll2_model", "ll2_generator", "n_token_response", "log2_ratio_norm", "ood"))
     start = k_min if k_min is not None else rows.agg(F.min("log2_ratio_norm")).first()[0]
     grid = sequence_grid(rows.sparkSession, points, float(start), k_max, "k")
+    grid = cut_lineage(grid)  # the same doubles for every use below
     counts = curve_confusion(rows, grid, "k", "log2_ratio_norm", "ood")
     median = wide_quantiles(
         constriction_grid(rows.where(F.col("ood") == 1), grid, ["grid_id"], [0.5]), ["grid_id"],
@@ -40,7 +42,7 @@ def eps_curve(rows: DataFrame, points: int = 100, low: float = -20.0, high: floa
     """(e_log, k, FRR, TRR, FAR, J): detection rates at the threshold that certifies each epsilon."""
     rows = scored(rows)
     grid = sequence_grid(rows.sparkSession, points, low, high, "log10_eps")
-    ks = k_from_eps(rows.where(F.col("ood") == 1), grid, *bracket)
+    ks = cut_lineage(k_from_eps(rows.where(F.col("ood") == 1), grid, *bracket))
     counts = curve_confusion(rows, ks, "k", "log2_ratio_norm", "ood")
     return ks.join(F.broadcast(counts.select("k", *rates())), "k").select(
         F.col("log10_eps").alias("e_log"), "k", "FRR", "TRR", "FAR", "J"
@@ -66,6 +68,14 @@ def certified_benchmark(joined: DataFrame, ks: DataFrame, by_category: bool = Fa
     return out.drop("FRR") if by_category else out
 
 
+def benchmark_table(joined: DataFrame, ks: DataFrame, name: str, categories: list) -> DataFrame:
+    """One row per epsilon: k, whatever percentiles ``ks`` has, FRR, accuracy under the certificate, and a column per category."""
+    ks, joined = cut_lineage(ks), cut_lineage(joined)
+    overall = certified_benchmark(joined, ks)
+    per_category = certified_benchmark(joined, ks.select("log10_eps", "k"), by_category=True)
+    return wide_benchmark(overall, per_category, name, categories)
+
+
 def wide_benchmark(overall: DataFrame, per_category: DataFrame, name: str, categories: list) -> DataFrame:
     """One row per epsilon with a column per category."""
     pivoted = per_category.groupBy("log10_eps").pivot("subject", categories).agg(F.first("accuracy"))

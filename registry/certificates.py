@@ -109,10 +109,21 @@ def crt_k_from_eps(spark, sf):
     return rounded(ks.select("log10_eps", "k"))
 
 
-@query("crt_k_from_eps_quantile")
+def sql_eps_k_quantile(name: str, grid: str, q: float, low: float, high: float, steps: int = 45) -> str:
+    """The same by bisection, one step a subquery: the quantile of the bounds rises with k."""
+    parts = [f"{name}_0 AS (SELECT grid_id, log10_eps, CAST({low} AS DOUBLE) AS lo, CAST({high} AS DOUBLE) AS hi FROM {grid})",
+             f"{name}_r AS (SELECT ll2_generator AS g, n_token_response AS n FROM v_scored WHERE ood=1)"]
+    for i in range(steps):
+        parts.append(f"{name}_{i + 1} AS (SELECT grid_id, log10_eps, CASE WHEN v < log10_eps/{L2} THEN m ELSE lo END AS lo, CASE WHEN v < log10_eps/{L2} THEN hi ELSE m END AS hi FROM ("
+                     f"SELECT grid_id, log10_eps, lo, hi, (lo+hi)/2 AS m, quantile_cont(g + (lo+hi)/2*n, {q}) AS v FROM {name}_{i} CROSS JOIN {name}_r GROUP BY ALL) q)")
+    return ", ".join(parts) + f", {name} AS (SELECT grid_id, log10_eps, (lo+hi)/2 AS k FROM {name}_{steps})"
+
+
+@query("crt_k_from_eps_quantile", f"""WITH {V_SCORED}, {sql_grid("grid", -20.0, 0.0, 5)}, {sql_eps_k_quantile("ks", "grid", 0.95, -10.0, 100.0)}
+  SELECT round(log10_eps,6) AS log10_eps, round(k,5) AS k FROM ks""")
 def crt_k_from_eps_quantile(spark, sf):
     rows = scores(spark, sf).where("ood = 1")
-    ks = k_from_eps_quantile(rows, sequence_grid(spark, 5, -20.0, 0.0, "log10_eps"), 0.95, -10.0, 100.0)
+    ks = k_from_eps_quantile(rows, sequence_grid(spark, 5, -20.0, 0.0, "log10_eps"), 0.95, -10.0, 100.0, tolerance=1e-9)
     return ks.select(F.round("log10_eps", 6).alias("log10_eps"), F.round("k", 5).alias("k"))
 
 
@@ -141,6 +152,16 @@ def crt_eps_table(spark, sf):
     return rounded(C.eps_table(scores(spark, sf).where("ood = 1")))
 
 
+@query("crt_eps_table_q95", f"""WITH {V_SCORED}, {sql_grid("grid", -20.0, 0.0, 5)}, {sql_eps_k_quantile("ks", "grid", 0.95, -10.0, 100.0)},
+  crossed AS (SELECT grid_id, {sql_cr()} AS cr FROM ks CROSS JOIN (SELECT * FROM v_scored WHERE ood=1) r),
+  pct AS (SELECT grid_id, """ + SQL_PCTS.replace(", 6)", ", 4)") + """ FROM crossed GROUP BY grid_id)
+  SELECT round(log10_eps,6) AS log10_eps, round(k,5) AS k_mid, log10_cr_10, log10_cr_median, log10_cr_90 FROM ks JOIN pct USING (grid_id)""")
+def crt_eps_table_q95(spark, sf):
+    """For data that isn't clean: the 95 % quantile of the bounds meets epsilon."""
+    out = C.eps_table(scores(spark, sf).where("ood = 1"), points=5, low=-20.0, high=0.0, bracket=(-10.0, 100.0), upper_quantile=0.95, tolerance=1e-9)
+    return rounded(out.select("log10_eps", "k_mid", *C.PERCENTILES.values()), 4, log10_eps=6, k_mid=5)
+
+
 @query("crt_constriction_by_frr", f"""WITH {V_SCORED}, {SQL_KS}, crossed AS (SELECT "FRR", k, {sql_cr()} AS cr FROM ks CROSS JOIN (SELECT * FROM v_scored WHERE ood=1) r)
   SELECT "FRR", round(any_value(k), 9) AS k, {SQL_PCTS},
   printf('%.0f / %.0f / %.0f', quantile_cont(cr, 0.1), quantile_cont(cr, 0.5), quantile_cont(cr, 0.9)) AS combined FROM crossed GROUP BY "FRR\"""")
@@ -215,6 +236,21 @@ def crv_certified_benchmark_category(spark, sf):
     return rounded(wide.drop("k", "FRR", "bench"), 9, log10_eps=6)
 
 
+@query("crv_benchmark_table", BENCH_SQL + f""", crossed AS (SELECT grid_id, {sql_cr()} AS cr FROM ks CROSS JOIN (SELECT * FROM v_scored WHERE ood=1) r),
+  pct AS (SELECT grid_id, {SQL_PCTS} FROM crossed GROUP BY grid_id),
+  acc AS (SELECT grid_id, avg(CASE WHEN rn>k THEN 1.0 ELSE 0.0 END) AS frr, avg(CASE WHEN correct=1 AND NOT rn>k THEN 1.0 ELSE 0.0 END) AS a FROM ks CROSS JOIN jb GROUP BY grid_id),
+  per AS (SELECT grid_id, subject, avg(CASE WHEN correct=1 AND NOT rn>k THEN 1.0 ELSE 0.0 END) AS a FROM ks CROSS JOIN jb GROUP BY grid_id, subject),
+  wide AS (SELECT grid_id, """ + ", ".join(f"round(max(a) FILTER (subject={i}),9) AS \"bench_{i}\"" for i in range(7)) + """ FROM per GROUP BY grid_id)
+  SELECT round(log10_eps,6) AS log10_eps, round(k,6) AS k, log10_cr_10, log10_cr_median, log10_cr_90, round(frr,9) AS "FRR", round(a,9) AS bench, """
+  + ", ".join(f'"bench_{i}"' for i in range(7)) + " FROM ks JOIN pct USING (grid_id) JOIN acc USING (grid_id) JOIN wide USING (grid_id)")
+def crv_benchmark_table(spark, sf):
+    """Epsilon, threshold, constriction percentiles, rejection rate and accuracy, overall and per category, in one table."""
+    table_ks = C.eps_table(scores(spark, sf).where("ood = 1")).select("log10_eps", F.col("k_mid").alias("k"), *C.PERCENTILES.values())
+    rows = bench(spark, sf).join(bench_ll(spark, sf), "idx")
+    out = V.benchmark_table(rows, table_ks, "bench", list(range(7)))
+    return rounded(out, 9, log10_eps=6, k=6, **{c: 6 for c in C.PERCENTILES.values()})
+
+
 @query("jdg_decide", """WITH s AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c FROM embeddings),
   w AS (SELECT *, (0.2 + 1.0*a - 0.5*b + 0.1*c) AS x, (-0.1 + 0.3*a + 0.9*b - 0.2*c) AS y, (0.0 - 0.4*a + 0.2*b + 1.1*c) AS z FROM s)
   SELECT vec_id, CASE WHEN a>=b AND a>=c THEN 'IN' WHEN b>=c THEN 'OUT' ELSE 'INVALID' END AS by_max,

@@ -29,12 +29,18 @@ def _sides(spark, sf):
         "conv_id", "turn", O.overlap_tokens(F.col("prompt")).alias("a"), O.overlap_tokens(F.col("response")).alias("b"))
 
 
-@query("agg_rouge", f"WITH {SQL_SIDES}, {sql_overlap(1)}, {sql_overlap(2)} SELECT 'rouge1' AS metric, round(avg({SQL_F1}),6) AS value FROM o1 UNION ALL SELECT 'rouge2', round(avg({SQL_F1}),6) FROM o2")
+# The longest common subsequence row by row: a row holds, per place of one side, the longest so far.
+SQL_LCS = """CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE list_reduce(list_prepend(list_transform(a, lambda x: 0), list_transform(b, lambda y: list_transform(a, lambda x: CASE WHEN x = y THEN 1 ELSE 0 END))),
+  lambda acc, m: list_transform(range(1, len(m) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: greatest(acc[k], coalesce(acc[k-1], 0) + m[k])))))[-1] END"""
+SQL_L = f"ol AS (SELECT conv_id, turn, CAST({SQL_LCS} AS BIGINT) AS overlap, CAST(len(a) AS INT) AS na, CAST(len(b) AS INT) AS nb FROM v)"
+
+
+@query("agg_rouge", f"WITH {SQL_SIDES}, {sql_overlap(1)}, {sql_overlap(2)}, {SQL_L} SELECT 'rouge1' AS metric, round(avg({SQL_F1}),6) AS value FROM o1 UNION ALL SELECT 'rouge2', round(avg({SQL_F1}),6) FROM o2 UNION ALL SELECT 'rougeL', round(avg({SQL_F1}),6) FROM ol")
 def agg_rouge(spark, sf):
-    return rounded(O.rouge(_sides(spark, sf), ["conv_id", "turn"], "a", "b").where("metric <> 'rougeL'"))
+    return rounded(O.rouge(_sides(spark, sf), ["conv_id", "turn"], "a", "b"))
 
 
-@query("agg_rouge_l")
+@query("agg_rouge_l", f"WITH {SQL_SIDES}, {SQL_L} SELECT conv_id, turn, overlap, na AS n_response, nb AS n_target, {SQL_F1} AS f1 FROM ol")
 def agg_rouge_l(spark, sf):
     return O.rouge_l(_sides(spark, sf), ["conv_id", "turn"], "a", "b")
 
