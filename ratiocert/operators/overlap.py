@@ -20,26 +20,28 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
 
 
-def ngram_overlap(pairs: DataFrame, keys: list[str], response: str, target: str, n: int) -> DataFrame:
-    """(keys, overlap, n_response, n_target): clipped common n-grams and the sizes of both sides.
+def ngram_counts(pairs: DataFrame, keys: list[str], response: str, target: str, ns: list[int]) -> DataFrame:
+    """(keys, n, overlap, n_response, n_target): clipped common n-grams and the sizes of both sides, for every n at once.
 
-    The counting side is one aggregate keyed by (pair, n-gram): both sides of a pair meet as
-    signed columns, without a join, and long texts spread over many keys.
+    The pairs are read once, and one aggregate is keyed by (pair, n, n-gram), so that long texts spread over many keys. A
+    row without a gram stands for each (pair, n), so that pairs without any are there too.
     """
-    def side(column: str, flag: int) -> DataFrame:
-        return pairs.select(*keys, F.lit(flag).alias("side"), F.explode(ngrams(F.col(column), n)).alias("gram"))
+    def side(column: str, flag: int, n: int) -> Column:
+        return F.transform(ngrams(F.col(column), n), lambda g: F.struct(F.lit(n).alias("n"), F.lit(flag).alias("side"), g.alias("gram")))
 
-    grams = side(response, 0).unionByName(side(target, 1))
-    per_gram = grams.groupBy(*keys, "gram").agg(
-        F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b")
+    none = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(-1).alias("side"), F.lit(None).cast("string").alias("gram")) for n in ns])
+    grams = F.concat(none, *[side(c, flag, n) for n in ns for flag, c in enumerate((response, target))])
+    per_gram = pairs.select(*keys, F.explode(grams).alias("g")).groupBy(*keys, "g.n", "g.gram").agg(
+        F.count_if(F.col("g.side") == 0).alias("a"), F.count_if(F.col("g.side") == 1).alias("b")
     )
-    counted = per_gram.groupBy(*keys).agg(F.sum(F.least("a", "b")).alias("overlap"))
-    sizes = pairs.select(
-        *keys,
-        F.greatest(F.size(response) - (n - 1), F.lit(0)).cast("long").alias("n_response"),
-        F.greatest(F.size(target) - (n - 1), F.lit(0)).cast("long").alias("n_target"),
+    return per_gram.groupBy(*keys, "n").agg(
+        F.sum(F.least("a", "b")).alias("overlap"), F.sum("a").alias("n_response"), F.sum("b").alias("n_target")
     )
-    return sizes.join(counted, keys, "left").withColumn("overlap", F.coalesce("overlap", F.lit(0)).cast("long"))
+
+
+def ngram_overlap(pairs: DataFrame, keys: list[str], response: str, target: str, n: int) -> DataFrame:
+    """(keys, overlap, n_response, n_target) for one n."""
+    return ngram_counts(pairs, keys, response, target, [n]).drop("n")
 
 
 def f_measure(overlap: Column, n_response: Column, n_target: Column) -> Column:
@@ -66,11 +68,6 @@ def common_subsequence(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(left, right)], dtype="int64")
 
 
-def rouge_n(pairs: DataFrame, keys: list[str], response: str, target: str, n: int) -> DataFrame:
-    counted = ngram_overlap(pairs, keys, response, target, n)
-    return counted.withColumn("f1", f_measure(F.col("overlap"), F.col("n_response"), F.col("n_target")))
-
-
 def rouge_l(pairs: DataFrame, keys: list[str], response: str, target: str) -> DataFrame:
     common = pairs.select(
         *keys,
@@ -83,37 +80,24 @@ def rouge_l(pairs: DataFrame, keys: list[str], response: str, target: str) -> Da
 
 def rouge(pairs: DataFrame, keys: list[str], response: str, target: str) -> DataFrame:
     """Mean F1 of ROUGE-1, ROUGE-2 and ROUGE-L as (metric, value) rows."""
-    parts = {
-        "rouge1": rouge_n(pairs, keys, response, target, 1),
-        "rouge2": rouge_n(pairs, keys, response, target, 2),
-        "rougeL": rouge_l(pairs, keys, response, target),
-    }
-    means = [d.agg(F.lit(name).alias("metric"), F.avg("f1").alias("value")) for name, d in parts.items()]
-    out = means[0]
-    for m in means[1:]:
-        out = out.unionByName(m)
-    return out
+    f1 = f_measure(F.col("overlap"), F.col("n_response"), F.col("n_target"))
+    by_n = ngram_counts(pairs, keys, response, target, [1, 2]).groupBy("n").agg(F.avg(f1).alias("value"))
+    whole = rouge_l(pairs, keys, response, target).agg(F.lit("rougeL").alias("metric"), F.avg("f1").alias("value"))
+    return by_n.select(F.concat(F.lit("rouge"), F.col("n").cast("string")).alias("metric"), "value").unionByName(whole)
 
 
 def bleu(pairs: DataFrame, keys: list[str], response: str, target: str, max_n: int = 4) -> DataFrame:
     """Corpus BLEU with clipped counts and brevity penalty; NULL where some order has no match."""
-    parts = [
-        ngram_overlap(pairs, keys, response, target, n).agg(
-            F.lit(n).alias("n"), F.sum("overlap").alias("hit"), F.sum("n_response").alias("of")
-        )
-        for n in range(1, max_n + 1)
-    ]
-    table = parts[0]
-    for p in parts[1:]:
-        table = table.unionByName(p)
-    sizes = pairs.agg(
-        F.sum(F.size(response)).cast("double").alias("c"), F.sum(F.size(target)).cast("double").alias("r")
+    table = ngram_counts(pairs, keys, response, target, list(range(1, max_n + 1))).groupBy("n").agg(
+        F.sum("overlap").alias("hit"), F.sum("n_response").alias("of"), F.sum("n_target").alias("wanted")
     )
     logs = table.agg(
         F.min(F.coalesce("hit", F.lit(0))).alias("least"),
         F.avg(F.when(F.col("hit") > 0, F.log(F.col("hit") / F.col("of")))).alias("mean_log"),
+        F.max(F.when(F.col("n") == 1, F.col("of"))).cast("double").alias("c"),
+        F.max(F.when(F.col("n") == 1, F.col("wanted"))).cast("double").alias("r"),
     )
     penalty = F.when(F.col("c") >= F.col("r"), F.lit(1.0)).otherwise(F.exp(1.0 - F.col("r") / F.col("c")))
-    return logs.crossJoin(sizes).select(
+    return logs.select(
         F.when(F.col("least") > 0, F.exp("mean_log") * penalty).alias("bleu")
     )

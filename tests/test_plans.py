@@ -2,6 +2,8 @@
 
 import os
 
+import re
+
 import pytest
 
 from ratiocert.operators.merges import worked_examples
@@ -41,3 +43,33 @@ def test_scores_need_no_shuffle(spark):
 
 def test_pairs_join_on_both_keys(spark):
     assert "conv_id" in plan(spark, "fmt_prefix_qa") and "Window" not in plan(spark, "fmt_prefix_qa")
+
+
+def test_text_is_read_once_and_never_shuffled(spark, monkeypatch):
+    """Everything after the one pass over the texts works on stored words, ids and digests."""
+    from ratiocert.operators import ngrams
+    from ratiocert.plans import corpus
+
+    plans = []
+    for module in (corpus, ngrams):
+        kept = module.cut_lineage
+        monkeypatch.setattr(module, "cut_lineage", lambda df, kept=kept: plans.append(df._jdf.queryExecution().toString()) or kept(df))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.createDataFrame([(i, f"w{i % 3} " * 30, "en") for i in range(12)], "doc_id long, text string, lang string")
+        fit = corpus.fit_models(docs, min_count=1)
+        plans.append(corpus.corpus_scores(fit)._jdf.queryExecution().toString())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "text" in plans[0] and "Exchange" not in plans[0]
+    assert not any(re.search(r"\btext#", p) for p in plans[1:])
+
+
+def test_overlaps_of_all_sizes_take_one_scan(spark, tmp_path):
+    from ratiocert.operators import overlap
+
+    spark.createDataFrame([(1, ["a", "b"], ["b"]), (2, [], ["a"])], "id int, a array<string>, b array<string>").write.parquet(str(tmp_path / "p"))
+    pairs = spark.read.parquet(str(tmp_path / "p"))
+    plan = overlap.bleu(pairs, ["id"], "a", "b")._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[-1].count("FileScan") == 1
+    assert [tuple(r) for r in overlap.ngram_overlap(pairs, ["id"], "a", "b", 2).orderBy("id").collect()] == [(1, 0, 1, 0), (2, 0, 0, 0)]
