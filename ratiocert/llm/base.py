@@ -22,6 +22,12 @@ def query(key: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def reach_sql(edges: str, nodes: str) -> str:
+    """Subqueries ``both`` and ``reach`` (id, other): all that links (a, b) lead to; for the SQL of small tables."""
+    return (f"both_ways AS (SELECT a, b FROM {edges} UNION SELECT b, a FROM {edges}), "
+            f"reach(id, other) AS (SELECT id, id FROM {nodes} UNION SELECT r.id, e.b FROM reach r JOIN both_ways e ON r.other = e.a)")
+
+
 def bounded(spark: SparkSession) -> None:
     """Session settings that bound what a task and a job hold: Arrow batches of at most 8 MB, however long the texts,
     and no shuffle files beyond the job that wrote them (what later jobs read is stored)."""
@@ -39,6 +45,18 @@ def unit_number(*parts: Column | str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") / F.lit(float(2**53))
 
 
+def sampled(df: DataFrame, total: int, most: int, *key: str) -> DataFrame:
+    """About ``most`` of ``total`` rows: those whose digest of ``key`` is small. No row leaves its task for this."""
+    rate = most / max(total, 1)
+    return df if rate >= 1 else df.where(unit_number(F.lit("sample"), *key) < rate)
+
+
+def bounded_sample(df: DataFrame, total: int, most: int, *key: str) -> DataFrame:
+    """As ``sampled``, in the order of the digests and never more than ``most`` rows: few more reach the one task that cuts."""
+    some = sampled(df, total, most + 4 * int(most**0.5) + 4, *key)
+    return some.orderBy(unit_number(F.lit("sample"), *key), *key).limit(most)
+
+
 def word_count(text: str | Column) -> Column:
     """Runs of characters other than space and U+0009 to U+000D; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
