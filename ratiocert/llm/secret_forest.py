@@ -17,9 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .base import bounded
+from .base import bounded, bounded_sample, sampled
 
-SAMPLE_DOCS = 2000  # at most so many rows give letter pairs and dictionary
+SAMPLE_DOCS = 2000  # about so many rows give letter pairs and dictionary
 SAMPLE_FINDINGS = 20_000  # at most so many labelled findings train the forest
 DICTIONARY_WORDS = 2000
 
@@ -68,7 +68,7 @@ def _literal(text: str) -> str:
 
 def _letter_statistics(docs: DataFrame, id_col: str, text_col: str, sample: int) -> tuple[str, str]:
     """Cost (-log share) of each letter pair as a list, and the words most texts of a bounded sample hold."""
-    taken = docs.where(F.col(text_col).isNotNull()).orderBy(F.xxhash64(id_col), text_col).limit(sample).select(F.lower(text_col).alias("t"))
+    taken = sampled(docs, docs.count(), sample, id_col).select(F.lower(text_col).alias("t"))
     words = cut_lineage(taken.select(F.explode(F.expr("regexp_extract_all(t, '[a-z]{2,}', 0)")).alias("w")).groupBy("w").count())
     pairs = words.select(
         F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.substring(F.col("w"), i, F.lit(2)))).alias("p"), "count"
@@ -130,14 +130,14 @@ def distant_labels(found: DataFrame) -> DataFrame:
                             .when(~telling & (v.rlike(r"^[0-9 ().+_-]+$") | v.rlike("^[A-Za-z]+$")), 0.0))
 
 
-def fit_forest(labelled: DataFrame, trees: int = 20, depth: int = 6, seed: int = 11, sample: int = SAMPLE_FINDINGS) -> RandomForestClassificationModel | None:
-    """A forest from at most ``sample`` labelled findings (feature columns and ``label``), as many of either label where
-    there are; those with the smallest digest. None unless both labels occur."""
-    keyed = labelled.where("label IS NOT NULL").withColumn("__o", F.xxhash64("value", "before", "after"))
-    parts = [keyed.where(F.col("label") == y).orderBy("__o", "value", "before", "after").limit(sample // 2) for y in (0.0, 1.0)]
-    rows = cut_lineage(parts[0].union(parts[1]).select(*FEATURES, "label"))
-    if rows.select("label").distinct().count() < 2:
+def fit_forest(labelled: DataFrame, cost: str, dictionary: str, trees: int = 20, depth: int = 6, seed: int = 11, sample: int = SAMPLE_FINDINGS) -> RandomForestClassificationModel | None:
+    """A forest from at most ``sample`` labelled findings (value, before, after, source, ``label``), as many of either label
+    where there are, chosen by their digest. None unless both labels occur."""
+    counts = {r["label"]: r["count"] for r in labelled.where("label IS NOT NULL").groupBy("label").count().collect()}
+    if not counts.get(0.0) or not counts.get(1.0):
         return None
+    parts = [bounded_sample(labelled.where(F.col("label") == y), counts[y], sample // 2, "value", "before", "after") for y in (0.0, 1.0)]
+    rows = cut_lineage(with_features(parts[0].union(parts[1]), cost, dictionary).select(*FEATURES, "label"))
     ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxBins=32).fit(ready)
 
@@ -158,7 +158,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = cut_lineage(proposals(docs, id_col, text_col, source_col))
     cost, dictionary = _letter_statistics(docs.select(F.col(id_col).alias("__i"), F.col(text_col).alias("__t")), "__i", "__t", sample)
     known = distant_labels(found) if labelled is None else labelled
-    model = fit_forest(with_features(known, cost, dictionary))
+    model = fit_forest(known, cost, dictionary)
     if model is None:
         scored = found.withColumn("score", F.lit(1.0))
     else:

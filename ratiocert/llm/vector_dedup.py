@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .base import bounded
+from .base import bounded, bounded_sample
 from .components import components
 
 SAMPLE = 20_000  # at most so many vectors fit centres and code books; there are at most SAMPLE / 16 lists
@@ -118,7 +118,7 @@ def _unit(column: pa.Array) -> np.ndarray:
 def _links(distinct: DataFrame, cosine: float, sample: int, probes: int, seed: int) -> DataFrame:
     """(node, links, other): for each vector the copies of others that it is linked with, and edges to components' ends."""
     total = distinct.count()
-    taken = distinct.orderBy(F.xxhash64("node"), "node").limit(sample).select("v").toArrow().column("v").combine_chunks()
+    taken = bounded_sample(distinct, total, sample, "node").select("v").toArrow().column("v").combine_chunks()
     index = fit_index(_unit(taken), min(int(total**0.5), sample // 16), seed)
     sent = distinct.sparkSession.sparkContext.broadcast(index)
     reach = float(np.sqrt(max(2 - 2 * cosine, 0.0)))
