@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import bounded
+from .base import bounded, bounded_sample
 from .tokens import chunked, mixed, powers
 
 BITS = 17
@@ -150,7 +150,7 @@ def posteriors(model: ChainModel, emission: np.ndarray, first: np.ndarray) -> np
 
 
 def fit_chain(texts: list[str], langs: list[str], seed: int = 5, span: int = 32, batch: int = 64, rate: float = 0.3,
-              max_words: int = 400_000) -> ChainModel:
+              max_words: int = 300_000) -> ChainModel:
     """Adaptive gradient steps on the conditional likelihood of word labels in spliced sequences.
 
     Each sequence has ``span`` words; half of them are spliced from two texts at a random place, so that changes of
@@ -158,24 +158,24 @@ def fit_chain(texts: list[str], langs: list[str], seed: int = 5, span: int = 32,
     """
     labels = sorted(set(langs))
     rng = np.random.default_rng(seed)
-    slots, gold = [], []
-    at = 0
-    for first, some in chunked(lowered(t) for t in texts):
+    slots, gold = [np.zeros((0, 7 + 2 * 8), np.int32)], [np.zeros(0, np.int64)]
+    share = min(1.0, max_words / max(1, sum(map(len, texts)) / 5))
+    for first, some in chunked((lowered(t) for t in texts), 1 << 18):
         feats = WordFeatures(some)
-        words, places = feats.of_words(), feats.of_places()
         owner = np.repeat(np.arange(len(some)), np.diff(feats.first))
-        n = len(feats.start)
-        table = np.full((n, 7 + 2 * 8), -1, np.int64)
-        for j, slot in enumerate(words):
-            table[:, j] = slot
-        for j, slot in enumerate(places):
+        spans = np.arange(max(1, len(owner) // span) if len(owner) >= span else 0)
+        spans = spans[rng.random(len(spans)) < share]
+        chosen = (spans[:, None] * span + np.arange(span)).ravel()
+        table = np.full((len(chosen), 7 + 2 * 8), -1, np.int32)
+        for j, slot in enumerate(feats.of_words()):
+            table[:, j] = slot[chosen]
+        for j, slot in enumerate(feats.of_places()):
             for k in range(8):
-                spot = feats.start + k
-                ok = spot < feats.end
+                spot = feats.start[chosen] + k
+                ok = spot < feats.end[chosen]
                 table[ok, 7 + 8 * j + k] = slot[np.minimum(spot[ok], len(slot) - 1)]
         slots.append(table)
-        gold.append(np.array([labels.index(langs[first + i]) for i in range(len(some))], np.int64)[owner])
-        at += n
+        gold.append(np.array([labels.index(langs[first + i]) for i in range(len(some))], np.int64)[owner[chosen]])
     table, gold = np.concatenate(slots), np.concatenate(gold)
     n_seq = len(table) // span
     model = ChainModel(labels, np.zeros((1 << BITS, len(labels)), np.float32), np.zeros((len(labels),) * 2), np.zeros(len(labels)))
@@ -227,13 +227,13 @@ def fit_chain(texts: list[str], langs: list[str], seed: int = 5, span: int = 32,
 
 def fit_languages(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
                   sample: int = SAMPLE_DOCS) -> ChainModel | None:
-    """A model from at most ``sample`` rows with a label for which ``train`` holds: those with the smallest digest of
-    their id. None if there is no such row."""
+    """A model from at most ``sample`` rows with a label for which ``train`` holds, chosen by the digest of their id. None if
+    there is no such row."""
     rows = (
         docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-        .select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("o"))
-        .orderBy("o", "text", "lang").limit(sample).collect()
+        .select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     )
+    rows = bounded_sample(rows, docs.count(), sample, "id").orderBy("id", "text", "lang").collect()
     return fit_chain([r["text"] for r in rows], [r["lang"] for r in rows]) if rows else None
 
 
