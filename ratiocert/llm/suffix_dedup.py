@@ -4,6 +4,7 @@ Every place where a string of ``length`` bytes starts is a suffix of interest. I
 of the k-byte strings inside it, so that equal strings meet, and neighbouring places with the same smallest fingerprint
 travel as one stretch of text.
 
+0. Of equal texts only the one with the smallest id is looked at; the others are repeats from end to end.
 1. Fingerprints that only one document has can't repeat: counted in buckets of packed numbers, only the others come back.
 2. Stretches around the others are gathered; equal ones are combined (smallest id) before and after the shuffle.
 3. The suffixes of the stretches of one fingerprint are sorted: multikey quicksort over the first bytes, and blind tries
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.lookup import checked_broadcast
 from ..session import cut_lineage
 from .base import bounded
 from .tokens import byte_values, chunked, mixed, powers
@@ -163,7 +165,7 @@ def _shared_marks(narrow: DataFrame, length: int, buckets: int) -> DataFrame:
         head = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
         return pd.DataFrame({"id": owner[head], "marks": [_packed(x) for x in np.split(mark, head[1:])]})
 
-    counted = narrow.where("id IS NOT NULL").mapInArrow(emit, "bucket bigint, marks binary, owners binary, open binary")
+    counted = narrow.mapInArrow(emit, "bucket bigint, marks binary, owners binary, open binary")
     found = counted.groupBy("bucket").applyInPandas(settle, "part bigint, marks binary, owners binary")
     return found.groupBy("part").applyInPandas(by_document, "id bigint, marks binary")
 
@@ -331,14 +333,19 @@ def _owners_of_many(stretches: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
-    """(id, starts): for each document with something to remove, the runs (first, end) of places at which a string starts
+    """(id, runs): for each document with something to remove, the runs (first, end) of places at which a string starts
     that also starts in a document with a smaller id."""
     bounded(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    total = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    long_enough = narrow.where((F.octet_length("text") >= length) & F.col("id").isNotNull())
+    keys = cut_lineage(long_enough.select("id", F.octet_length("text").alias("size"), F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2")))
+    total = keys.agg(F.sum("size")).first()[0] or 0
+    first = keys.groupBy("h1", "h2", "size").agg(F.min("id").alias("keep"), F.max("id").alias("last")).where("keep < last")
+    copies = cut_lineage(keys.join(first, ["h1", "h2", "size"]).where("id <> keep").select("id", "size").distinct())
+    different_texts = long_enough.join(checked_broadcast(copies.select("id")), "id", "left_anti")
     buckets = max(8, -(-total // BUCKET_BYTES))
-    shared = cut_lineage(_shared_marks(narrow, length, buckets))
-    rows = narrow.where(F.octet_length("text") >= length).join(shared, "id")
+    shared = cut_lineage(_shared_marks(different_texts, length, buckets))
+    rows = different_texts.join(shared, "id")
     digest = F.xxhash64("content", F.lit(1))
     found = cut_lineage(_stretches(rows, length).withColumn("digest", digest))
     different = cut_lineage(found.groupBy("mark", "digest").agg(F.min("id").alias("id"), F.first("content").alias("content")))
@@ -355,7 +362,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hits = found.select("mark", "digest", "id", "place").join(owners, ["mark", "digest"]).where("owner < id").select(
         "id", F.struct((F.col("place") + F.col("first")).alias("first"), (F.col("place") + F.col("first") + F.col("n")).alias("end")).alias("run")
     )
-    return hits.groupBy("id").agg(F.collect_list("run").alias("runs"))
+    whole = copies.select("id", F.array(F.struct(F.lit(0).cast("long").alias("first"), (F.col("size") - length + 1).cast("long").alias("end"))).alias("runs"))
+    return hits.groupBy("id").agg(F.collect_list("run").alias("runs")).unionByName(whole)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
