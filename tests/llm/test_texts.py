@@ -83,6 +83,16 @@ def test_personal_data_edges_and_redaction(make, odd, nothing, spark):
     assert pii.find_personal_data(nothing).count() == 0 and pii.redact(nothing).count() == 0
 
 
+def test_more_proposals_than_the_sample_still_train(make):
+    """Each row has more proposals than the sample has room for on average; both parts and both labels must stay in it."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 12)))
+    number = lambda: r.choice(["", "+"]) + "-".join(str(r.randint(10, 9999)) for _ in range(4))
+    texts = [" ".join(f"{word()} {number()} {word()}" for _ in range(12)) for _ in range(300)]
+    scorer = pii.fit_scorer(make(list(enumerate(texts))), "doc_id", "text", sample=300)
+    assert scorer.trees is not None and scorer.threshold["phone"] <= 1
+
+
 def test_boosted_trees_learn_and_calibrate():
     from ratiocert.llm.boosting import calibrate, fit_boosted, threshold_for
 
