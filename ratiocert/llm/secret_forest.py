@@ -17,11 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .base import bounded, bounded_sample, sampled
+from .base import bounded, bounded_sample
 
-SAMPLE_DOCS = 2000  # about so many rows give letter pairs and dictionary
 SAMPLE_FINDINGS = 20_000  # at most so many labelled findings train the forest
-DICTIONARY_WORDS = 2000
+KNOWN_SHARE, KNOWN_LEAST = 1e-6, 3  # a word of the dictionary is in such a share of all documents, and in so many at least
 
 _NAMES = "password|passwd|pwd|secret|token|api_key|apikey|access_key|auth"
 _RUN = "A-Za-z0-9+/_-"
@@ -66,10 +65,11 @@ def _literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _letter_statistics(docs: DataFrame, id_col: str, text_col: str, sample: int) -> tuple[str, str]:
-    """Cost (-log share) of each letter pair as a list, and the words most texts of a bounded sample hold."""
-    taken = sampled(docs, docs.count(), sample, id_col).select(F.lower(text_col).alias("t"))
-    words = cut_lineage(taken.select(F.explode(F.expr("regexp_extract_all(t, '[a-z]{2,}', 0)")).alias("w")).groupBy("w").count())
+def _letter_statistics(docs: DataFrame, text_col: str) -> tuple[str, DataFrame]:
+    """Cost (-log share) of each letter pair as a list, and the dictionary as a table of words (w); both from all documents,
+    each word counted once a document."""
+    listed = docs.select(F.array_distinct(F.expr(f"regexp_extract_all(lower(`{text_col}`), '[a-z]{{2,}}', 0)")).alias("ws"))
+    words = cut_lineage(listed.select(F.explode("ws").alias("w")).groupBy("w").count())
     pairs = words.select(
         F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.substring(F.col("w"), i, F.lit(2)))).alias("p"), "count"
     ).groupBy("p").agg(F.sum("count").alias("n")).collect()
@@ -77,11 +77,37 @@ def _letter_statistics(docs: DataFrame, id_col: str, text_col: str, sample: int)
     total = sum(counts.values()) + 676
     letters = "abcdefghijklmnopqrstuvwxyz"
     cost = ",".join(f"{-math.log((counts.get(a + b, 0) + 1) / total):.3f}" for a in letters for b in letters)
-    common = words.where(F.length("w") >= 3).orderBy(F.desc("count"), "w").limit(DICTIONARY_WORDS).collect()
-    return cost, ",".join(r["w"] for r in common)
+    return cost, words.where((F.length("w") >= 3) & (F.col("count") >= max(KNOWN_LEAST, KNOWN_SHARE * docs.count()))).select("w")
 
 
-def with_features(found: DataFrame, cost: str, dictionary: str) -> DataFrame:
+def numbered(found: DataFrame) -> DataFrame:
+    """The findings, stored with a number each (``row``)."""
+    return cut_lineage(found.withColumn("row", F.monotonically_increasing_id()))
+
+
+def _known_words(found: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(row, covered, before_known, after_known) of the findings that hold words of the dictionary or stand by one."""
+    entry = lambda w, place: F.struct(w.alias("w"), F.lit(place).alias("place"))
+    runs = F.expr("regexp_extract_all(lower(value), '[a-z]{3,}', 0)")
+    words = found.select("row", F.explode(F.concat(
+        F.transform(runs, lambda w: entry(w, 0)), F.array(entry(_before_word(), 1), entry(_after_word(), 2)),
+    )).alias("x")).where("x.w <> ''").groupBy("row", F.col("x.w").alias("w"), F.col("x.place").alias("place")).count()
+    return words.join(dictionary, "w").groupBy("row").agg(
+        F.sum(F.when(F.col("place") == 0, F.length("w") * F.col("count")).otherwise(0)).alias("covered"),
+        F.max((F.col("place") == 1).cast("double")).alias("before_known"), F.max((F.col("place") == 2).cast("double")).alias("after_known"),
+    )
+
+
+def _before_word() -> Column:
+    return F.lower(F.regexp_extract("before", r"(\p{L}+)[^\p{L}]*$", 1))
+
+
+def _after_word() -> Column:
+    return F.lower(F.regexp_extract("after", r"^[^\p{L}]*(\p{L}+)", 1))
+
+
+def with_features(found: DataFrame, cost: str, dictionary: DataFrame) -> DataFrame:
+    """Adds FEATURES to findings that are :func:`numbered`."""
     v, low = F.col("value"), F.lower("value")
     n = F.greatest(F.length(v), F.lit(1)).cast("double")
 
@@ -91,32 +117,28 @@ def with_features(found: DataFrame, cost: str, dictionary: str) -> DataFrame:
     def bucket(word: Column) -> Column:
         return F.when(word == "", F.lit(-1.0)).otherwise(F.pmod(F.xxhash64(word), F.lit(32)).cast("double"))
 
-    costs, known = F.split(F.lit(cost), ",").cast("array<double>"), F.split(F.lit(dictionary), ",")
+    costs = F.split(F.lit(cost), ",").cast("array<double>")
     letters = F.regexp_replace(low, "[^a-z]+", " ")
     pairs = F.filter(
         F.transform(F.sequence(F.lit(1), F.greatest(F.length(letters) - 1, F.lit(1))), lambda i: F.substring(letters, i, F.lit(2))),
         lambda p: p.rlike("^[a-z]{2}$"),
     )
     place = lambda p: ((F.ascii(p) - 97) * 26 + F.ascii(F.substring(p, 2, 1)) - 97 + 1).cast("int")
-    runs = F.filter(F.split(letters, " "), lambda w: F.length(w) >= 3)
-    covered = F.aggregate(runs, F.lit(0), lambda acc, w: acc + F.when(F.array_contains(known, w), F.length(w)).otherwise(0))
-    before_word = F.lower(F.regexp_extract("before", r"(\p{L}+)[^\p{L}]*$", 1))
-    after_word = F.lower(F.regexp_extract("after", r"^[^\p{L}]*(\p{L}+)", 1))
-    return found.withColumns({
-        "pairs": pairs, "before_word": before_word, "after_word": after_word,
+    known = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    return found.join(_known_words(found, dictionary), "row", "left").withColumns({
+        "pairs": pairs, "before_word": _before_word(), "after_word": _after_word(),
     }).withColumns({
         "f_length": F.log1p(n), "f_digits": share("[0-9]"), "f_upper": share("[A-Z]"), "f_lower": share("[a-z]"), "f_marks": share("[^A-Za-z0-9]"),
         "f_changes": F.regexp_count(v, F.lit("(?<=[0-9])[A-Za-z]|(?<=[A-Za-z])[0-9]")) / n,
         "f_case_changes": F.regexp_count(v, F.lit("(?<=[a-z])[A-Z]|(?<=[A-Z])[a-z]")) / n,
         "f_letter_pairs": F.size("pairs") / n,
         "f_pair_cost": F.when(F.size("pairs") > 0, F.aggregate("pairs", F.lit(0.0), lambda acc, p: acc + F.element_at(costs, place(p))) / F.size("pairs")).otherwise(0.0),
-        "f_dictionary": covered / n, "f_slashes": share("/"), "f_source": F.pmod(F.xxhash64("source"), F.lit(16)).cast("double"),
+        "f_dictionary": known("covered") / n, "f_slashes": share("/"), "f_source": F.pmod(F.xxhash64("source"), F.lit(16)).cast("double"),
         "f_before": bucket(F.col("before_word")), "f_after": bucket(F.col("after_word")),
         "f_assigned": F.col("before").rlike("[=:]\\s*[\"']?$").cast("double"), "f_quoted": F.col("before").rlike("[\"']$").cast("double"),
-        "f_before_known": F.array_contains(known, F.col("before_word")).cast("double"),
-        "f_after_known": F.array_contains(known, F.col("after_word")).cast("double"),
+        "f_before_known": known("before_known"), "f_after_known": known("after_known"),
         "f_named": F.col("before_word").rlike(f"(?:{_NAMES.replace('_', '|')})$").cast("double"),
-    }).drop("pairs")
+    }).drop("pairs", "covered", "before_known", "after_known")
 
 
 def distant_labels(found: DataFrame) -> DataFrame:
@@ -130,20 +152,21 @@ def distant_labels(found: DataFrame) -> DataFrame:
                             .when(~telling & (v.rlike(r"^[0-9 ().+_-]+$") | v.rlike("^[A-Za-z]+$")), 0.0))
 
 
-def fit_forest(labelled: DataFrame, cost: str, dictionary: str, trees: int = 20, depth: int = 6, seed: int = 11, sample: int = SAMPLE_FINDINGS) -> RandomForestClassificationModel | None:
+def fit_forest(labelled: DataFrame, cost: str, dictionary: DataFrame, trees: int = 20, depth: int = 6, seed: int = 11, sample: int = SAMPLE_FINDINGS) -> RandomForestClassificationModel | None:
     """A forest from at most ``sample`` labelled findings (value, before, after, source, ``label``), as many of either label
     where there are, chosen by their digest. None unless both labels occur."""
+    labelled = labelled.select("value", "before", "after", "source", "label")
     counts = {r["label"]: r["count"] for r in labelled.where("label IS NOT NULL").groupBy("label").count().collect()}
     if not counts.get(0.0) or not counts.get(1.0):
         return None
     parts = [bounded_sample(labelled.where(F.col("label") == y), counts[y], sample // 2, "value", "before", "after") for y in (0.0, 1.0)]
-    rows = cut_lineage(with_features(parts[0].union(parts[1]), cost, dictionary).select(*FEATURES, "label"))
+    rows = cut_lineage(with_features(numbered(parts[0].union(parts[1])), cost, dictionary).select(*FEATURES, "label"))
     ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxBins=32).fit(ready)
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source",
-                 labelled: DataFrame | None = None, threshold: float = 0.5, sample: int = SAMPLE_DOCS) -> DataFrame:
+                 labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """(id, start, end, value_sha256, format, score, secret): every proposal of every whole text, in code points.
 
     ``labelled`` has value, before, after, source and a 0/1 ``label`` of findings that were looked at; without it, labels are
@@ -155,8 +178,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     not kept, so that none can clash. An empty table gives an empty result.
     """
     bounded(docs.sparkSession)
-    found = cut_lineage(proposals(docs, id_col, text_col, source_col))
-    cost, dictionary = _letter_statistics(docs.select(F.col(id_col).alias("__i"), F.col(text_col).alias("__t")), "__i", "__t", sample)
+    found = numbered(proposals(docs, id_col, text_col, source_col))
+    cost, dictionary = _letter_statistics(docs, text_col)
     known = distant_labels(found) if labelled is None else labelled
     model = fit_forest(known, cost, dictionary)
     if model is None:

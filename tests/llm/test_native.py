@@ -1,6 +1,7 @@
 """Mixing, reply trees and secrets: hand-made cases, plain versions and edges."""
 
 import hashlib
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,6 +127,23 @@ def test_secrets_are_told_from_numbers_and_words(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_dictionary_and_letter_pairs_come_from_all_documents(spark):
+    """Words of a small source, among more documents and words than a sample of 2,000 would hold."""
+    text = F.when(F.col("id") % 1000 == 7, "zyxzyx qwvqwv").otherwise(F.concat_ws(" ", *[
+        F.translate(F.format_string("w%05d", F.pmod(F.col("id") * 7 + k, F.lit(2500))), "0123456789", "abcdefghij") for k in range(6)]))
+    docs = spark.range(8000).select(F.col("id").alias("doc_id"), text.alias("text"))
+    cost, dictionary = secret_forest._letter_statistics(docs, "text")
+    known = {x["w"] for x in dictionary.collect()}
+    assert {"zyxzyx", "qwvqwv"} <= known and len(known) == 2502
+    costs = [float(x) for x in cost.split(",")]
+    place = lambda p: (ord(p[0]) - 97) * 26 + ord(p[1]) - 97
+    n_pairs = 7992 * 6 * 5 + 8 * 10
+    assert costs[place("qw")] == pytest.approx(-math.log((2 * 8 + 1) / (n_pairs + 676)), abs=1e-3)
+    found = secret_forest.numbered(spark.createDataFrame([("zyxzyxzyxzyx-zyxzyx-1", "s", "qwvqwv = ", " nothing")], "value string, source string, before string, after string"))
+    row = secret_forest.with_features(found, cost, dictionary).first()
+    assert row["f_dictionary"] == pytest.approx(6 / 21) and (row["f_before_known"], row["f_after_known"]) == (1.0, 0.0)
+
+
 def test_secret_edges(spark, odd, nothing):
     assert secret_forest.find_secrets(nothing).count() == 0
     assert secret_forest.find_secrets(odd).where("doc_id IN (3, 4, 5, 7)").count() == 0
