@@ -24,14 +24,20 @@ KNOWN_SHARE, KNOWN_LEAST = 1e-6, 3  # a word of the dictionary is in such a shar
 
 _NAMES = "password|passwd|pwd|secret|token|api_key|apikey|access_key|auth"
 _RUN = "A-Za-z0-9+/_-"
+_ASSIGNED = rf"(?i:{_NAMES})[\"']?[ ]{{0,3}}[=:][ ]{{0,3}}[\"']?"  # what stands before an assigned value
+# A key block goes to its END line, whatever its length and headers; one that is cut off goes on as long as it looks like a key.
+_BLOCK = (
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END [A-Z ]{0,40}PRIVATE KEY-----"
+    r"|(?:\s*+(?:Proc-Type|DEK-Info):[^\n]*+)*+[A-Za-z0-9+/=\s]*+)"
+)
 PROPOSAL = (
-    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,8000}(?:-----END [A-Z ]{0,40}PRIVATE KEY-----)?"
-    rf"|(?<=(?:{_NAMES})[ ]{{0,3}}[=:][ ]{{0,3}}[\"']?)[^\s\"'=:][^\s\"']{{5,}}"
+    _BLOCK
+    + rf"|(?<=[=: \"'])(?<={_ASSIGNED})[^\s\"'=:][^\s\"']{{5,}}"
     rf"|(?<![{_RUN}])AKIA[0-9A-Z]{{16}}(?![{_RUN}])"
     rf"|(?<![{_RUN}])(?=[{_RUN}]*?[0-9])[{_RUN}]{{12,}}+={{0,2}}"
     r"|(?<![A-Za-z])[A-Za-z]{24,}+"
 )
-_WORTH_A_LOOK = rf"[0-9]|{_NAMES}|AKIA|PRIVATE KEY|[A-Za-z]{{24}}"
+_WORTH_A_LOOK = rf"[0-9]|(?i:{_NAMES})|AKIA|PRIVATE KEY|[A-Za-z]{{24}}"
 
 FEATURES = [
     "f_length", "f_digits", "f_upper", "f_lower", "f_marks", "f_changes", "f_case_changes", "f_letter_pairs", "f_pair_cost", "f_dictionary",
@@ -118,11 +124,7 @@ def with_features(found: DataFrame, cost: str, dictionary: DataFrame) -> DataFra
         return F.when(word == "", F.lit(-1.0)).otherwise(F.pmod(F.xxhash64(word), F.lit(32)).cast("double"))
 
     costs = F.split(F.lit(cost), ",").cast("array<double>")
-    letters = F.regexp_replace(low, "[^a-z]+", " ")
-    pairs = F.filter(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.length(letters) - 1, F.lit(1))), lambda i: F.substring(letters, i, F.lit(2))),
-        lambda p: p.rlike("^[a-z]{2}$"),
-    )
+    pairs = F.regexp_extract_all(low, F.lit("(?=([a-z]{2}))"), F.lit(1))  # one pass, however long a key block is
     place = lambda p: ((F.ascii(p) - 97) * 26 + F.ascii(F.substring(p, 2, 1)) - 97 + 1).cast("int")
     known = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     return found.join(_known_words(found, dictionary), "row", "left").withColumns({
@@ -145,7 +147,7 @@ def distant_labels(found: DataFrame) -> DataFrame:
     """Findings with a label where one is plain: known formats and assigned values that look random are secrets; bare numbers,
     and words without digits that nothing assigns, are not. Others get none."""
     v = F.col("value")
-    telling = F.col("before").rlike(rf"(?i)(?:{_NAMES})[ ]{{0,3}}[=:][ ]{{0,3}}[\"']?$")
+    telling = F.col("before").rlike(f"{_ASSIGNED}$")
     random_looking = v.rlike("[0-9]") & v.rlike("[A-Za-z]") & (F.length(v) >= 12)
     return found.withColumn("label", F.when(v.rlike("^AKIA[0-9A-Z]{16}$") | v.startswith("-----BEGIN "), 1.0)
                             .when(telling & random_looking, 1.0)

@@ -127,6 +127,27 @@ def test_secrets_are_told_from_numbers_and_words(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_assigned_values_and_whole_key_blocks_are_proposed(spark):
+    values = ["letmein!now", "s3cr3t!x", "abcdefghijklmnop", "correcthorse", "hunter2x", "hunter3x"]
+    lines = ["DB_PASSWORD={}", "SECRET={}", 'API_KEY = "{}"', "Password: {}", '{{"password": "{}"}}', "{{'Auth' : '{}'}}"]
+    body = "\n".join("QUJDabcd+/01" * 5 for _ in range(400))  # some 24,000 characters
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,00FF-11\n\n"
+    block = "-----BEGIN RSA PRIVATE KEY-----\n{}\n-----END RSA PRIVATE KEY-----"
+    blocks = [block.format(body), block.format(head + body)]
+    cut_off = "-----BEGIN PRIVATE KEY-----\n" + body
+    texts = {i: (t.format(v), [v]) for i, (t, v) in enumerate(zip(lines, values, strict=True))}
+    texts |= {10: ("see " + blocks[0] + ", end", blocks[:1]), 11: (f"{blocks[1]} and {blocks[0]}.", blocks[::-1]), 12: (f"{cut_off}, {blocks[1]}", [cut_off, blocks[1]])}
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id long, text string")
+    rows = secret_forest.proposals(docs, "doc_id", "text", None).orderBy("id", "start").collect()
+    for i, (text, expected) in texts.items():
+        mine = [x for x in rows if x["id"] == i]
+        assert sorted(x["value"] for x in mine) == sorted(expected)
+        assert all(text[x["start"]:x["end"]] == x["value"] for x in mine)
+    labels = secret_forest.distant_labels(spark.createDataFrame([("abcd1234efgh5678", 'x "API_KEY": "', "")], "value string, before string, after string"))
+    assert labels.first()["label"] == 1.0
+    assert secret_forest.find_secrets(docs, source_col=None).where("secret").count() == 11
+
+
 def test_dictionary_and_letter_pairs_come_from_all_documents(spark):
     """Words of a small source, among more documents and words than a sample of 2,000 would hold."""
     text = F.when(F.col("id") % 1000 == 7, "zyxzyx qwvqwv").otherwise(F.concat_ws(" ", *[
