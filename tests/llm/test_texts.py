@@ -93,6 +93,27 @@ def test_more_proposals_than_the_sample_still_train(make):
     assert scorer.trees is not None and scorer.threshold["phone"] <= 1
 
 
+def test_spelled_addresses_and_national_phones_are_added(make):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 9)))
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    texts = []
+    for _ in range(400):
+        strict = [f"mail {word()}.{word()}@{word()}.com for {word()}", f"call +{digits(3)}-{digits(3)}-{digits(4)} now {word()}", f"call +1 ({digits(3)}) {digits(3)}-{digits(4)} or {word()}"]
+        other = [f"on 20{r.randint(10, 24)}-{r.randint(10, 12)}-{r.randint(10, 28)} at {word()}", f"value {r.randint(0, 99)}.{digits(7)} of {word()}", f"at {r.randint(1, 9)} (at) {r.randint(1, 9)}.{digits(2)} each"]
+        texts.append(" ".join([word(), r.choice(strict), word(), r.choice(other), word()]))
+    wanted = ["call 318-555-2368 now", "mail jane.doe (at) example (dot) com for it", "on 2024-11-23 at noon", "value 3.1415926 of pi", "at 7 (at) 2.50 each"]
+    rows = pii.find_personal_data(make([*enumerate(texts), *enumerate(wanted, 1000)])).where("doc_id >= 1000").orderBy("doc_id").collect()
+    assert [x["redacted"] for x in rows] == ["call [PHONE] now", "mail [EMAIL] for it", *wanted[2:]] and all(x["base"] == "" for x in rows)
+
+
+def test_masked_spans_hold_the_same_words():
+    text = "a.b@c.example.com, +1 (318) 555-2368 or 10.0.0.1 and d@e.org"
+    plain, spans = pii.masked(text, pii.strict_spans(text))
+    assert "+" not in plain and [plain[a:b] for a, b in spans["phone"]] == ["1 (318) 555-2368"] and [plain[a:b] for a, b in spans["ip"]] == ["10.0.0.1"]
+    assert [re.sub(r"[ (\[]*at[)\] ]*| @ ", "@", plain[a:b]).replace("(dot)", ".").replace("[dot]", ".").replace(" ", "") for a, b in spans["email"]] == ["a.b@c.example.com", "d@e.org"]
+
+
 def test_boosted_trees_learn_and_calibrate():
     from ratiocert.llm.boosting import calibrate, fit_boosted, threshold_for
 
