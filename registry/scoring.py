@@ -96,7 +96,7 @@ def tok_bpe_pairs(spark, sf):
 
 @query("tok_bpe_train")
 def tok_bpe_train(spark, sf):
-    return W.learn_merges(wide_table(spark, sf, "documents"), Q.words(F.col("text")), rounds=12)
+    return W.learn_merges(wide_table(spark, sf, "documents"), _pieces(), vocabulary=400)
 
 
 # --- n-gram models ---------------------------------------------------------------------------------

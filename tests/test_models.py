@@ -110,6 +110,15 @@ def test_merges(spark):
     assert [(r["left"], r["right"], r["freq"]) for r in got] == brute_merges(texts, 6)
 
 
+def test_merges_of_the_query_go_on_and_see_digits_and_marks(spark, monkeypatch):
+    from registry import scoring
+
+    df = spark.createDataFrame([("2024 !!! Abcdefghij 2024",), ("2024 !!! abcdefghij",)], "text string")
+    monkeypatch.setattr(scoring, "wide_table", lambda *_: df)
+    got = {(r["left"], r["right"]) for r in scoring.tok_bpe_train(spark, "").collect()}
+    assert len(got) == 3 + 2 + 9 and ("!", "!") in got and {a + b for a, b in got} >= {"2024", "!!!", "abcdefghij"}
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
