@@ -233,7 +233,7 @@ def fit_languages(docs: DataFrame, train: Column, text_col: str = "text", lang_c
         docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
         .select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     )
-    rows = bounded_sample(rows, docs.count(), sample, "id").orderBy("id", "text", "lang").collect()
+    rows = bounded_sample(rows, rows.count(), sample, "id").orderBy("id", "text", "lang").collect()
     return fit_chain([r["text"] for r in rows], [r["lang"] for r in rows]) if rows else None
 
 

@@ -169,6 +169,12 @@ def test_code_switched_text_gets_both_labels(make, spark):
     assert got[2]["lang_pred"] == "de" and got[3]["lang_pred"] == got[4]["lang_pred"] == "und" and got[4]["score"] == 0
 
 
+def test_few_labels_fill_the_sample(spark, monkeypatch):
+    docs = spark.range(5000).selectExpr("id AS doc_id", "'some words' AS text", "IF(id % 50 = 0, 'en', NULL) AS lang")
+    monkeypatch.setattr(crf, "fit_chain", lambda texts, langs: len(texts))
+    assert crf.fit_languages(docs, F.lit(True), sample=50) == 50
+
+
 def test_language_edges(odd, nothing):
     model = small_model()
     got = crf.predict_languages(odd, model)
