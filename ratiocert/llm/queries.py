@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_a, queries_b, queries_c  # noqa: F401
+from . import queries_a, queries_b, queries_c, queries_d  # noqa: F401
 from .base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
