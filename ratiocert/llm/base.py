@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -40,6 +42,29 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+class Shelf:
+    """Stored steps of one operator, whose files go once no later step reads them."""
+
+    def __init__(self):
+        self.places: dict[int, tuple[DataFrame, list[str]]] = {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        stored = cut_lineage(df)
+        self.places[id(stored)] = stored, sorted({f.rsplit("/", 1)[0] for f in stored.inputFiles()})
+        return stored
+
+    def drop(self, *stored: DataFrame | None) -> None:
+        """Removes the files of tables kept here; others are left as they are."""
+        for df in stored:
+            held, places = self.places.pop(id(df), (None, []))
+            if held is None:
+                continue
+            jvm, conf = held.sparkSession._jvm, held.sparkSession._jsc.hadoopConfiguration()
+            for place in places:
+                path = jvm.org.apache.hadoop.fs.Path(place)
+                path.getFileSystem(conf).delete(path, True)
+
+
 def unit_number(*parts: Column | str) -> Column:
     """A number in [0, 1) that depends on the values alone, so that retries and reruns agree."""
     return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") / F.lit(float(2**53))

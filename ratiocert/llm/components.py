@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from .base import Shelf
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,7 +14,8 @@ def components(edges: DataFrame) -> DataFrame:
     Each round stores the edges; rounds grow with the logarithm of the longest path. Only minima are aggregated per node,
     so a node with many edges is combined before the shuffle, and the joins back can be split where a key is skewed.
     """
-    now = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    shelf = Shelf()
+    now = shelf.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while not _settled(now):
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -23,7 +24,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             lower.select("u", F.col("m").alias("v"))
         ).distinct()
-        now = cut_lineage(small)
+        last, now = now, shelf.keep(small)
+        shelf.drop(last)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         now.select("v", "v").distinct()
     )
