@@ -171,11 +171,11 @@ def _shared_marks(narrow: DataFrame, length: int, buckets: int) -> DataFrame:
 
 
 def _stretches(docs: DataFrame, length: int) -> DataFrame:
-    """(mark, content, id, place, n): the stretches of (id, text, marks) rows; n places of interest from ``place`` on."""
+    """(mark, content, id, h1, place, n): the stretches of (id, h1, text, marks) rows; n places of interest from ``place`` on."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "h1"))
             texts, wanted = batch.column("text").to_pylist(), batch.column("marks")
             for first, some in chunked(texts):
                 starts = _Starts(some, length)
@@ -206,11 +206,11 @@ def _stretches(docs: DataFrame, length: int) -> DataFrame:
                 )
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(mark.view(np.int64)), content, pa.array(ids[first + text].astype(np.int64)),
-                     pa.array(place - starts.begin[text]), pa.array(size)],
-                    names=["mark", "content", "id", "place", "n"],
+                     pa.array(keys[first + text].astype(np.int64)), pa.array(place - starts.begin[text]), pa.array(size)],
+                    names=["mark", "content", "id", "h1", "place", "n"],
                 )
 
-    return docs.mapInArrow(emit, "mark bigint, content binary, id bigint, place bigint, n bigint")
+    return docs.mapInArrow(emit, "mark bigint, content binary, id bigint, h1 bigint, place bigint, n bigint")
 
 
 def _words_at(buffer: np.ndarray, place: np.ndarray, first: int, size: int) -> np.ndarray:
@@ -333,18 +333,18 @@ def _owners_of_many(stretches: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
-    """(id, runs): for each document with something to remove, the runs (first, end) of places at which a string starts
-    that also starts in a document with a smaller id."""
+    """(id, h1, runs): for each document with something to remove, the runs (first, end) of places at which a string starts
+    that also starts in a document with a smaller id. Rows that share an id are told apart by ``h1``, the digest of their text."""
     bounded(docs.sparkSession)
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    narrow = _keyed(docs, id_col, text_col)
     long_enough = narrow.where((F.octet_length("text") >= length) & F.col("id").isNotNull())
-    keys = cut_lineage(long_enough.select("id", F.octet_length("text").alias("size"), F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2")))
+    keys = cut_lineage(long_enough.select("id", F.octet_length("text").alias("size"), "h1", F.xxhash64("text", F.lit(1)).alias("h2")))
     total = keys.agg(F.sum("size")).first()[0] or 0
     first = keys.groupBy("h1", "h2", "size").agg(F.min("id").alias("keep"), F.max("id").alias("last")).where("keep < last")
-    copies = cut_lineage(keys.join(first, ["h1", "h2", "size"]).where("id <> keep").select("id", "size").distinct())
-    different_texts = long_enough.join(checked_broadcast(copies.select("id")), "id", "left_anti")
+    copies = cut_lineage(keys.join(first, ["h1", "h2", "size"]).where("id <> keep").select("id", "h1", "size").distinct())
+    different_texts = long_enough.join(checked_broadcast(copies.select("id", "h1")), ["id", "h1"], "left_anti")
     buckets = max(8, -(-total // BUCKET_BYTES))
-    shared = cut_lineage(_shared_marks(different_texts, length, buckets))
+    shared = cut_lineage(_shared_marks(different_texts.select("id", "text"), length, buckets))
     rows = different_texts.join(shared, "id")
     digest = F.xxhash64("content", F.lit(1))
     found = cut_lineage(_stretches(rows, length).withColumn("digest", digest))
@@ -359,11 +359,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n_buckets = max(8, -(-total // BUCKET_BYTES) * 2)
     owners = _owners(few.withColumn("bucket", F.pmod("mark", F.lit(n_buckets))), length)
     owners = cut_lineage(owners if of_many is None else owners.unionByName(of_many))
-    hits = found.select("mark", "digest", "id", "place").join(owners, ["mark", "digest"]).where("owner < id").select(
-        "id", F.struct((F.col("place") + F.col("first")).alias("first"), (F.col("place") + F.col("first") + F.col("n")).alias("end")).alias("run")
+    hits = found.select("mark", "digest", "id", "h1", "place").join(owners, ["mark", "digest"]).where("owner < id").select(
+        "id", "h1", F.struct((F.col("place") + F.col("first")).alias("first"), (F.col("place") + F.col("first") + F.col("n")).alias("end")).alias("run")
     )
-    whole = copies.select("id", F.array(F.struct(F.lit(0).cast("long").alias("first"), (F.col("size") - length + 1).cast("long").alias("end"))).alias("runs"))
-    return hits.groupBy("id").agg(F.collect_list("run").alias("runs")).unionByName(whole)
+    whole = copies.select("id", "h1", F.array(F.struct(F.lit(0).cast("long").alias("first"), (F.col("size") - length + 1).cast("long").alias("end"))).alias("runs"))
+    return hits.groupBy("id", "h1").agg(F.collect_list("run").alias("runs")).unionByName(whole)
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    return narrow.withColumn("h1", F.xxhash64("text"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
@@ -376,7 +381,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     can clash. An empty table gives an empty result.
     """
     spans = cut_lineage(repeated_spans(docs, id_col, text_col, length))
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    narrow = _keyed(docs, id_col, text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -405,7 +410,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 names=["id", "n_bytes", "n_removed", "spans", "kept"],
             )
 
-    done = narrow.join(spans, "id", "left").select("id", "text", "runs").mapInArrow(
+    done = narrow.join(spans, ["id", "h1"], "left").select("id", "text", "runs").mapInArrow(
         cut, "id bigint, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
     )
     return done.withColumnRenamed("id", id_col)
