@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.lookup import checked_broadcast
 from ..session import cut_lineage
 from .base import bounded, bounded_sample
 from .components import components
@@ -108,8 +109,12 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _unit(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    x = flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return _scaled(flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1)))
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
     scale = np.abs(x).max(1, keepdims=True)
     x = x / scale
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -122,6 +127,8 @@ def _links(distinct: DataFrame, cosine: float, sample: int, probes: int, seed: i
     index = fit_index(_unit(taken), min(int(total**0.5), sample // 16), seed)
     sent = distinct.sparkSession.sparkContext.broadcast(index)
     reach = float(np.sqrt(max(2 - 2 * cosine, 0.0)))
+    # Vectors travel as they are stored and are scaled where they meet.
+    sort = np.float32 if distinct.schema["v"].dataType.elementType.simpleString() == "float" else np.float64
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
@@ -134,7 +141,8 @@ def _links(distinct: DataFrame, cosine: float, sample: int, probes: int, seed: i
             n = np.array([len(v) for v in visits])
             row = np.repeat(np.arange(len(x)), n)
             at = np.concatenate(visits)
-            packed = [v.tobytes() for v in x]
+            stored = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(sort).reshape(len(x), -1)
+            packed = [v.tobytes() for v in stored]
             lists = pa.array([v.astype(np.int32).tobytes() for v in visits], pa.binary())
             for query in (True, False):
                 r = row if query else np.arange(len(x))
@@ -154,7 +162,7 @@ def _links(distinct: DataFrame, cosine: float, sample: int, probes: int, seed: i
     ).where("members > 0 AND queries > 0")
     own = F.pmod(F.xxhash64("node"), F.when(F.col("query"), F.col("queries")).otherwise(F.col("members"))).cast("int")
     across = F.explode(F.sequence(F.lit(0), F.when(F.col("query"), F.col("members")).otherwise(F.col("queries")) - 1))
-    dealt = placed.join(size, "list").withColumn("own", own).withColumn("across", across).withColumns({
+    dealt = placed.join(checked_broadcast(size), "list").withColumn("own", own).withColumn("across", across).withColumns({
         "mb": F.when(F.col("query"), F.col("across")).otherwise(F.col("own")),
         "qb": F.when(F.col("query"), F.col("own")).otherwise(F.col("across")),
     })
@@ -167,7 +175,7 @@ def _links(distinct: DataFrame, cosine: float, sample: int, probes: int, seed: i
         if not len(members) or not len(queries):
             return none
         of = int(group["list"].iloc[0])
-        m, q = (np.frombuffer(b"".join(g["v"]), np.float64).reshape(len(g), -1) for g in (members, queries))
+        m, q = (_scaled(np.frombuffer(b"".join(g["v"]), sort).reshape(len(g), -1)) for g in (members, queries))
         codes = np.frombuffer(b"".join(members["codes"]), np.uint8).reshape(len(members), -1)
         bound = (reach + members["left"].to_numpy() + 1e-6) ** 2
         m_id, q_id = members["node"].to_numpy(), queries["node"].to_numpy()
@@ -198,7 +206,8 @@ def _links(distinct: DataFrame, cosine: float, sample: int, probes: int, seed: i
         some = links > 0
         return pd.DataFrame({"node": ids[some], "links": links[some].astype(np.int64), "other": ids[label[some]]})
 
-    return dealt.groupBy("list", "mb", "qb").applyInPandas(search, "node bigint, links bigint, other bigint")
+    # Partitioned by the list alone, all blocks of a list would be in one task.
+    return dealt.repartition("list", "mb", "qb").groupBy("list", "mb", "qb").applyInPandas(search, "node bigint, links bigint, other bigint")
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95,
