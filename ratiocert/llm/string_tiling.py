@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .base import bounded, word_count
 from .tokens import Words, chunked, mixed
 
@@ -172,50 +173,78 @@ def tile_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     that are not contaminated, with all their columns.
 
     ``n_items`` items reach ``coverage``; ``item_id`` is the one covered most (ties: smallest id), null if none shares a
-    seed. The test set is sent to the executors in slices of at most ``slice_words`` words; a larger one takes one pass over
-    the texts per slice. Items of fewer words than a seed have their whole text as seed.
+    seed. The test set is sent to the executors in slices of at most ``slice_words`` words, one at a time: a larger one takes one
+    pass over the texts per slice, with the rows stored in between. Items of fewer words than a seed have their whole text as seed.
 
     Null and empty texts share nothing; items without words are left out; an empty test set leaves all texts clean.
     Repeated rows are judged each. Without ``keep``, columns other than the id are not kept, so that none can clash.
     """
     bounded(docs.sparkSession)
-    spark = docs.sparkSession
-    sent = [spark.sparkContext.broadcast(s) for s in _slices(benchmark, item_col, item_text_col, seed_words, slice_words)]
-
-    def judged(texts: list[bytes | None]) -> Iterator[tuple[int, int | None, float, int]]:
-        parts = [s.value for s in sent]
-        for _, some in chunked(texts):
-            words = Words(some)
-            found: dict[int, list[tuple[float, int, int]]] = {}
-            for part in parts:
-                for t, k in sorted(part.candidates(words)):
-                    share, n = coverage_of(part.items[k], words.hash[words.first[t]:words.first[t + 1]], tile_words)
-                    found.setdefault(t, []).append((-share, part.ids[k], n))
-            for t in range(len(some)):
-                mine = sorted(found.get(t, []))
-                reached = sum(-s >= coverage for s, _, _ in mine)
-                yield (reached, mine[0][1], -mine[0][0], mine[0][2]) if mine else (0, None, 0.0, 0)
-
+    item_kind = benchmark.schema[item_col].dataType.simpleString()
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    kind = narrow.schema["id"].dataType.simpleString()
+    begin = narrow.select("id", "text", F.lit(0).cast("long").alias("n"), F.lit(None).cast(item_kind).alias("item"), F.lit(0.0).alias("share"), F.lit(0).cast("long").alias("tiles"))
+    now = docs if keep else begin
+    slices = _slices(benchmark, item_col, item_text_col, seed_words, slice_words)
+    part = next(slices, None)
+    while part is not None:
+        after = next(slices, None)  # the one slice that waits in the driver
+        sent = docs.sparkSession.sparkContext.broadcast(part)
+        if keep:
+            now = _clean(now, sent, text_col, tile_words, coverage)
+        else:
+            now = _judge(now, sent, tile_words, coverage, kind, item_kind, last=after is None)
+        if after is not None:
+            now = cut_lineage(now)
+            sent.destroy()
+        part = after
     if keep:
-        at = docs.columns.index(text_col)
+        return now
+    return now.select(
+        F.col("id").alias(id_col), (F.col("n") > 0).alias("contaminated"), F.col("n").alias("n_items"), F.col("item").alias("item_id"),
+        F.col("share").alias("coverage"), F.col("tiles").alias("n_tiles"),
+    )
+
+
+def _verdicts(part: _Slice, texts: list[bytes | None], tile_words: int, coverage: float) -> Iterator[tuple]:
+    """(items that reach the coverage, the item covered most, its share, its tiles) of each text."""
+    for _, some in chunked(texts):
+        words = Words(some)
+        found: dict[int, list[tuple]] = {}
+        for t, k in sorted(part.candidates(words)):
+            share, n = coverage_of(part.items[k], words.hash[words.first[t]:words.first[t + 1]], tile_words)
+            found.setdefault(t, []).append((-share, part.ids[k], n))
+        for t in range(len(some)):
+            mine = sorted(found.get(t, []))
+            reached = sum(-s >= coverage for s, _, _ in mine)
+            yield (reached, mine[0][1], -mine[0][0], mine[0][2]) if mine else (0, None, 0.0, 0)
+
+
+def _clean(docs: DataFrame, sent, text_col: str, tile_words: int, coverage: float) -> DataFrame:
+    at = docs.columns.index(text_col)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).cast(pa.binary()).to_pylist()
+            yield batch.filter(pa.array([r[0] == 0 for r in _verdicts(sent.value, texts, tile_words, coverage)], pa.bool_()))
 
-        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts = batch.column(at).cast(pa.binary()).to_pylist()
-                yield batch.filter(pa.array([r[0] == 0 for r in judged(texts)], pa.bool_()))
+    return docs.mapInArrow(clean, docs.schema)
 
-        return docs.mapInArrow(clean, docs.schema)
 
+def _judge(rows: DataFrame, sent, tile_words: int, coverage: float, kind: str, item_kind: str, last: bool) -> DataFrame:
+    """The verdicts so far with those of one slice; the text goes on unless the slice is the last."""
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = list(judged(batch.column("text").to_pylist()))
-            n, item, share, count = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([x > 0 for x in n], pa.bool_()), pa.array(n, pa.int64()), pa.array(item, pa.int64()),
-                 pa.array(share, pa.float64()), pa.array(count, pa.int64())],
-                names=[id_col, "contaminated", "n_items", "item_id", "coverage", "n_tiles"],
-            )
-
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    kind = narrow.schema["id"].dataType.simpleString()
-    return narrow.mapInArrow(judge, f"`{id_col}` {kind}, contaminated boolean, n_items bigint, item_id bigint, coverage double, n_tiles bigint")
+            n, item, share, tiles = (batch.column(c).to_pylist() for c in ("n", "item", "share", "tiles"))
+            for row, (reached, best, most, count) in enumerate(_verdicts(sent.value, batch.column("text").to_pylist(), tile_words, coverage)):
+                n[row] += reached
+                if best is not None and (item[row] is None or (-most, best) < (-share[row], item[row])):
+                    item[row], share[row], tiles[row] = best, most, count
+            held = [
+                batch.column("id"), *([] if last else [batch.column("text")]), pa.array(n, pa.int64()),
+                pa.array(item, batch.column("item").type), pa.array(share, pa.float64()), pa.array(tiles, pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays(held, names=["id", *([] if last else ["text"]), "n", "item", "share", "tiles"])
+
+    text = "" if last else "text binary, "
+    return rows.mapInArrow(judge, f"id {kind}, {text}n bigint, item {item_kind}, share double, tiles bigint")
