@@ -41,7 +41,7 @@ def test_components_of_paths_stars_and_loops(spark):
 def plain_jaccard(texts, n, percent):
     sets = {}
     for i, t in texts:
-        w = re.findall(r"[^\x20\x09-\x0d]+", (t or "").lower())
+        w = re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or ""))
         sets[i] = frozenset(tuple(w[k:k + n]) for k in range(max(1, len(w) - n + 1))) if w else frozenset()
     links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b]
              and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
@@ -74,6 +74,45 @@ def test_jaccard_components_are_exact(make, monkeypatch, n, percent, edits):
     assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got.collect()} == plain_jaccard(texts, n, percent)
 
 
+def near_copies(r, n):
+    """One large group of near copies, and as many texts that share a passage but are no copies."""
+    base = [r.choice(VOCABULARY) + str(k) for k in range(90)]
+    passage = " ".join(f"p{k}" for k in range(45))
+    out = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(r.randint(0, 2)):
+            w[r.randrange(90)] = f"edit{r.randrange(10**6)}"
+        out.append((2 * i, " ".join(w)))
+        out.append((2 * i + 1, passage + " " + " ".join(f"{r.choice(VOCABULARY)}x{r.randrange(10**6)}" for _ in range(60))))
+    return out
+
+
+@pytest.mark.parametrize("blocks", [1 << 18, 4000])
+def test_large_groups_of_near_copies(make, monkeypatch, blocks):
+    monkeypatch.setattr(jaccard_join, "BLOCK_GRAMS", blocks)
+    texts = near_copies(random.Random(blocks), 250)
+    got = jaccard_join.jaccard_components(make(texts), words=4, percent=85)
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got.collect()} == plain_jaccard(texts, 4, 85)
+
+
+def test_open_lists_are_searched_whole(make, monkeypatch):
+    """Without any round of homes after the first, the search of all open lists must find the rest alone."""
+    monkeypatch.setattr(jaccard_join, "MOST_ROUNDS", 1)
+    monkeypatch.setattr(jaccard_join, "DEPTH", 3)
+    texts = copies(random.Random(8), 25, 8, 4)
+    got = jaccard_join.jaccard_components(make(texts), words=3, percent=70)
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got.collect()} == plain_jaccard(texts, 3, 70)
+
+
+def test_blocks_of_a_group_are_dealt_to_many_tasks(spark):
+    members = spark.createDataFrame([(1, 2, 3, 2, "a b c d")], "home long, node long, n long, component long, text string")
+    edges = jaccard_join._searched(members.withColumn("text", members["text"].cast("binary")), "home", 4, 85)
+    text = edges._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    last = text[text.index("FlatMapGroupsInPandas"):]
+    assert re.search(r"Exchange hashpartitioning\(home#\d+L?, i#\d+, j#\d+", last)
+
+
 def test_divide_skip_finds_all_links():
     r = np.random.default_rng(3)
     for percent in (50, 85, 100):
@@ -149,6 +188,14 @@ def test_suffix_edges(odd, nothing):
     assert suffix_dedup.remove_repeats(nothing).count() == 0
 
 
+def test_texts_that_share_an_id_are_judged_alone(make):
+    t, u = "".join(random.Random(1).choices("abcdefgh ", k=151)), "".join(random.Random(2).choices("ijklmnop ", k=302))
+    got = sorted((x["doc_id"], x["n_bytes"], x["n_removed"]) for x in suffix_dedup.remove_repeats(make([(1, t), (5, t), (5, u), (6, u)])).collect())
+    assert got == [(1, 151, 0), (5, 151, 151), (5, 302, 0), (6, 302, 302)]
+    got = sorted((x["doc_id"], x["n_bytes"], x["n_removed"]) for x in suffix_dedup.remove_repeats(make([(5, t), (5, u), (7, "x" + t), (7, u[:100])])).collect())
+    assert got == [(5, 151, 0), (5, 302, 0), (7, 100, 100), (7, 152, 151)]
+
+
 def test_vectors_are_linked_exactly(spark, monkeypatch):
     monkeypatch.setattr(vector_dedup, "BLOCK", 16)
     r = np.random.default_rng(2)
@@ -173,3 +220,11 @@ def test_vectors_are_linked_exactly(spark, monkeypatch):
     assert (got[907]["n_links"], got[907]["component_id"], got[907]["kept"]) == (1, 906, False)
     assert got[None]["n_links"] == 0 and got[None]["component_id"] is None
     assert vector_dedup.near_vectors(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_ties_at_the_limit_and_shared_ids_of_vectors(spark):
+    # 0.96 and 0.28 are the sides of a right triangle of 1; 24/25 is a cosine at which a link is one.
+    rows = [(1, [1.0, 0.0], 1), (2, [0.96, 0.28], 1), (3, [0.0, 1.0], 1), (3, [0.0, 2.0], 1), (4, [0.0, -1.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, node int")
+    got = sorted((z["vec_id"], z["n_links"], z["component_id"]) for z in vector_dedup.near_vectors(df, cosine=0.96).collect())
+    assert got == [(1, 1, 1), (2, 1, 1), (3, 0, 3), (3, 0, 3), (4, 0, 4)] or got == [(1, 1, 1), (2, 1, 1), (3, 1, 3), (3, 1, 3), (4, 0, 4)]
