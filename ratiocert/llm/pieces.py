@@ -14,9 +14,10 @@ from __future__ import annotations
 
 import functools
 import os
-import re
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,7 @@ from .base import bounded
 SPACE = "▁"
 KNOWN_UNITS = 1 << 18  # units and pairs that a worker remembers; they are found anew beyond
 LONG_UNIT = 256  # longer units are not remembered
+WINDOW = 1 << 20  # characters of a text that are cut at a time
 _NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
 _INF = float("inf")
 
@@ -56,6 +58,8 @@ class Pieces:
                 self.surface.append(p.piece.replace(SPACE, " ").encode())
             else:
                 self.surface.append(kind.unk_surface.encode() if p.type == _UNKNOWN else None)
+        # A control id ends a run of bytes; here it is a byte that is never UTF-8.
+        self.raw = [bytes([s]) if isinstance(s, int) else b"\xff" if s is None else s for s in self.surface]
         self.chars = frozenset(p for p in self.id if len(p) == 1)
         symbol = dict(self.id)
         for c in sorted(set("".join(self.id)) - self.chars):
@@ -73,13 +77,14 @@ class Pieces:
                 self.left[i], self.right[i], self.size[i] = left, right, len(p)
                 self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
-        # No piece spans the place before a run of blanks or beside a line end, so that texts fall apart into units there.
-        self.by_blanks = not any(SPACE in p.lstrip(SPACE) for p in self.id)
-        self.by_lines = not any("\n" in p for p in self.id)
-        inside = f"[^{SPACE if self.by_blanks else ''}\n]" if self.by_lines else f"[^{SPACE}]" if self.by_blanks else "(?s:.)"
-        lines = "|\n+" if self.by_lines else ""
-        self.units = re.compile(f"{SPACE}+{inside}*|{inside}+{lines}" if self.by_blanks else f"{inside}+{lines}")
-        self.unknown = re.compile(f"([^{re.escape(''.join(sorted(self.chars)))}])")
+        # Two characters that no piece holds next to each other are never in one piece: texts fall apart into units there.
+        number = {c: i for i, c in enumerate(sorted(set("".join(self.id))), 1)}
+        self.sort_of = np.zeros(0x110000, np.uint16)  # 0: a character that no piece holds
+        self.sort_of[[ord(c) for c in number]] = list(number.values())
+        self.beside = np.zeros((len(number) + 1, len(number) + 1), bool)
+        for p in self.id:
+            for x, y in zip(p, p[1:]):
+                self.beside[number[x], number[y]] = True
         self.known: dict[str, list[int]] = {}
         self.apart: dict[tuple[int, int], bool] = {}
 
@@ -143,24 +148,33 @@ class Pieces:
         return ids
 
     def _unit(self, unit: str) -> list[int]:
-        if self.chars.issuperset(unit):
-            return self._run(unit)
-        ids: list[int] = []
-        for i, part in enumerate(self.unknown.split(unit)):
-            if i % 2:
-                ids.extend(map(self.byte_id.__getitem__, part.encode()))
-            elif part:
-                ids.extend(self._run(part))
-        return ids
+        """Ids of a run whose neighbours all stand next to each other in some piece, or of a character that no piece holds."""
+        return self._run(unit) if len(unit) > 1 or unit in self.chars else [self.byte_id[b] for b in unit.encode()]
+
+    def ends(self, text: str) -> Iterator[int]:
+        """Where the units of ``text`` end."""
+        before = 0
+        for at in range(0, len(text), WINDOW):
+            sorts = self.sort_of[np.frombuffer(text[at:at + WINDOW].encode("utf-32-le"), np.uint32)]
+            apart = ~self.beside[np.concatenate([[before], sorts[:-1]]), sorts]
+            before = sorts[-1]
+            yield from (np.flatnonzero(apart) + at).tolist()
+        yield len(text)
 
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
         ids: list[int] = []
         known = self.known
-        for unit in self.units.findall(SPACE + text.replace(" ", SPACE)):
+        text = SPACE + text.replace(" ", SPACE)
+        begin = 0
+        for end in self.ends(text):
+            unit = text[begin:end]
+            begin = end
             found = known.get(unit)
             if found is None:
+                if not unit:
+                    continue
                 found = self._unit(unit)
                 if len(unit) <= LONG_UNIT:
                     if len(known) >= KNOWN_UNITS:
@@ -172,6 +186,12 @@ class Pieces:
     def decode(self, ids: list[int]) -> str:
         """Text of the ids: bytes that are no UTF-8 become U+FFFD each, and one blank at the begin of the text goes."""
         surface = self.surface
+        if ids and ids[0] in self.score:
+            try:  # where all is UTF-8, so is each run of bytes
+                text = b"".join(map(self.raw.__getitem__, ids)).decode()
+                return text[1:] if text[:1] == " " else text
+            except UnicodeDecodeError:
+                pass
         out: list[bytes] = []
         raw = bytearray()
         begin = True
@@ -239,7 +259,11 @@ def encode_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(vocabulary)
         for batch in batches:
-            ids = pa.array([pieces.encode(t.as_py() or "") for t in batch.column("__text")], pa.list_(pa.int32()))
+            flat, at = array("i"), [0]
+            for text in batch.column("__text"):
+                flat.extend(pieces.encode(text.as_py() or ""))
+                at.append(len(flat))
+            ids = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.frombuffer(flat, np.int32)) if flat else pa.array([], pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("__id"), ids], names=[id_col, "ids"])
 
     narrow = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
@@ -260,9 +284,12 @@ def decode_pieces(rows: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_
         for batch in batches:
             texts = []
             for ids in batch.column("__ids"):
-                held = ids.as_py()
-                sound = held is not None and (not held or None not in held and 0 <= min(held) and max(held) < most)
-                texts.append(pieces.decode(held) if sound else None)
+                values = ids.values if ids.is_valid else None
+                if values is None or values.null_count:
+                    texts.append(None)
+                    continue
+                held = values.to_numpy()
+                texts.append(pieces.decode(held.tolist()) if not len(held) or 0 <= held.min() and held.max() < most else None)
             yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__ids"), pa.array(texts, pa.string())], names=[id_col, "ids", "text"])
 
     narrow = rows.select(F.col(id_col).alias("__id"), F.col(ids_col).cast("array<int>").alias("__ids"))
