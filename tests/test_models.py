@@ -106,10 +106,26 @@ def brute_merges(texts, rounds):
 def test_merges(spark):
     texts = ["aaaa aaa banana bandana", "low lower lowest newer wider", "aa aaaaa ban"]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
-    got = W.learn_merges(df, words(F.col("text")), rounds=6, cut_every=2).orderBy("rank").collect()
+    got = W.learn_merges(df, words(F.col("text")), rounds=6).orderBy("rank").collect()
     assert [(r["left"], r["right"], r["freq"]) for r in got] == brute_merges(texts, 6)
 
 
+@pytest.mark.parametrize("most_islands,most_pairs", [(100_000, 4096), (12, 4096), (100_000, 3), (1, 1)])
+def test_merges_in_rounds_keep_their_order(spark, most_islands, most_pairs):
+    rng = random.Random(most_islands + most_pairs)
+    texts = [" ".join("".join(rng.choice("aaabcé") for _ in range(rng.randrange(1, 12))) for _ in range(12)) for _ in range(12)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    n = 12 if most_islands * most_pairs == 1 else 45
+    got = W.learn_merges(df, words(F.col("text")), rounds=n, most_islands=most_islands, most_pairs=most_pairs).orderBy("rank").collect()
+    assert [(r["left"], r["right"], r["freq"]) for r in got] == brute_merges(texts, n)
+
+
+def test_merges_end_where_no_pair_is_left(spark):
+    df = spark.createDataFrame([("ab ab c",), (None,)], "text string")
+    assert W.learn_merges(df, words(F.col("text")), rounds=9).count() == 1
+    assert W.learn_merges(df.limit(0), words(F.col("text")), vocabulary=9).count() == 0
+
+
 def test_merges_of_the_query_go_on_and_see_digits_and_marks(spark, monkeypatch):
     from registry import scoring
 
