@@ -1,17 +1,11 @@
-"""Exact quantiles with linear interpolation, for groups of any size and for whole threshold grids."""
+"""Exact quantiles with linear interpolation, for groups of any size."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import cut_lineage
 from .ordering import values_at_ranks
@@ -22,21 +16,19 @@ SMALL_ROWS = 1_000_000
 SKETCH = 10_000
 # Up to this many groups a table of group brackets is broadcast.
 SMALL_GROUPS = 10_000
-# Cells of a grid search: bounds what is read to the driver and sent to the tasks (some 10 MB).
-MAX_CELLS = 1 << 18
 
 
 def _fractions(qs: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(q)) for q in qs])
 
 
-def _interpolated(found: DataFrame, keys: Sequence[str], only: Column | None = None) -> DataFrame:
-    """Two neighbouring order statistics per quantile to one number."""
+def interpolated(found: DataFrame, keys: Sequence[str], only: Column | None = None) -> DataFrame:
+    """Two neighbouring order statistics per quantile to one number, in the steps of the built-in aggregate, so that both agree to the last digit."""
     low = F.max(F.when(F.col("target.side") == 0, F.col("value")))
     high = F.max(F.when(F.col("target.side") == 1, F.col("value")))
     frac = F.max("target.frac")
     out = found.groupBy(*keys, F.col("target.q").alias("q")).agg(
-        (low + (high - low) * frac).alias("quantile"), (F.lit(True) if only is None else only).alias("__keep")
+        F.when(low == high, low).otherwise((1 - frac) * low + frac * high).alias("quantile"), (F.lit(True) if only is None else only).alias("__keep")
     )
     return out.where("__keep").drop("__keep")
 
@@ -81,7 +73,7 @@ def ranked_quantiles(rows: DataFrame, value: str, qs: Sequence[float], group: Se
     """The same by ranking all distinct values over a range partitioning; no task holds a whole group."""
     counts = rows.groupBy(*group, value).agg(F.count(F.lit(1)).alias("__n"))
     totals = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("total"))
-    return _interpolated(values_at_ranks(counts, value, "__n", _rank_targets(totals, group, qs), group), group)
+    return interpolated(values_at_ranks(counts, value, "__n", _rank_targets(totals, group, qs), group), group)
 
 
 def _bracketed_quantiles(rows: DataFrame, qs: Sequence[float], group: Sequence[str], sketch: int) -> tuple[DataFrame, int]:
@@ -129,7 +121,7 @@ def _bracketed_quantiles(rows: DataFrame, qs: Sequence[float], group: Sequence[s
     )
     both = F.count_distinct("target.side") == 2
     hits = values_at_ranks(counts, "__v", "__n", wanted, [*group, "__j"])
-    return cut_lineage(_interpolated(hits, group, both)), n_groups
+    return cut_lineage(interpolated(hits, group, both)), n_groups
 
 
 def wide_quantiles(long: DataFrame, keys: Sequence[str], names: dict[float, str]) -> DataFrame:
@@ -137,143 +129,3 @@ def wide_quantiles(long: DataFrame, keys: Sequence[str], names: dict[float, str]
     return long.groupBy(*keys).agg(
         *[F.max(F.when(F.col("q") == F.lit(float(q)), F.col("quantile"))).alias(n) for q, n in names.items()]
     )
-
-
-@dataclass(frozen=True)
-class Cells:
-    """Rows with their cell, and the summary of every cell."""
-
-    boxed: DataFrame
-    summary: pd.DataFrame | None
-    n_rows: int
-
-
-def counted_cells(rows: DataFrame, base: str, length: str, factor: Column, max_cells: int = MAX_CELLS) -> Cells:
-    """Cells of (length, range of ``base``), at most ``max_cells``; no summary where lengths alone are more."""
-    n_rows, n_lengths = rows.agg(F.count(F.lit(1)), F.count_distinct(length)).first()
-    if n_rows == 0:
-        raise ValueError("no rows to take quantiles of")
-    if n_lengths > max_cells:
-        return Cells(rows, None, n_rows)
-    boxed = _boxed(rows, base, max(min(max_cells // n_lengths, 2 * math.isqrt(n_rows)), 1))
-    summary = boxed.groupBy(F.col(length).alias("__len"), factor.alias("__f"), "__cell").agg(
-        F.count(F.lit(1)).alias("__n"), F.min(base).alias("__lo"), F.max(base).alias("__hi")
-    ).toPandas()
-    return Cells(boxed, summary, n_rows)
-
-
-def grid_quantiles(rows: DataFrame, base: str, length: str, grid: DataFrame, keys: Sequence[str], scale: Column,
-                   offset: Column, factor: Column, exact: Column, qs: Sequence[float], max_cells: int = MAX_CELLS,
-                   small_rows: int = SMALL_ROWS, counted: Cells | None = None) -> DataFrame:
-    """Exact quantiles of ``base + scale * factor + offset`` over all rows, for every grid point.
-
-    ``scale`` and ``offset`` are columns of the grid, ``factor`` depends on the row's length alone.
-    Crossing rows with the grid would evaluate rows x points values. Within one length a grid point
-    shifts all rows alike, so their order never changes: rows are counted once into cells of (length,
-    range of ``base``), and each grid point finds from the cells alone which of them can hold the
-    wanted ranks. Only rows of those cells are evaluated, by ``exact``, which equals the expression
-    above up to rounding. The number of cells is bounded whatever the number of rows; ``counted``
-    passes them on between calls over the same rows.
-    """
-    grid = cut_lineage(grid)  # a small table, read by several steps
-    counted = counted or counted_cells(rows, base, length, factor, max_cells)
-    boxed, cells, n_rows = counted.boxed, counted.summary, counted.n_rows
-    if cells is None:
-        crossed = rows.crossJoin(F.broadcast(grid)).select(*keys, exact.alias("__v"))
-        return exact_quantiles(crossed, "__v", qs, keys, small_rows)
-    places = []
-    for q in qs:
-        first = math.floor(q * (n_rows - 1))
-        places.append((float(q), first, min(first + 1, n_rows - 1), q * (n_rows - 1) - first))
-    spots = cut_lineage(_searched(grid.select(*keys, scale.alias("__a"), offset.alias("__b")), keys, cells, places))
-    weighted = _with_weights(boxed, length, cells, n_rows)
-    wanted = spots.select(*keys, "__j", F.inline(F.arrays_zip("lens", "cells")).alias("__len", "__cell"))
-    candidates = (
-        weighted.join(wanted.withColumnRenamed("__len", length), [length, "__cell"])
-        .join(F.broadcast(grid), list(keys))
-        .select(*keys, "__j", exact.alias("__v"), "__w")
-    )
-    groups = [*keys, "__j"]
-    counts = candidates.groupBy(*groups, "__v").agg(F.sum("__w").alias("__n"))
-    sides = F.array(*[
-        F.struct(F.lit(j).alias("j"), F.lit(q).alias("q"), F.lit(side).alias("side"), F.lit(frac).alias("frac"),
-                 F.lit(rank).alias("rank"))
-        for j, (q, first, last, frac) in enumerate(places) for side, rank in ((0, first), (1, last))
-    ])
-    targets = spots.withColumn("t", F.explode(F.filter(sides, lambda s: s["j"] == F.col("__j")))).select(
-        *groups, F.struct("t.q", "t.side", "t.frac").alias("target"), (F.col("t.rank") - F.col("below")).alias("rank")
-    )
-    if n_rows <= small_rows:
-        # No group can exceed the small number of rows: a plain window ranks each.
-        upto = Window.partitionBy(*groups).orderBy("__v")
-        found = (
-            counts.withColumn("__end", F.sum("__n").over(upto))
-            .join(F.broadcast(targets), groups)
-            .where((F.col("rank") < F.col("__end")) & (F.col("rank") >= F.col("__end") - F.col("__n")))
-            .select(*groups, "target", F.col("__v").alias("value"))
-        )
-    else:
-        found = values_at_ranks(counts, "__v", "__n", targets, groups)
-    return _interpolated(found, keys)
-
-
-def _boxed(rows: DataFrame, base: str, n: int) -> DataFrame:
-    """Adds ``__cell``: the place of ``base`` among about ``n`` evenly filled ranges."""
-    steps = [i / n for i in range(1, n)]
-    edges: list[float] = []
-    if steps:
-        found = rows.agg(F.percentile_approx(base, _fractions(steps), F.lit(max(2 * n, 1000)))).first()[0]
-        edges = sorted(set(found))
-    splits = [float("-inf"), *edges, float("inf")]
-    if len(splits) < 3:
-        return rows.withColumn("__cell", F.lit(0))
-    placed = Bucketizer(splits=splits, inputCol=base, outputCol="__bucket").transform(rows)
-    return placed.withColumn("__cell", F.col("__bucket").cast("int")).drop("__bucket")
-
-
-def _searched(grid: DataFrame, keys: Sequence[str], cells: pd.DataFrame, places: list) -> DataFrame:
-    """Per grid point and quantile: rows surely below, and the cells that can hold the wanted ranks.
-
-    The order statistic of a rank lies between the lower and the upper cell bounds at that rank, so
-    cells that end below the former are below, and cells that begin above the latter are above.
-    """
-    schema = T.StructType([
-        *[grid.schema[k] for k in keys], T.StructField("__j", T.IntegerType()), T.StructField("below", T.LongType()),
-        T.StructField("lens", T.ArrayType(T.LongType())), T.StructField("cells", T.ArrayType(T.IntegerType())),
-    ])
-    lens, ids = cells["__len"].to_numpy("int64"), cells["__cell"].to_numpy("int32")
-    factors, counts = cells["__f"].to_numpy("float64"), cells["__n"].to_numpy("int64")
-    los, his = cells["__lo"].to_numpy("float64"), cells["__hi"].to_numpy("float64")
-    names = list(keys)
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for row in batch.to_dict("records"):
-                shift = row["__a"] * factors + row["__b"]
-                slack = 1e-9 * np.maximum(np.maximum(np.abs(los), np.abs(his)), np.maximum(np.abs(shift), 1.0))
-                low, high = los + shift - slack, his + shift + slack
-                by_low, by_high = np.argsort(low), np.argsort(high)
-                upto_low, upto_high = np.cumsum(counts[by_low]), np.cumsum(counts[by_high])
-                for j, (_, first, last, _) in enumerate(places):
-                    bottom = low[by_low[np.searchsorted(upto_low, first, side="right")]]
-                    top = high[by_high[np.searchsorted(upto_high, last, side="right")]]
-                    inside = (high >= bottom) & (low <= top)
-                    out.append((*[row[k] for k in names], j, int(counts[high < bottom].sum()), lens[inside], ids[inside]))
-            yield pd.DataFrame(out, columns=[f.name for f in schema.fields])
-
-    spread = grid.repartition(min(max(grid.sparkSession.sparkContext.defaultParallelism, 1), 256))
-    return spread.mapInPandas(search, schema)
-
-
-def _with_weights(boxed: DataFrame, length: str, cells: pd.DataFrame, n_rows: int, share: int = 1000) -> DataFrame:
-    """Adds ``__w``; equal rows of crowded cells, of which there are at most ``share``, become one row."""
-    crowded = cells[(cells["__n"] * share >= n_rows) & (cells["__n"] > share)]
-    if crowded.empty:
-        return boxed.withColumn("__w", F.lit(1).cast("long"))
-    spark = boxed.sparkSession
-    hot = F.broadcast(spark.createDataFrame(
-        [(int(a), int(b)) for a, b in zip(crowded["__len"], crowded["__cell"])], f"`{length}` long, __cell int"))
-    merged = boxed.join(hot, [length, "__cell"], "left_semi").groupBy(*boxed.columns).agg(F.count(F.lit(1)).alias("__w"))
-    rest = boxed.join(hot, [length, "__cell"], "left_anti").withColumn("__w", F.lit(1).cast("long"))
-    return merged.unionByName(rest)

@@ -8,6 +8,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def confusion(reject: Column, ood: Column) -> list[Column]:
     """True/false negatives/positives of rejection against the out-of-domain flag."""
@@ -26,35 +28,32 @@ def rates() -> list[Column]:
     return [frr.alias("FRR"), trr.alias("TRR"), far.alias("FAR"), (trr - frr).alias("J")]
 
 
-def crossed_confusion(rows: DataFrame, grid: DataFrame, keys: Sequence[str], value: str, k: str, ood: str) -> DataFrame:
-    """Counts per threshold by crossing with a handful of thresholds; combines map-side."""
-    return rows.crossJoin(F.broadcast(grid)).groupBy(*keys).agg(*confusion(F.col(value) > F.col(k), F.col(ood)))
+# Thresholds are read to the driver; a grid is chosen by the caller and does not grow with the data.
+MAX_THRESHOLDS = 100_000
 
 
 def bucketed_sums(rows: DataFrame, grid: DataFrame, k: str, value: str, measures: dict[str, Column],
                   by: Sequence[str] = ()) -> DataFrame:
-    """Per distinct threshold, each measure summed over rows with ``value <= k`` and over all rows.
+    """The grid's rows (times the groups), each measure summed over rows with ``value <= k`` and over all rows.
 
-    Every row is put between its two neighbouring thresholds by binary search, counted once,
-    and the counts are accumulated over the thresholds. The thresholds, which the caller
-    chooses and which do not grow with the data, are read to the driver.
-    The negated value is bucketed because buckets include their left edge, as acceptance does.
+    Every row is put between its two neighbouring thresholds by binary search, counted once, and the counts are accumulated over
+    the thresholds. Thresholds meet their sums on the number of their bucket, never on a float. More than ``MAX_THRESHOLDS``
+    different ones are an error. The negated value is bucketed because buckets include their left edge, as acceptance does.
     """
-    ks = sorted({row[0] for row in grid.select(k).distinct().collect()})
-    negated = [-x for x in reversed(ks)]
-    splits = [float("-inf"), *negated, float("inf")]
-    placed = Bucketizer(splits=splits, inputCol="__x", outputCol="__bucket").transform(
-        rows.withColumn("__x", -F.col(value))
-    )
-    sums = placed.groupBy(*by, F.col("__bucket").cast("int").alias("__bucket")).agg(
-        *[F.sum(m).alias(n) for n, m in measures.items()]
-    )
+    grid = cut_lineage(grid)  # the same doubles for every use below
+    ks = sorted(row[0] for row in grid.select(k).distinct().limit(MAX_THRESHOLDS + 1).collect())
+    if len(ks) > MAX_THRESHOLDS:
+        raise ValueError(f"more than {MAX_THRESHOLDS} thresholds")
+    splits = [float("-inf"), *[-x for x in reversed(ks)], float("inf")]
+    bucket = Bucketizer(splits=splits, inputCol="__x", outputCol="__b")
+
+    def placed(df: DataFrame, column: str) -> DataFrame:
+        return bucket.transform(df.withColumn("__x", -F.col(column))).withColumn("__bucket", F.col("__b").cast("int")).drop("__x", "__b")
+
+    sums = placed(rows, value).groupBy(*by, "__bucket").agg(*[F.sum(m).alias(n) for n, m in measures.items()])
     # Few rows: thresholds x groups. Every (group, bucket) gets a row so that running sums have no gaps.
-    spark = rows.sparkSession
-    steps = spark.createDataFrame(
-        [(i, float(x)) for i, x in enumerate([float("nan"), *negated])], f"__bucket int, __neg double"
-    )
-    frame = sums.select(*by).distinct().crossJoin(steps) if by else steps
+    steps = rows.sparkSession.range(0, len(ks) + 1, 1, 1).select(F.col("id").cast("int").alias("__bucket"))
+    frame = sums.select(*by).distinct().crossJoin(F.broadcast(steps)) if by else steps
     filled = frame.join(sums, [*by, "__bucket"], "left")
     above = Window.partitionBy(*by).orderBy(F.col("__bucket").desc())
     everything = Window.partitionBy(*by)
@@ -65,20 +64,29 @@ def bucketed_sums(rows: DataFrame, grid: DataFrame, k: str, value: str, measures
             F.sum(value_or_0).over(above).alias(f"{n}_accepted"),
             F.sum(value_or_0).over(everything).alias(f"{n}_all"),
         ]
-    return filled.select(*by, "__bucket", (-F.col("__neg")).alias(k), *columns).where("__bucket > 0").drop("__bucket")
+    found = filled.select(*by, "__bucket", *columns)
+    return found.join(F.broadcast(placed(grid, k)), "__bucket").drop("__bucket")
 
 
 def curve_confusion(rows: DataFrame, grid: DataFrame, k: str, value: str, ood: str) -> DataFrame:
-    """(k, tn, fp, fn, tp) for every distinct threshold, from one pass."""
+    """The grid's rows with tn, fp, fn, tp at each threshold, from one pass."""
     measures = {
         "id": F.when(F.col(ood) == 0, 1).otherwise(0).cast("long"),
         "od": F.when(F.col(ood) == 1, 1).otherwise(0).cast("long"),
     }
     sums = bucketed_sums(rows, grid, k, value, measures)
     return sums.select(
-        k,
+        *grid.columns,
         F.col("id_accepted").alias("tn"),
         (F.col("id_all") - F.col("id_accepted")).alias("fp"),
         F.col("od_accepted").alias("fn"),
         (F.col("od_all") - F.col("od_accepted")).alias("tp"),
     )
+
+
+def rejected_counts(rows: DataFrame, grid: DataFrame, k: str, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """The grid's rows (times the groups) with how many rows are ``rejected`` above the threshold, of ``n``; null values are not."""
+    one = F.lit(1).cast("long")
+    known = rows.where(F.col(value).isNotNull())
+    sums = bucketed_sums(known, grid, k, value, {"rows": one}, by)
+    return sums.select(*by, *grid.columns, (F.col("rows_all") - F.col("rows_accepted")).alias("rejected"), F.col("rows_all").alias("n"))

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..operators.aggregates import histogram
+from ..operators.lines import counted_cells, grid_quantiles
 from ..operators.ordering import sequence_grid
-from ..operators.quantiles import counted_cells, exact_quantiles, grid_quantiles, wide_quantiles
+from ..operators.quantiles import exact_quantiles, wide_quantiles
 from ..session import cut_lineage
 from .thresholds import k_from_eps, k_from_eps_quantile, k_from_frr
 
@@ -43,7 +44,7 @@ def constriction_grid(rows: DataFrame, grid: DataFrame, keys: Sequence[str], qs:
     )
     scale, offset = -F.col("k") / F.lit(S.LOG2_10), -S.log2_draws(draws) / F.lit(S.LOG2_10)
     rows = rows if "__base" in rows.columns else based(rows)
-    return grid_quantiles(rows, "__base", "n_token_response", grid, keys, scale, offset, F.col("n_token_response"), exact, qs, **kwargs)
+    return grid_quantiles(rows, "__base", grid, keys, scale, offset, F.col("n_token_response"), exact, qs, **kwargs)
 
 
 def constriction_by_frr(rows: DataFrame, frrs: Sequence[float] = FRR_TABLE, only_ood: bool = True,
@@ -95,8 +96,7 @@ def atomic_certificates(rows: DataFrame, frr: float) -> DataFrame:
 
 
 def eps_table(rows: DataFrame, draws: Sequence[int] = (1,), points: int = 501, low: float = -50.0, high: float = 50.0,
-              bracket: tuple[float, float] = (-100.0, 100.0), upper_quantile: float = 1.0, tolerance: float = 1e-6,
-              **kwargs) -> DataFrame:
+              bracket: tuple[float, float] = (-100.0, 100.0), upper_quantile: float = 1.0, **kwargs) -> DataFrame:
     """The k/epsilon table over out-of-domain rows: k and constriction percentiles for each (T, epsilon).
 
     Below 1, ``upper_quantile`` leaves the largest bounds out: that quantile of them, not their maximum, meets epsilon.
@@ -104,12 +104,12 @@ def eps_table(rows: DataFrame, draws: Sequence[int] = (1,), points: int = 501, l
     """
     spark = rows.sparkSession
     rows = based(rows)
-    kwargs.setdefault("counted", counted_cells(rows, "__base", "n_token_response", F.col("n_token_response")))
+    kwargs.setdefault("counted", counted_cells(rows, "__base", F.col("n_token_response")))
     parts = []
     for t in draws:
         grid = sequence_grid(spark, points, low, high, "log10_eps")
         if upper_quantile < 1:
-            ks = k_from_eps_quantile(rows, grid, upper_quantile, *bracket, draws=t, tolerance=tolerance)
+            ks = k_from_eps_quantile(rows, grid, upper_quantile, *bracket, draws=t)
         else:
             ks = k_from_eps(rows, grid, *bracket, draws=t)
         ks = cut_lineage(ks)

@@ -24,12 +24,8 @@ def detection_curve(rows: DataFrame, points: int = 100, k_max: float = 10.0, k_m
         constriction_grid(rows.where(F.col("ood") == 1), grid, ["grid_id"], [0.5]), ["grid_id"],
         {0.5: "log10_constriction_ratio"},
     )
-    measured = counts.select("k", *rates())
-    return (
-        grid.join(F.broadcast(measured), "k")
-        .join(F.broadcast(median), "grid_id")
-        .select("grid_id", "k", "FRR", "TRR", "J", "log10_constriction_ratio")
-    )
+    measured = counts.select("grid_id", "k", *rates())  # as few rows as the grid, as is the median
+    return measured.join(F.broadcast(median), "grid_id").select("grid_id", "k", "FRR", "TRR", "J", "log10_constriction_ratio")
 
 
 def best_threshold(curve: DataFrame) -> DataFrame:
@@ -40,13 +36,11 @@ def best_threshold(curve: DataFrame) -> DataFrame:
 def eps_curve(rows: DataFrame, points: int = 100, low: float = -20.0, high: float = 0.0,
               bracket: tuple[float, float] = (-10.0, 100.0)) -> DataFrame:
     """(e_log, k, FRR, TRR, FAR, J): detection rates at the threshold that certifies each epsilon."""
-    rows = scored(rows)
+    rows = cut_lineage(scored(rows).select("ll2_generator", "n_token_response", "log2_ratio_norm", "ood"))
     grid = sequence_grid(rows.sparkSession, points, low, high, "log10_eps")
-    ks = cut_lineage(k_from_eps(rows.where(F.col("ood") == 1), grid, *bracket))
+    ks = k_from_eps(rows.where(F.col("ood") == 1), grid, *bracket)
     counts = curve_confusion(rows, ks, "k", "log2_ratio_norm", "ood")
-    return ks.join(F.broadcast(counts.select("k", *rates())), "k").select(
-        F.col("log10_eps").alias("e_log"), "k", "FRR", "TRR", "FAR", "J"
-    )
+    return counts.select(F.col("log10_eps").alias("e_log"), "k", *rates())
 
 
 def certified_benchmark(joined: DataFrame, ks: DataFrame, by_category: bool = False) -> DataFrame:
@@ -55,16 +49,15 @@ def certified_benchmark(joined: DataFrame, ks: DataFrame, by_category: bool = Fa
     ``joined``: ll2_model, ll2_generator, n_token_response, correct, subject. ``ks``: log10_eps, k and
     whatever percentiles go with it. One pass counts rows between thresholds.
     """
-    rows = scored(joined)
     measures = {"n": F.lit(1).cast("long"), "ok": F.col("correct").cast("long")}
     by = ["subject"] if by_category else []
+    rows = scored(joined).select(*by, "correct", "log2_ratio_norm")
     sums = bucketed_sums(rows, ks, "k", "log2_ratio_norm", measures, by)
-    shares = sums.select(
-        *by, "k",
+    out = sums.select(
+        *by, *ks.columns,
         (1 - F.col("n_accepted") / F.col("n_all")).alias("FRR"),
         (F.col("ok_accepted") / F.col("n_all")).alias("accuracy"),
     )
-    out = ks.join(shares, "k")
     return out.drop("FRR") if by_category else out
 
 

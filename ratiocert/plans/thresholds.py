@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import scores as S
 from ..functions.scores import eps_log2, log2_draws
-from ..operators.quantiles import counted_cells, exact_quantiles, grid_quantiles
+from ..operators.lines import counted_cells, numbered, order_statistics, rows_between
+from ..operators.quantiles import exact_quantiles
+from ..session import cut_lineage
 
 
 def k_from_frr(scores: DataFrame, frrs: Sequence[float], ratio: str = "log2_ratio_norm") -> DataFrame:
@@ -40,68 +44,72 @@ def k_from_eps(rows: DataFrame, grid: DataFrame, low: float, high: float, keys:
 
 
 def k_from_eps_quantile(rows: DataFrame, grid: DataFrame, q: float, low: float, high: float, draws: int = 1,
-                        tolerance: float = 1e-6, max_steps: int = 100, generator: str = "ll2_generator",
-                        n: str = "n_token_response") -> DataFrame:
-    """The same where the ``q`` quantile of the bounds, not the largest, equals epsilon; all points together.
-
-    A row's bound passes e at its own k = (e - log2 T - g) / N, so the two order statistics of that
-    value at 1 - q enclose the solution. The bounds' quantile is piecewise linear in k, so
-    interpolation with an occasional bisection needs few steps. The grid's state, one bracket per
-    point, lives in the driver.
+                        generator: str = "ll2_generator", n: str = "n_token_response") -> DataFrame:
+    """The same where the ``q`` quantile of the bounds, not the largest, equals epsilon; all points together, in closed form.
+
+    A row's bound g + log2 T + k N rises with k and passes e at its own k, (e - log2 T - g) / N. At the solution, the
+    rows below e are known by number, so the solution lies between two neighbouring order statistics of these crossings.
+    Between them no row passes e: the quantile is (1 - f) times the largest bound of the rows below plus f times the smallest
+    one of the rows above. A row can be that largest or smallest one only if it crosses near the two; how near depends on its
+    length alone. So a fixed number of passes gives the two crossings, then the rows near them (the nearest of each
+    length), and each point's few rows give its k.
     """
-    spark = rows.sparkSession
-    rows = rows.select(F.col(generator).alias("g"), F.col(n).alias("n")).withColumn("slope", -F.col("g") / F.col("n"))
-    points = {r["grid_id"]: r["log10_eps"] for r in grid.select("grid_id", "log10_eps").collect()}
+    rows = cut_lineage(rows.select(F.col(generator).alias("g"), F.col(n).alias("n")).where("g IS NOT NULL AND n > 0").withColumn("slope", -F.col("g") / F.col("n")))
     own = eps_log2(F.col("log10_eps")) - log2_draws(draws)
-    crossing = (eps_log2(F.col("log10_eps")) - log2_draws(draws) - F.col("g")) / F.col("n")
-    count = rows.count()
-    edge = 1.0 / max(count - 1, 1)
-    around = [max(0.0, 1.0 - q - 1.5 * edge), min(1.0, 1.0 - q + 1.5 * edge)]
-    start = grid_quantiles(rows, "slope", "n", grid.select("grid_id", "log10_eps"), ["grid_id"], own, F.lit(0.0), 1 / F.col("n"), crossing, around)
-    counted = counted_cells(rows, "g", "n", F.col("n"))
-    target = {i: float(e) / S.LOG10_2 for i, e in points.items()}
-
-    def gap(ks: list[tuple[int, int, float]]) -> dict[tuple[int, int], float]:
-        """Quantile of the bounds minus epsilon at each (point, slot, k)."""
-        at = spark.createDataFrame(ks, "grid_id int, slot int, k double")
-        bound = F.col("g") + log2_draws(draws) + F.col("k") * F.col("n")
-        found = grid_quantiles(
-            rows, "g", "n", at, ["grid_id", "slot"], F.col("k"), log2_draws(draws), F.col("n"), bound, [q],
-            counted=counted,
-        ).collect()
-        return {(r["grid_id"], r["slot"]): r["quantile"] - target[r["grid_id"]] for r in found}
-
-    ends = {
-        r["grid_id"]: [min(max(r["a"], low), high), min(max(r["b"], low), high)]
-        for r in start.groupBy("grid_id").agg(F.min("quantile").alias("a"), F.max("quantile").alias("b")).collect()
-    }
-    solved: dict[int, float] = {}
-    first = gap([(i, s, k) for i, ab in ends.items() for s, k in enumerate(ab)])
-    state = {i: [ab[0], first[i, 0], ab[1], first[i, 1]] for i, ab in ends.items()}
-    widen = [i for i, (_, fa, _, fb) in state.items() if fa > 0 or fb < 0]
-    if widen:
-        outer = gap([(i, s, k) for i in widen for s, k in enumerate((low, high))])
-        for i in widen:
-            state[i] = [low, outer[i, 0], high, outer[i, 1]]
-    for i, (a, fa, b, fb) in state.items():
-        if fa >= 0 or fb <= 0:
-            # At an end of the bracket the bound already meets or can never reach epsilon.
-            solved[i] = a if fa >= 0 else b
-    for step in range(max_steps):
-        active = {
-            i: (a + (b - a) * fa / (fa - fb) if step % 4 < 3 else (a + b) / 2)
-            for i, (a, fa, b, fb) in state.items() if i not in solved
-        }
-        if not active:
-            break
-        at = gap([(i, 0, k) for i, k in active.items()])
-        for i, k in active.items():
-            f = at[i, 0]
-            if abs(f) < tolerance:
-                solved[i] = k
-            elif f > 0:
-                state[i][2:] = [k, f]
-            else:
-                state[i][:2] = [k, f]
-    ks = [(i, solved.get(i, (state[i][0] + state[i][2]) / 2)) for i in points]
-    return grid.join(F.broadcast(spark.createDataFrame(ks, "grid_id int, k double")), "grid_id")
+    crossing = (own - F.col("g")) / F.col("n")
+    counted = counted_cells(rows, "slope", 1 / F.col("n"))
+    place = q * (counted.n_rows - 1)
+    share, below = place - math.floor(place), math.floor(place) + 1
+    last = counted.n_rows - below  # the smallest crossing of a row below, in ascending order
+    points = numbered(grid.select("grid_id", "log10_eps"), ["grid_id"], own, F.lit(0.0))
+    found = order_statistics(counted, points, crossing, [(max(last - 1, 0), last)])
+    ends = cut_lineage(found.groupBy("__g").agg(F.min("value").alias("a"), F.max("value").alias("b")))
+    longest, shortest = rows.agg(F.max("n"), F.min("n")).first()
+    reach = (F.col("b") - F.col("a")) * F.lit(longest / shortest)
+    windows = points.join(F.broadcast(ends), "__g").withColumns({"lo": F.col("a") - reach, "hi": F.col("b") + reach})
+    near = rows_between(counted, cut_lineage(windows), crossing)
+    spare = (F.col("b") - F.col("a")) * F.lit(float(longest)) / F.col("n")
+    above = F.col("__v") < F.col("b")
+    kept = near.where(F.when(above, F.col("__v") >= F.col("a") - spare).otherwise(F.col("__v") <= F.col("b") + spare))
+    nearest = kept.groupBy("__g", "a", "b", above.alias("above"), F.col("n").cast("double").alias("n")).agg(F.max("__v").alias("most"), F.min("__v").alias("least"))
+
+    def solve(group: pd.DataFrame) -> pd.DataFrame:
+        up = group["above"].to_numpy(bool)
+        lines_below = group.loc[~up, "n"].to_numpy(), group.loc[~up, "least"].to_numpy()
+        lines_above = group.loc[up, "n"].to_numpy(), group.loc[up, "most"].to_numpy()
+        a, b = float(group["a"].iloc[0]), float(group["b"].iloc[0])
+        return pd.DataFrame({"__g": group["__g"].iloc[:1], "__k": [quantile_root(a, b, share, lines_below, lines_above)]})
+
+    solved = nearest.groupBy("__g").applyInPandas(solve, "__g int, __k double")
+    ks = points.select("__g", "grid_id").join(F.broadcast(solved), "__g").select(
+        "grid_id", F.least(F.greatest(F.col("__k"), F.lit(float(low))), F.lit(float(high))).alias("k")
+    )
+    return grid.join(F.broadcast(ks), "grid_id")
+
+
+def quantile_root(a: float, b: float, share: float, below: tuple[np.ndarray, np.ndarray], above: tuple[np.ndarray, np.ndarray]) -> float:
+    """Where (1 - share) * max n (k - c) over the lines below + share * min n (k - c) over those above is 0, for k in [a, b].
+
+    Both parts are piecewise linear and rise. The lines that are extreme at k give the root of their own; where the same lines
+    are extreme there, it is the root, else the side of k is known.
+    """
+    (n_b, c_b), (n_a, c_a) = below, above
+    if share == 0 or not len(n_a) or a == b:
+        return b
+    low, high, k = a, b, b
+    while True:
+        x, y = n_b * (k - c_b), n_a * (k - c_a)
+        i, j = int(x.argmax()), int(y.argmin())
+        value = (1 - share) * x[i] + share * y[j]
+        if value == 0:
+            return k
+        low, high = (low, k) if value > 0 else (k, high)
+        one, two = (1 - share) * n_b[i], share * n_a[j]
+        root = (one * c_b[i] + two * c_a[j]) / (one + two)
+        x, y = n_b * (root - c_b), n_a * (root - c_a)
+        if x[i] >= x.max() and y[j] <= y.min():
+            return float(root)
+        middle = (low + high) / 2
+        if not low < middle < high:
+            return float(middle)
+        k = middle

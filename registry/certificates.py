@@ -73,11 +73,18 @@ def crt_accept(spark, sf):
                                     S.accepts(ratio, F.col("n_token_response"), F.lit(0.4)).alias("accepted"))
 
 
-@query("crt_token_count", f"""WITH {V_TOKENS} SELECT vec_id, CAST(CASE WHEN label % 2 = 0 THEN 63 ELSE 64 END AS BIGINT) AS n_token FROM v_tokens""")
+# Lists end in 0 under both models for even labels, and under one of them for labels that 3 divides.
+SQL_ENDED = "CASE WHEN {c} THEN list_concat({l}[1:63], [CAST(0 AS DOUBLE)]) ELSE {l} END"
+
+
+@query("crt_token_count", f"""WITH {V_TOKENS}, e AS (SELECT vec_id, {SQL_ENDED.format(c="label % 2 = 0 OR label % 3 = 0", l="ll_f")} AS f, {SQL_ENDED.format(c="label % 2 = 0", l="ll_g")} AS g FROM v_tokens)
+  SELECT vec_id, CAST(len(f) - CASE WHEN f[len(f)] = 0 AND g[len(g)] = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_token, round(list_sum(f), 9) AS ll FROM e""")
 def crt_token_count(spark, sf):
     t = token_scores(spark, sf)
-    ended = lambda c: F.when(F.col("label") % 2 == 0, F.concat(F.slice(c, 1, 63), F.array(F.lit(0.0)))).otherwise(F.col(c))
-    return t.select("vec_id", S.certified_tokens(ended("ll_f"), ended("ll_g")).alias("n_token"))
+    ended = lambda c, when: F.when(when, F.concat(F.slice(c, 1, 63), F.array(F.lit(0.0)))).otherwise(F.col(c))
+    even = F.col("label") % 2 == 0
+    lists = t.select("vec_id", ended("ll_f", even | (F.col("label") % 3 == 0)).alias("f"), ended("ll_g", even).alias("g"))
+    return lists.select("vec_id", S.certified_tokens(F.col("f"), F.col("g")).alias("n_token"), F.round(S.total(F.col("f")), 9).alias("ll"))
 
 
 @query("crt_rejection_sampling", f"""WITH {V_GATE} SELECT request_id, abstained, num_samples, CAST({GATE_T} AS INT) AS max_samples, log_prob_f, log_prob_g, last_ratio, last_bound FROM gate""")
@@ -123,7 +130,7 @@ def sql_eps_k_quantile(name: str, grid: str, q: float, low: float, high: float,
   SELECT round(log10_eps,6) AS log10_eps, round(k,5) AS k FROM ks""")
 def crt_k_from_eps_quantile(spark, sf):
     rows = scores(spark, sf).where("ood = 1")
-    ks = k_from_eps_quantile(rows, sequence_grid(spark, 5, -20.0, 0.0, "log10_eps"), 0.95, -10.0, 100.0, tolerance=1e-9)
+    ks = k_from_eps_quantile(rows, sequence_grid(spark, 5, -20.0, 0.0, "log10_eps"), 0.95, -10.0, 100.0)
     return ks.select(F.round("log10_eps", 6).alias("log10_eps"), F.round("k", 5).alias("k"))
 
 
@@ -158,7 +165,7 @@ def crt_eps_table(spark, sf):
   SELECT round(log10_eps,6) AS log10_eps, round(k,5) AS k_mid, log10_cr_10, log10_cr_median, log10_cr_90 FROM ks JOIN pct USING (grid_id)""")
 def crt_eps_table_q95(spark, sf):
     """For data that isn't clean: the 95 % quantile of the bounds meets epsilon."""
-    out = C.eps_table(scores(spark, sf).where("ood = 1"), points=5, low=-20.0, high=0.0, bracket=(-10.0, 100.0), upper_quantile=0.95, tolerance=1e-9)
+    out = C.eps_table(scores(spark, sf).where("ood = 1"), points=5, low=-20.0, high=0.0, bracket=(-10.0, 100.0), upper_quantile=0.95)
     return rounded(out.select("log10_eps", "k_mid", *C.PERCENTILES.values()), 4, log10_eps=6, k_mid=5)
 
 
@@ -298,4 +305,4 @@ def certified_corpus(spark, sf):
     """Documents to constriction table: fit, score, choose k by false-rejection rate, summarise."""
     fit = P.fit_models(wide_table(spark, sf, "documents"))
     scored_docs = cut_lineage(P.corpus_scores(fit))
-    return rounded(C.constriction_by_frr(scored_docs, distributions=None), 4)
+    return C.constriction_by_frr(scored_docs, distributions=None)

@@ -172,5 +172,4 @@ def lm_score_corpus_xy(spark, sf):
   c AS (SELECT "FRR", k, (ll2_model - (ll2_generator + k*n_token_response))/3.321928094887362 AS cr FROM ks CROSS JOIN raw WHERE ood=1)
   SELECT "FRR", round(any_value(k),4) AS k, round(quantile_cont(cr,0.1),3) AS log10_cr_10, round(quantile_cont(cr,0.5),3) AS log10_cr_median, round(quantile_cont(cr,0.9),3) AS log10_cr_90 FROM c GROUP BY "FRR\"""")
 def certified_corpus_table(spark, sf):
-    out = certified_corpus(spark, sf).drop("combined")
-    return out.withColumns({c: F.round(c, 3) for c in ("log10_cr_10", "log10_cr_median", "log10_cr_90")})
+    return rounded(certified_corpus(spark, sf).drop("combined"), 3, k=4)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ratiocert.functions import scores as S
 from ratiocert.operators.filters import drop_top, shuffled_split
 from ratiocert.operators.ordering import sequence_grid
-from ratiocert.operators.thresholds import confusion, curve_confusion, crossed_confusion, rates
+from ratiocert.operators.thresholds import confusion, curve_confusion, rates, rejected_counts
 from ratiocert.plans import certificates as C
 from ratiocert.plans import curves as V
 from ratiocert.plans.thresholds import k_from_eps, k_from_frr
@@ -66,10 +66,11 @@ def test_closed_form_equals_bisection(spark, frame):
 def test_one_pass_curve_equals_crossing(spark, frame):
     grid = spark.createDataFrame([(i, float(k)) for i, k in enumerate([0.5, 1.0, 1.5, 2.0, 4.0, 4.0, 9.0, -1.0])], "grid_id int, k double")
     rows = C.scored(frame)
-    fast = {r["k"]: tuple(r)[1:] for r in curve_confusion(rows, grid, "k", "log2_ratio_norm", "ood").collect()}
-    slow = {r["k"]: (r["tn"], r["fp"], r["fn"], r["tp"])
-            for r in crossed_confusion(rows, grid.select("k").distinct(), ["k"], "log2_ratio_norm", "k", "ood").collect()}
-    assert fast == slow
+    fast = {r["grid_id"]: (r["tn"], r["fp"], r["fn"], r["tp"]) for r in curve_confusion(rows, grid, "k", "log2_ratio_norm", "ood").collect()}
+    crossed = rows.crossJoin(grid).groupBy("grid_id").agg(*confusion(F.col("log2_ratio_norm") > F.col("k"), F.col("ood")))
+    assert fast == {r["grid_id"]: (r["tn"], r["fp"], r["fn"], r["tp"]) for r in crossed.collect()} and len(fast) == 8
+    counts = {(r["ood"], r["grid_id"]): (r["rejected"], r["n"]) for r in rejected_counts(rows, grid, "k", "log2_ratio_norm", ["ood"]).collect()}
+    assert counts[0, 1] == (fast[1][1], fast[1][0] + fast[1][1]) and len(counts) == 16
 
 
 def test_frr_falls_with_k(frame):
