@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.prompts import same_start
 from ..functions.seeded import seeded_key
 from .ordering import first_in_order, row_positions
+from .selection import nth_key, seeded_order, up_to
 
 # The titles and subjects that count as medical.
 MEDICAL_TITLES = [
@@ -75,24 +76,15 @@ def length_between(df: DataFrame, column: str, low: int | None, high: int | None
 def drop_top(df: DataFrame, n: int, value: str, tie: Sequence[str], scope: str = "all") -> DataFrame:
     """All rows but the ``n`` with the highest value (of the whole table, or of the out-of-domain rows).
 
-    Only the n-th row is looked up (a bounded top-n); the rest is a filter.
+    Of equal values, rows that come first by ``tie`` go first. The n-th key is found by counting; the rest is a filter.
     """
     if n <= 0:
         return df
     ranked = df if scope == "all" else df.where(F.col("ood") == 1)
-    keys = [value, *tie]
-    order = [F.col(value).desc(), *[F.col(c) for c in tie]]
-    edge = (
-        ranked.orderBy(*order).limit(n)
-        .agg(F.count(F.lit(1)).alias("seen"), F.max_by(F.struct(*keys), F.struct((-F.col(value)).alias("v"), *tie)).alias("edge"))
-    )
-    later = F.col(value) < F.col(f"edge.{value}")
-    same = F.col(value) == F.col(f"edge.{value}")
-    for c in tie:
-        later = later | (same & (F.col(c) > F.col(f"edge.{c}")))
-        same = same & (F.col(c) == F.col(f"edge.{c}"))
-    keep = later & (F.col("seen") >= n) if scope == "all" else (F.col("ood") == 0) | (later & (F.col("seen") >= n))
-    return df.crossJoin(F.broadcast(edge)).where(keep).drop("seen", "edge")
+    order = {"__value": -F.col(value), **{c: F.col(c) for c in tie}}
+    edge = nth_key(ranked, order, n)
+    later = F.lit(False) if edge is None else ~up_to(order, edge)
+    return df.where(later if scope == "all" else (F.col("ood") == 0) | later)
 
 
 def matching_prompt(df: DataFrame, expected: Column, stored: Column) -> DataFrame:
@@ -112,14 +104,23 @@ def first_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
 
 def random_rows(df: DataFrame, row_id: str, n: int, seed: int) -> DataFrame:
     """``n`` rows without replacement, the same for the same seed."""
-    return first_in_order(df, {"key": seeded_key(seed, F.col(row_id)), "id": F.col(row_id)}, n)
+    return first_in_order(df, seeded_order(seeded_key(seed, F.col(row_id)), F.col(row_id)), n)
 
 
-def shuffled_split(df: DataFrame, row_id: str, n_train: int, seed: int, test: DataFrame | None = None) -> DataFrame:
-    """Adds ``position`` in the seeded order and ``split``: the first ``n_train`` rows are ``train``, the rest ``val``.
+def seeded_split(df: DataFrame, row_id: str, n_train: int, seed: int, test: DataFrame | None = None) -> DataFrame:
+    """Adds ``split``: the first ``n_train`` rows in the seeded order are ``train``, the rest ``val``.
 
-    Rows of ``test``, from a source of their own, follow as ``test`` without a position.
+    Only the key of the last training row is looked up, so no row moves. Rows of ``test``, from a source of their own, follow as ``test``.
     """
+    order = seeded_order(seeded_key(seed, F.col(row_id)), F.col(row_id))
+    edge = nth_key(df, order, n_train) if n_train > 0 else None
+    train = F.lit(n_train > 0) if edge is None else up_to(order, edge)
+    split = df.withColumn("split", F.when(train, "train").otherwise("val"))
+    return split if test is None else split.unionByName(test.withColumn("split", F.lit("test")), allowMissingColumns=True)
+
+
+def shuffled_split(df: DataFrame, row_id: str, n_train: int, seed: int, test: DataFrame | None = None) -> DataFrame:
+    """As :func:`seeded_split`, and each row's ``position`` in the seeded order, for which the rows are ordered."""
     keyed = df.withColumn("__key", seeded_key(seed, F.col(row_id)))
     placed = row_positions(keyed, ["__key", row_id], "position").drop("__key")
     split = placed.withColumn("split", F.when(F.col("position") < n_train, "train").otherwise("val"))

@@ -12,6 +12,7 @@ from ..functions.prompts import same_start
 from ..functions.seeded import seeded_key
 from .lookup import checked_broadcast
 from .ordering import first_in_order
+from .selection import seeded_order
 
 
 def with_generated(base: DataFrame, generated: DataFrame, idx: str, prefix: str | None = None,
@@ -62,9 +63,10 @@ def stacked(parts: Sequence[DataFrame]) -> DataFrame:
 def shuffled_collection(parts: Sequence[DataFrame], row_id: str, seed: int, n: int | None = None) -> DataFrame:
     """All parts stacked, in seeded order, cut to ``n`` rows; asking for more rows than there are is an error."""
     stack = stacked([p.withColumn("part", F.lit(i)) for i, p in enumerate(parts)])
-    order = {"key": seeded_key(seed, F.col("part"), F.col(row_id)), "part": F.col("part"), "id": F.col(row_id)}
+    key = seeded_key(seed, F.col("part"), F.col(row_id))
     if n is None:
-        return stack.orderBy(*order.values())
+        return stack.orderBy(key, "part", row_id)
+    order = seeded_order(key, F.col("part")) | {"__row": F.col(row_id)}
     available = stack.count()
     if n > available:
         raise ValueError(f"{n} rows requested, {available} available")

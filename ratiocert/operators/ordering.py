@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .selection import nth_key, up_to
 
 PART = "__part"
 
@@ -52,18 +53,16 @@ def row_positions(df: DataFrame, order: Sequence[str], name: str = "idx") -> Dat
     return running_start(counted, order, "__one", name=name).drop("__one")
 
 
-# A sorted limit ends in one task; above this many rows positions are counted over all partitions instead.
-SMALL_LIMIT = 100_000
+def first_in_order(df: DataFrame, order: dict[str, Column] | Sequence[str], n: int) -> DataFrame:
+    """The first ``n`` rows in the order, which must be total; ``order`` names columns or gives expressions.
 
-
-def first_in_order(df: DataFrame, order: dict[str, Column] | Sequence[str], n: int, small: int = SMALL_LIMIT) -> DataFrame:
-    """The first ``n`` rows in the order, which must be total; ``order`` names columns or gives expressions."""
+    The n-th key is found by counting; the rows are a filter of ``df``, in no particular order, for any ``n``.
+    """
     exprs = order if isinstance(order, dict) else {c: F.col(c) for c in order}
-    if n <= small:
-        return df.orderBy(*exprs.values()).limit(n)
-    extra = {f"__o{i}": c for i, c in enumerate(exprs.values())}
-    placed = row_positions(df.withColumns(extra), list(extra), "__at")
-    return placed.where(F.col("__at") < n).drop("__at", *extra)
+    if n <= 0:
+        return df.where(F.lit(False))
+    edge = nth_key(df, exprs, n)
+    return df if edge is None else df.where(up_to(exprs, edge))
 
 
 def values_at_ranks(counts: DataFrame, value: str, count: str, targets: DataFrame,

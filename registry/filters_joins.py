@@ -13,6 +13,7 @@ from .base import (V_BENCH, V_BENCH_LL, V_ITEMS, V_JUDGE, V_PAIR_TOKENS, V_PAIRS
                    joined, judged, pair_tokens, pairs, query, scores, table)
 from .certificates import sql_eps_k, sql_grid
 from ratiocert.operators.ordering import sequence_grid
+from ratiocert.operators.thresholds import rejected_counts
 from ratiocert.plans import certificates as C
 from ratiocert.plans.thresholds import k_from_eps
 
@@ -97,8 +98,14 @@ def flt_strip_special(spark, sf):
 
 
 @query("smp_shuffle_split", """WITH k AS (SELECT o_orderkey, row_number() OVER (ORDER BY md5(concat('23633|', CAST(o_orderkey AS VARCHAR))), o_orderkey) - 1 AS position FROM orders)
-  SELECT o_orderkey, position, CASE WHEN position < 1000 THEN 'train' ELSE 'val' END AS split FROM k""")
+  SELECT o_orderkey, CASE WHEN position < 1000 THEN 'train' ELSE 'val' END AS split FROM k""")
 def smp_shuffle_split(spark, sf):
+    return L.seeded_split(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 1000, 23633)
+
+
+@query("smp_shuffle_positions", """WITH k AS (SELECT o_orderkey, row_number() OVER (ORDER BY md5(concat('23633|', CAST(o_orderkey AS VARCHAR))), o_orderkey) - 1 AS position FROM orders)
+  SELECT o_orderkey, position, CASE WHEN position < 1000 THEN 'train' ELSE 'val' END AS split FROM k""")
+def smp_shuffle_positions(spark, sf):
     return L.shuffled_split(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 1000, 23633)
 
 
@@ -107,7 +114,7 @@ def smp_shuffle_split(spark, sf):
 def smp_split_two_sources(spark, sf):
     """Training and validation rows of one source, test rows of another."""
     orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
-    return L.shuffled_split(orders, "id", 1000, 23633, test=table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))).select("id", "split")
+    return L.seeded_split(orders, "id", 1000, 23633, test=table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))).select("id", "split")
 
 
 @query("smp_first_n", "SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 256")
@@ -175,9 +182,7 @@ def join_eps_k(spark, sf):
   SELECT k, dataset, count(*) FILTER (log2_ratio_norm > k) AS rejected, count(*) AS n FROM v_scored CROSS JOIN grid GROUP BY k, dataset""")
 def cross_threshold(spark, sf):
     grid = spark.range(0, 8, 1, 1).select((F.col("id").cast("double") / 2).alias("k"))
-    rows = C.scored(scores(spark, sf))
-    return rows.crossJoin(F.broadcast(grid)).groupBy("k", "dataset").agg(
-        F.count_if(F.col("log2_ratio_norm") > F.col("k")).alias("rejected"), F.count(F.lit(1)).alias("n"))
+    return rejected_counts(C.scored(scores(spark, sf)), grid, "k", "log2_ratio_norm", ["dataset"])
 
 
 @query("cross_param_grid", """WITH t AS (SELECT DISTINCT r_regionkey AS "T" FROM region), e AS (SELECT DISTINCT n_nationkey AS e FROM nation)
@@ -188,8 +193,16 @@ def cross_param_grid(spark, sf):
     return M.parameter_grid(t, e)
 
 
-@query("set_difference", f"WITH {SQL_PARTS} SELECT DISTINCT subject FROM t WHERE subject NOT IN ({_sql_list(L.MEDICAL_SUBJECTS)})")
+@query("set_difference", """SELECT DISTINCT lang, source FROM documents WHERE (lang, source) NOT IN (SELECT lang, source FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE toxic = 1 AND lang IS NOT NULL AND source IS NOT NULL)""")
 def set_difference(spark, sf):
+    """Pairs of language and source without a toxic document."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "source")
+    toxic = docs.join(table(spark, sf, "labels").where("toxic = 1"), "doc_id").select("lang", "source").distinct()
+    return M.not_in(docs.select("lang", "source").distinct(), toxic, ["lang", "source"])
+
+
+@query("set_difference_subjects", f"WITH {SQL_PARTS} SELECT DISTINCT subject FROM t WHERE subject NOT IN ({_sql_list(L.MEDICAL_SUBJECTS)})")
+def set_difference_subjects(spark, sf):
     medical = spark.createDataFrame([(x,) for x in L.MEDICAL_SUBJECTS], "subject string")
     return M.not_in(_categorised(spark, sf).select("subject").distinct(), F.broadcast(medical), ["subject"])
 
@@ -199,8 +212,8 @@ def set_distinct_pairs(spark, sf):
     return table(spark, sf, "documents").select("lang", "source").distinct()
 
 
-@query("set_dedup_sequences", "SELECT min(doc_id) AS doc_id, n_chars, count(*) AS copies FROM documents GROUP BY text, n_chars")
-def set_dedup_sequences(spark, sf):
+@query("set_dedup_texts", "SELECT min(doc_id) AS doc_id, n_chars, count(*) AS copies FROM documents GROUP BY text, n_chars")
+def set_dedup_texts(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "n_chars", F.sha2("text", 256).alias("digest"))
     return M.without_copies(docs, "doc_id", ["digest", "n_chars"]).drop("digest")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ratiocert.functions import scores as S
 from ratiocert.functions import sequences as Q
+from ratiocert.functions.codec import decimal_to_hex, hex_to_decimal
 from ratiocert.operators.merges import with_config
 from ratiocert.plans.certificates import scored
 
@@ -134,3 +135,12 @@ def prj_text_prompt_len(spark, sf):
     text = F.concat("prompt", F.lit("\n"), "response")
     n = Q.other_prompt_length(text, F.length("prompt"), Q.words)
     return pair_tokens(spark, sf).select("conv_id", "turn", n.cast("long").alias("n"))
+
+
+# The first 24 digits of a text's digest as an identifier of 96 bits.
+@query("prj_id_codec", """WITH d AS (SELECT doc_id, substring(md5(text), 1, 24) AS h FROM documents),
+  n AS (SELECT doc_id, h, CAST(CAST(concat('0x', h[1:12]) AS BIGINT) AS HUGEINT) * 281474976710656 + CAST(concat('0x', h[13:24]) AS BIGINT) AS n FROM d)
+  SELECT doc_id, CAST(n AS VARCHAR) AS id_decimal, coalesce(nullif(ltrim(h, '0'), ''), '0') AS id_hex FROM n""")
+def prj_id_codec(spark, sf):
+    number = hex_to_decimal(F.substring(F.md5("text"), 1, 24))
+    return table(spark, sf, "documents").select("doc_id", number.alias("id_decimal")).select("doc_id", "id_decimal", decimal_to_hex(F.col("id_decimal")).alias("id_hex"))
