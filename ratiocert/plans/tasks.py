@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import tasks as T
 from ..functions.seeded import seeded_int
 from ..operators.ordering import first_in_order, row_positions
-from ..session import cut_lineage
+from ..session import scratch_path
 
 
 def settings_path(modality: str, task: str, max_length: int, n_int: int, n_char: int, constant: bool) -> str:
@@ -46,21 +46,32 @@ def distinct_sequences(made: DataFrame, row_id: str) -> DataFrame:
     return made.groupBy("input", "answer").agg(F.min(row_id).alias(row_id))
 
 
-def unique_sequences(generate, wanted: int, row_id: str = "id", max_rounds: int = 20) -> DataFrame:
-    """Unique (input, answer) pairs, ``wanted`` of them: ids are added until enough are distinct.
+def unique_sequences(spark, generate, wanted: int, row_id: str = "id", first: int = 0, patience: int = 3) -> DataFrame:
+    """``wanted`` unique (input, answer) pairs, each with its smallest id: ids are added until enough are distinct.
 
-    ``generate(first, count)`` gives sequences for ids ``first .. first + count - 1``. Each round keeps
-    the pair with the smallest id; a constant output space that is too small is an error.
+    ``generate(first, count)`` gives the sequences of ids ``first`` to ``first + count - 1``. A round makes new ids only, removes
+    what earlier rounds have, and adds the rest to a stored table; digests stand for the texts in the comparison. As ids rise
+    from round to round, what is stored has the smallest id already. Where ``patience`` rounds in a row bring nothing new, the
+    settings do not have that many sequences, which is an error. Of a last round that brings too many, the smallest ids are kept.
     """
-    have, first, size = 0, 0, wanted
-    for _ in range(max_rounds):
+    path = scratch_path(spark, "unique")
+    have, size, idle = 0, wanted, 0
+    known: DataFrame | None = None
+    while have < wanted:
+        digest = F.sha2(F.concat_ws("\u0000", "input", "answer"), 256)
+        made = distinct_sequences(generate(first, size), row_id).withColumn("digest", digest)
+        new = made if known is None else made.join(known.select("digest"), "digest", "left_anti")
+        new.select(row_id, "input", "answer", "digest").write.mode("append").parquet(path)
+        known = spark.read.parquet(path)
         first += size
-        pairs = cut_lineage(distinct_sequences(generate(0, first), row_id))
-        have = pairs.count()
-        if have >= wanted:
-            return first_in_order(pairs, [row_id], wanted)
-        size = max(wanted - have, 1) * 2
-    raise ValueError(f"only {have} of {wanted} unique sequences found")
+        more = known.count() - have
+        have += more
+        idle = 0 if more else idle + 1
+        if idle == patience:
+            raise ValueError(f"only {have} of {wanted} unique sequences found")
+        # As many more as the share of new ones in this round lets expect, but no more than twice as many ids as so far.
+        size = min(max(-(-(wanted - have) * size // max(more, 1)), 1), 2 * first + 1)
+    return first_in_order(known, [row_id], wanted).drop("digest")
 
 
 def split_sequences(pairs: DataFrame, row_id: str, n_train: int, n_val: int) -> DataFrame:

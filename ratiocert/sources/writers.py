@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .readers import file_sizes
 
 
 def write_tsv(df: DataFrame, path: str) -> None:
@@ -38,7 +41,49 @@ def write_splits(pairs: DataFrame, path: str, order: str) -> None:
     lines.write.mode("errorifexists").text(f"{path}/all_text")
 
 
+# Files with these endings are unpacked by the text source, so their bytes are read whole.
+PACKED = r"\.(gz|bz2|zst|lz4|snappy|deflate)$"
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(file, bytes, md5) of every file below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.regexp_replace("path", "^.*/", "").alias("file"), F.col("length").alias("bytes"), F.md5("content").alias("md5"))
+    """(path, file, bytes, md5) of every file below a folder, as ``md5sum`` gives them, for files of any size.
+
+    A digest takes a file's bytes in order, so a file is one task's work. They arrive there as lines, sorted by their place
+    in the file, and only a batch of them is held. Packed files alone are taken whole, up to the 2 GB that Spark allows them.
+    """
+    files = file_sizes(spark, path)
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*").option("lineSep", "\n").text(path).select(
+        F.col("value").cast("binary").alias("line"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"),
+    ).where(~F.col("path").rlike(PACKED))
+    digests = lines.repartition("path").sortWithinPartitions("path", "block", "row").mapInArrow(_digests, "path string, bytes long, md5 string")
+    packed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("path").rlike(PACKED))
+    whole = packed.select("path", F.col("length").alias("bytes"), F.md5("content").alias("md5"))
+    empty = files.where((F.col("bytes") == 0) & ~F.col("path").rlike(PACKED)).select("path", "bytes", F.md5(F.lit("")).alias("md5"))
+    found = digests.unionByName(whole).unionByName(empty)
+    return found.select("path", F.regexp_replace("path", "^.*/", "").alias("file"), "bytes", "md5")
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a file from its lines in order. Between lines stands a line end; after the last one if the file's size says so."""
+    path, size, seen, digest = None, 0, 0, hashlib.md5()
+
+    def done() -> pa.RecordBatch:
+        if seen < size:
+            digest.update(b"\n")
+        return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([size], pa.int64()), pa.array([digest.hexdigest()])], names=["path", "bytes", "md5"])
+
+    for batch in batches:
+        for line, here, n in zip(batch.column("line"), batch.column("path").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
+            if here != path:
+                if path is not None:
+                    yield done()
+                path, size, seen, digest = here, n, 0, hashlib.md5()
+            else:
+                digest.update(b"\n")
+                seen += 1
+            held = line.as_buffer()
+            digest.update(held)
+            seen += held.size
+    if path is not None:
+        yield done()

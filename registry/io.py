@@ -10,7 +10,7 @@ from ratiocert.plans import gate as G
 from ratiocert.session import scratch_path
 from ratiocert.sources import cache, readers, writers
 
-from .base import (GATE_K, GATE_T, SQL_WORDS, V_GATE, V_PAIRS, V_SCORED, V_SCORES, draws, pairs, query, scores, table, wide_table)
+from .base import (GATE_K, GATE_T, SQL_WORDS, V_GATE, V_ITEMS, V_PAIRS, V_SCORED, V_SCORES, draws, items, pairs, query, scores, table, wide_table)
 from .certificates import EPS_TABLE_SQL, SQL_KS, SQL_PCTS, rounded, sql_cr, sql_grid
 from .tasks import SQL_BASE, SQL_TASK, _sequences
 
@@ -24,10 +24,10 @@ def _runs(spark, sf, label):
 SQL_RUNS = f"WITH {V_SCORES}, s AS (SELECT *, concat('run', CAST(l_linenumber % 4 AS VARCHAR)) AS run_id FROM v_scores)"
 
 
-@query("src_scores", SQL_RUNS + " SELECT run_id, dataset, count(*) AS n, round(sum(ll2_model),4) AS ll2_model FROM s GROUP BY 1, 2")
+@query("src_scores", SQL_RUNS + " SELECT run_id, dataset, l_orderkey, l_linenumber, n_token_response, ood, ll2_model, ll2_generator FROM s")
 def src_scores(spark, sf):
     runs = readers.score_runs(spark, _runs(spark, sf, "src-scores"))
-    return runs.groupBy("run_id", "dataset").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("ll2_model"), 4).alias("ll2_model"))
+    return runs.select("run_id", "dataset", "l_orderkey", "l_linenumber", "n_token_response", "ood", "ll2_model", "ll2_generator")
 
 
 @query("snk_scores", SQL_RUNS + " SELECT l_orderkey, l_linenumber, ll2_model, run_id FROM s")
@@ -35,8 +35,9 @@ def snk_scores(spark, sf):
     """Each run is read from its own folder; all of them together are the table again."""
     path = _runs(spark, sf, "snk-scores")
     found, unread = readers.readable_runs(spark, [f"{path}/run_id=run{i}" for i in range(4)])
-    if unread:
-        raise OSError(f"unread runs: {unread}")
+    lost = unread.limit(5).collect()
+    if lost:
+        raise OSError(f"unread files: {lost}")
     return found.withColumn("run_id", F.regexp_extract("folder", "run_id=([^/]*)$", 1)).select(
         "l_orderkey", "l_linenumber", "ll2_model", "run_id")
 
@@ -66,8 +67,8 @@ def src_prompt_response(spark, sf):
     return readers.prompt_responses(spark, path, multi_line=False)
 
 
-@query("src_qa_corpus", f"WITH {V_PAIRS} SELECT conv_id * 1000 + turn AS id, prompt AS question, CAST(len(string_split(response, '. ')) AS INT) AS n_contexts, response AS answer, concat('t', CAST(turn AS VARCHAR)) AS subject FROM v_pairs")
-def src_qa_corpus(spark, sf):
+@query("src_qa_declared", f"WITH {V_PAIRS} SELECT conv_id * 1000 + turn AS id, prompt AS question, CAST(len(string_split(response, '. ')) AS INT) AS n_contexts, response AS answer, concat('t', CAST(turn AS VARCHAR)) AS subject FROM v_pairs")
+def src_qa_declared(spark, sf):
     path = scratch_path(spark, "qa")
     pairs(spark, sf).select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("prompt").alias("question"), F.split("response", r"\. ").alias("contexts"),
@@ -76,6 +77,33 @@ def src_qa_corpus(spark, sf):
     return corpus.select("id", "question", F.size("contexts").alias("n_contexts"), F.element_at("answers", 1).alias("answer"), "subject")
 
 
+SQL_DECISION = "CASE WHEN toxic = 1 THEN 'no' WHEN quality = 0 THEN 'maybe' ELSE 'yes' END"
+
+
+@query("src_qa_corpus", f"""WITH {V_PAIRS}, {V_ITEMS}
+  SELECT 'extract' AS shape, concat('c', CAST(conv_id * 1000 + turn AS VARCHAR)) AS id, concat('t', CAST(turn AS VARCHAR)) AS subject, prompt AS question, CAST(1 AS INT) AS n_contexts, prompt AS last_context,
+    CAST(2 AS INT) AS n_answers, response AS answer, CAST(0 AS INT) AS n_choices, CAST(NULL AS VARCHAR) AS decision FROM v_pairs
+  UNION ALL SELECT 'judged', CAST(d.doc_id AS VARCHAR), NULL, concat('Is this ', source, '?'), CAST(len(string_split(text, chr(10))) AS INT), string_split(text, chr(10))[-1], 1, lang, 0, {SQL_DECISION} FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+  UNION ALL SELECT 'choices', NULL, subject, question, 0, NULL, 1, choices[answer + 1], 4, NULL FROM v_items""")
+def src_qa_corpus(spark, sf):
+    """Three corpora of differing schema, read as one."""
+    path = scratch_path(spark, "qa-shapes")
+    pairs(spark, sf).select(
+        F.concat(F.lit("c"), (F.col("conv_id") * 1000 + F.col("turn")).cast("string")).alias("id"), F.concat(F.lit("t"), F.col("turn").cast("string")).alias("title"),
+        F.col("prompt").alias("context"), F.col("prompt").alias("question"), F.struct(F.array("response", F.lit("other")).alias("text")).alias("answers"),
+    ).write.json(f"{path}/extract")
+    judged_docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    judged_docs.select(
+        F.col("doc_id").alias("id"), F.concat(F.lit("Is this "), "source", F.lit("?")).alias("question"), F.struct(F.split("text", "\n", -1).alias("contexts")).alias("context"),
+        F.col("lang").alias("long_answer"), F.when(F.col("toxic") == 1, "no").when(F.col("quality") == 0, "maybe").otherwise("yes").alias("final_decision"),
+    ).write.json(f"{path}/judged")
+    items(spark, sf).select(F.col("subject").alias("task"), "question", "choices", "answer").write.json(f"{path}/choices")
+    corpus = readers.qa_documents(spark, [f"{path}/{s}" for s in readers.QA_SHAPES])
+    return corpus.select(
+        "shape", "id", "subject", "question", F.size("contexts").alias("n_contexts"), F.try_element_at("contexts", F.lit(-1)).alias("last_context"),
+        F.size("answers").alias("n_answers"), F.element_at("answers", 1).alias("answer"), F.size("choices").alias("n_choices"), "decision")
+
+
 def _lines(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
 
@@ -114,13 +142,12 @@ def src_tsv(spark, sf):
     return rounded(readers.eps_table(spark, path).select("T", "log10_eps", "k", "log10_cr_10", "log10_cr_median", "log10_cr_90"))
 
 
-@query("snk_tsv", f"WITH {V_SCORED} SELECT dataset, count(*) AS n, round(sum(log2_ratio_norm),4) AS total, max(ll2_model) AS top FROM v_scored GROUP BY dataset")
+@query("snk_tsv", f"WITH {V_SCORED} SELECT l_orderkey, l_linenumber, dataset, ood, n_token_response, ll2_generator, ll2_model, log2_ratio, log2_ratio_norm FROM v_scored")
 def snk_tsv(spark, sf):
     path = scratch_path(spark, "frame")
     rows = C.scored(scores(spark, sf))
     writers.write_tsv(rows, path)
-    back = spark.read.schema(rows.schema).csv(path, sep="\t", header=True)
-    return back.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("log2_ratio_norm"), 4).alias("total"), F.max("ll2_model").alias("top"))
+    return spark.read.schema(rows.schema).csv(path, sep="\t", header=True)
 
 
 @query("snk_csv", f"""WITH {V_SCORED}, {SQL_KS}, crossed AS (SELECT "FRR", k, {sql_cr()} AS cr FROM ks CROSS JOIN (SELECT * FROM v_scored WHERE ood=1) r)
@@ -131,16 +158,18 @@ def snk_csv(spark, sf):
     return rounded(spark.read.schema("FRR double, k double, combined string").csv(path, header=True), k=9)
 
 
-@query("snk_results_json", f"""WITH {V_GATE} SELECT count(*) AS n, CAST(sum(num_samples) AS BIGINT) AS draws, round(sum(last_ratio),4) AS ratios, round(avg(CASE WHEN abstained THEN 1.0 ELSE 0.0 END),9) AS mean_abstained FROM gate""")
+@query("snk_results_json", f"""WITH {V_GATE} SELECT request_id, abstained, num_samples, last_ratio, last_bound, log_prob_f, log_prob_g, round((SELECT avg(CASE WHEN abstained THEN 1.0 ELSE 0.0 END) FROM gate),9) AS mean_abstained,
+  '{GATE_K}' AS k FROM gate""")
 def snk_results_json(spark, sf):
     path = scratch_path(spark, "gate")
     decisions = G.run_gate(draws(spark, sf), GATE_K, GATE_T)
     writers.write_results(decisions, G.gate_report(decisions), {"k": GATE_K, "T": GATE_T}, path)
-    metrics = spark.read.schema("mean_abstained double").json(f"{path}/metrics")
+    metrics = spark.read.schema("mean_abstained double").json(f"{path}/metrics").select(F.round("mean_abstained", 9).alias("mean_abstained"))
+    config = spark.read.schema("name string, value string").json(f"{path}/config").where("name = 'k'").select(F.col("value").alias("k"))
     back = spark.read.schema(decisions.schema).json(f"{path}/results")
-    return back.agg(
-        F.count(F.lit(1)).alias("n"), F.sum("num_samples").alias("draws"), F.round(F.sum(F.element_at("log_ratios", -1)), 4).alias("ratios"),
-    ).crossJoin(metrics.select(F.round("mean_abstained", 9).alias("mean_abstained")))
+    return back.select(
+        "request_id", "abstained", "num_samples", F.element_at("log_ratios", -1).alias("last_ratio"), F.element_at("log_upper_bounds", -1).alias("last_bound"),
+        "log_prob_f", "log_prob_g").crossJoin(F.broadcast(metrics)).crossJoin(F.broadcast(config))
 
 
 def _split(spark, sf):
@@ -160,12 +189,15 @@ def snk_splits(spark, sf):
     return parts.unionByName(lines)
 
 
-@query("snk_manifest", SQL_SPLIT + " SELECT CAST(sum(strlen(input) + strlen(answer) + 2) AS BIGINT) AS bytes, true AS digests FROM s")
+@query("snk_manifest", """SELECT CAST(n AS VARCHAR) AS part, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes, md5(string_agg(concat(text, chr(10)), '' ORDER BY doc_id)) AS md5
+  FROM (SELECT doc_id, doc_id % 4 AS n, text FROM documents) d GROUP BY n""")
 def snk_manifest(spark, sf):
+    """One file a part, its texts in id order: the digests are those of the files' bytes."""
     path = scratch_path(spark, "manifest")
-    writers.write_splits(_split(spark, sf), path, "id")
-    return writers.manifest(spark, f"{path}/all_text").agg(
-        F.sum("bytes").alias("bytes"), F.every(F.length("md5") == 32).alias("digests"))
+    docs = table(spark, sf, "documents").select("text", "doc_id", (F.col("doc_id") % 4).alias("n"))
+    docs.repartition("n").sortWithinPartitions("n", "doc_id").select("text", "n").write.partitionBy("n").text(path)
+    found = writers.manifest(spark, path)
+    return found.select(F.regexp_extract("path", "n=([0-9]+)/", 1).alias("part"), "bytes", "md5")
 
 
 @query("cache_processed", f"SELECT doc_id, CAST(len({SQL_WORDS.format('text')}) AS BIGINT) AS n_words FROM documents")

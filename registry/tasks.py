@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ratiocert.functions import tasks as T
 from ratiocert.operators import aggregates as A
+from ratiocert.plans import scorers as S
 from ratiocert.plans import tasks as K
 from ratiocert.session import scratch_path
 from ratiocert.sources import writers
@@ -77,7 +78,7 @@ SQL_DONE = f"""done AS (SELECT id, items, {SQL_TASK['sort']} AS want, CASE id %
     CASE WHEN id % 4 <> 3 THEN len(list_filter(range(1, least(len(got), len(want))+1), lambda i: got[i] = want[i]))/CAST(least(len(got), len(want)) AS DOUBLE) END AS num_token_match FROM texts)"""
 
 
-def _checked(spark, sf):
+def _done(spark, sf):
     s = _sequences(spark, sf, "sort").withColumn("want", F.split("answer", " "))
     got = (
         F.when(F.col("id") % 4 == 1, F.reverse("want"))
@@ -85,7 +86,11 @@ def _checked(spark, sf):
         .otherwise(F.col("want")))
     text = F.concat(T.prompt(F.col("input"), "sort", 3, F.col("id")), F.array_join(got, " "))
     text = F.when(F.col("id") % 4 == 3, F.substring(text, F.lit(3), F.length(text))).otherwise(text)
-    return K.scored_sequences(s.select("id", text.alias("text")), "text", N_INT, N_CHAR)
+    return s.select("id", text.alias("text"))
+
+
+def _checked(spark, sf):
+    return K.scored_sequences(_done(spark, sf), "text", N_INT, N_CHAR)
 
 
 @query("tsk_score", SQL_BASE + f", {SQL_DONE} SELECT id, ok AS starts_with_q, ok AS instruct_sequence_valid, lengths_match, task_correct, int_population, round(num_token_match, 9) AS num_token_match FROM checked")
@@ -101,12 +106,52 @@ def agg_task_scores(spark, sf):
     return rounded(A.task_scores(_checked(spark, sf), "text"), 9)
 
 
-@query("tsk_dataset", SQL_BASE + f""", u AS (SELECT min(id) AS id, array_to_string(items, ' ') AS input, any_value(array_to_string({SQL_TASK['add']}, ' ')) AS answer FROM items GROUP BY 2),
-  p AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS position FROM u)
-  SELECT input, answer, CASE WHEN position < 10000 THEN 'train' WHEN position < 11024 THEN 'val' ELSE 'test' END AS split FROM p""")
+# One sequence for each order is wanted; ids go on after the orders' where some are equal. As many more are enough here.
+SQL_TOPPED = f"""{SQL_BASE.replace("FROM orders CROSS JOIN pool", "FROM every CROSS JOIN pool").replace(f"WITH {SQL_POOL}", f"""WITH {SQL_POOL},
+  every AS (SELECT unnest(range(1, 2 * (SELECT count(*) FROM orders) + 1)) AS o_orderkey)""")},
+  u AS (SELECT min(id) AS id, array_to_string(items, ' ') AS input, any_value(array_to_string({SQL_TASK['add']}, ' ')) AS answer FROM items GROUP BY 2),
+  p AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS position FROM u QUALIFY position < (SELECT count(*) FROM orders))"""
+
+
+def _topped_up(spark, sf):
+    def generate(first, count):
+        return K.sequences(spark.range(first, first + count), "id", "add", LENGTH, N_INT, N_CHAR, SEED)
+
+    return K.unique_sequences(spark, generate, table(spark, sf, "orders").count(), first=1)
+
+
+@query("set_dedup_sequences", SQL_TOPPED + " SELECT id, input, answer FROM p")
+def set_dedup_sequences(spark, sf):
+    """As many unique sequences as there are orders."""
+    return _topped_up(spark, sf).select("id", "input", "answer")
+
+
+@query("tsk_dataset", SQL_TOPPED + " SELECT input, answer, CASE WHEN position < 10000 THEN 'train' WHEN position < 11024 THEN 'val' ELSE 'test' END AS split FROM p")
 def tsk_dataset(spark, sf):
-    """Unique sequences, split and written under their settings, then read back."""
+    """As many unique sequences as there are orders, split and written under their settings, then read back."""
     folder = K.settings_path("mixed", "add", LENGTH, N_INT, N_CHAR, False)
     path = f"{scratch_path(spark, 'tasks')}/{folder}"
-    writers.write_splits(K.split_sequences(K.distinct_sequences(_sequences(spark, sf, "add"), "id"), "id", 10000, 1024), path, "id")
+    writers.write_splits(K.split_sequences(_topped_up(spark, sf), "id", 10000, 1024), path, "id")
     return spark.read.schema("input string, answer string, split string").json(f"{path}/splits")
+
+
+# Task sequences and, for every fifth order, a question whose target is its customer; each is scored by its own rule.
+SQL_MIXED = f"""{SQL_DONE}, mixed AS (SELECT 'task_data' AS dataset, text, CAST(NULL AS VARCHAR) AS response, CAST(NULL AS VARCHAR) AS target, id FROM texts
+  UNION ALL SELECT 'orders', NULL, concat('priority ', CASE WHEN o_orderkey % 3 = 0 THEN lower(o_orderpriority) ELSE o_orderpriority END), o_orderpriority, o_orderkey FROM orders WHERE o_orderkey % 5 = 0),
+  words AS (SELECT *, regexp_split_to_array(trim(response), '\\s+') AS g, regexp_split_to_array(trim(target), '\\s+') AS w FROM mixed WHERE dataset = 'orders'),
+  answers AS (SELECT CAST(ends_with(response, target) AS DOUBLE) AS e, CAST(len(g) = len(w) AS DOUBLE) AS l, len(list_filter(range(1, least(len(g), len(w)) + 1), lambda i: g[i] = w[i])) / CAST(least(len(g), len(w)) AS DOUBLE) AS m FROM words)"""
+
+
+@query("scr_by_dataset", SQL_BASE + f", {SQL_MIXED} " + " UNION ALL ".join(
+    f"SELECT 'task_data' AS dataset, '{n}' AS \"check\", count(*) AS n, round(avg(coalesce(CAST({c} AS DOUBLE), {m})), 9) AS mean FROM checked"
+    for c, n, m in (("ok", "starts_with_q", 0), ("ok", "instruct_sequence_valid", 0), ("lengths_match", "lengths_match", 0), ("task_correct", "task_correct", 0), ("int_population", "int_population", 1), ("num_token_match", "num_token_match", 0)))
+    + "".join(f" UNION ALL SELECT 'orders', '{n}', count(*), round(avg({c}), 9) FROM answers" for c, n in (("e", "ends_with_target"), ("l", "lengths_match"), ("m", "word_match"))))
+def scr_by_dataset(spark, sf):
+    """Two data sets in one table, each scored by its own rule; a missing integer flag counts as true."""
+    rules = {"task_data": S.Scorer(S.task_checks(N_INT, N_CHAR), {"int_population": 1.0}), "orders": S.Scorer(S.answer_checks, {})}
+    tasks = _done(spark, sf).select(F.lit("task_data").alias("dataset"), F.col("text").alias("response"), F.lit(None).cast("string").alias("target"))
+    said = F.when(F.col("o_orderkey") % 3 == 0, F.lower("o_orderpriority")).otherwise(F.col("o_orderpriority"))
+    orders = table(spark, sf, "orders").where("o_orderkey % 5 = 0").select(
+        F.lit("orders").alias("dataset"), F.concat(F.lit("priority "), said).alias("response"), F.col("o_orderpriority").alias("target"))
+    scored = S.scored_items(tasks.unionByName(orders), "dataset", "response", "target", rules)
+    return rounded(S.aggregate_scores(scored, "dataset", rules), 9)

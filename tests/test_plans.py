@@ -5,6 +5,7 @@ import os
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from ratiocert.operators.merges import worked_examples
 from registry import QUERIES
@@ -73,3 +74,31 @@ def test_overlaps_of_all_sizes_take_one_scan(spark, tmp_path):
     plan = overlap.bleu(pairs, ["id"], "a", "b")._jdf.queryExecution().executedPlan().toString()
     assert plan.split("== Initial Plan ==")[-1].count("FileScan") == 1
     assert [tuple(r) for r in overlap.ngram_overlap(pairs, ["id"], "a", "b", 2).orderBy("id").collect()] == [(1, 0, 1, 0), (2, 0, 0, 0)]
+
+
+def test_packing_moves_tokens_once(spark):
+    from ratiocert.operators.packing import partial_blocks
+
+    docs = spark.range(50).select("id", F.transform(F.sequence(F.lit(0), F.col("id")), lambda x: x.cast("string")).alias("t"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        blocks, total = partial_blocks(docs, "id", "t", 16, 8)
+        text = blocks._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert total == 50 * 51 // 2 and text.count("Exchange hashpartitioning") == 1 and "rangepartitioning" not in text
+
+
+def test_split_and_samples_neither_sort_nor_shuffle(spark):
+    from ratiocert.operators import filters as L
+
+    rows = spark.range(5000).withColumnRenamed("id", "i")
+    for df in (L.seeded_split(rows, "i", 700, 5), L.random_rows(rows, "i", 30, 5), L.first_rows(rows, ["i"], 40), L.drop_top(rows.withColumn("v", F.rand(3)), 50, "v", ["i"])):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in text for x in ("Sort", "Exchange", "Limit", "Window"))
+
+
+def test_thresholds_meet_on_numbers(spark):
+    for key in ("crv_eps_frr", "crv_certified_benchmark", "cross_threshold"):
+        text = plan(spark, key)
+        assert "Join" in text and not re.search(r"HashJoin \[(knownfloatingpointnormalized|k#)", text)

@@ -82,6 +82,19 @@ def solved(spark, items, task):
     return " ".join(one(spark, T.solve(arr(*items.split()), task, pool)))
 
 
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_packing_of_long_and_empty_documents(spark, parts):
+    rng = random.Random(parts)
+    docs = [(i, [rng.randrange(99) for _ in range(rng.choice([0, 1, 5, 400]))]) for i in range(60)]
+    df = spark.createDataFrame(docs, "id long, t array<int>").repartition(7)
+    flat = [x for _, t in docs for x in t]
+    want = [flat[i:i + 16] for i in range(0, len(flat) // 16 * 16, 16)]
+    assert [r["tokens"] for r in packed_blocks(df, "id", "t", 16, parts=parts).orderBy("block").collect()] == want
+    named = df.withColumn("id", F.format_string("doc-%04d", "id"))
+    assert [r["tokens"] for r in packed_blocks(named, "id", "t", 16, parts=parts).orderBy("block").collect()] == want
+    assert packed_blocks(df.limit(0), "id", "t", 16, parts=parts).count() == 0
+
+
 def test_tasks(spark):
     assert solved(spark, "10 2 9", "sort") == "10 2 9"
     assert solved(spark, "10 2 9", "reverse-sort") == "9 2 10"

@@ -19,11 +19,44 @@ def test_unreadable_runs_are_reported(spark, tmp_path):
     with pytest.raises(Exception, match="not a Parquet file"):
         readers.score_runs(spark, root).count()
     found, unread = readers.readable_runs(spark, [f"{root}/run_id={r}" for r in ("r0", "bad", "r1", "none")])
-    assert found.count() == 10 and [u.split(":")[0].rsplit("=")[-1] for u in (x.removeprefix("file:") for x in unread)] == ["bad", "none"]
+    assert found.count() == 10
+    assert {(r["path"].rsplit("=")[-1], r["bytes"]) for r in unread.collect()} == {("bad/part.parquet", 11), ("none", None)}
     one = readers.score_runs(spark, root, df.schema).where("run_id = 'r1'")
     assert "PartitionFilters: [isnotnull(run_id" in one._jdf.queryExecution().toString()
 
 
+def test_one_bad_file_of_four_costs_itself(spark, tmp_path):
+    root = tmp_path / "runs"
+    for i in range(4):
+        spark.range(i * 5, i * 5 + 5, 1, 1).write.parquet(str(root / str(i)))
+    damaged = next((root / "2").glob("part-*"))
+    damaged.write_bytes(damaged.read_bytes()[:-9])
+    (next((root / "2").glob(".part-*.crc"))).unlink()
+    found, unread = readers.readable_runs(spark, [str(root / str(i)) for i in range(4)])
+    assert sorted(r["id"] for r in found.collect()) == [*range(10), *range(15, 20)]
+    assert [r["path"].rsplit("/", 2)[1:] for r in unread.collect()] == [["2", damaged.name]]
+    assert {r["folder"].rsplit("/", 1)[1] for r in found.collect()} == {"0", "1", "3"}
+    none, every = readers.readable_runs(spark, [str(root / "2"), str(root / "9")])
+    assert none is None and every.count() == 2
+
+
+def test_many_folders_take_the_jobs_of_one(spark, tmp_path):
+    import shutil
+
+    spark.range(1).coalesce(1).write.parquet(str(tmp_path / "one"))
+    file = next((tmp_path / "one").glob("part-*"))
+    for i in range(300):
+        (tmp_path / f"f{i}").mkdir()
+        shutil.copy(file, tmp_path / f"f{i}" / "x.parquet")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("folders", "folders")
+    found, unread = readers.readable_runs(spark, [str(tmp_path / f"f{i}") for i in range(300)])
+    assert found.count() == 300 and unread.count() == 0
+    jobs = len(tracker.getJobIdsForGroup("folders"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs < 20
+
+
 def test_runs_are_stacked_by_name(spark, tmp_path):
     spark.range(3).select("id", F.lit(1.0).alias("a")).write.parquet(str(tmp_path / "runs" / "run_id=x"))
     spark.range(2).select(F.lit("t").alias("b"), "id").write.parquet(str(tmp_path / "runs" / "run_id=y"))
@@ -69,6 +102,45 @@ def test_splits_and_manifest(spark, tmp_path):
         assert digests[path.name] == hashlib.md5(path.read_bytes()).hexdigest()
 
 
+def test_digests_of_any_file(spark, tmp_path):
+    import gzip
+
+    folder = tmp_path / "files"
+    (folder / "deep").mkdir(parents=True)
+    files = {
+        "a.txt": b"one\ntwo\n", "b.txt": b"no end", "c.bin": bytes(range(256)) * 5000, "d.txt": b"\r\n\n\n", "e.txt": b"", "f.txt": b"\n",
+        "deep/g.txt": b"x" * 3_000_000 + b"\n" + b"y" * 100, "h.txt.gz": gzip.compress(b"packed\n" * 100),
+    }
+    for name, data in files.items():
+        (folder / name).write_bytes(data)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = {r["file"]: (r["bytes"], r["md5"]) for r in writers.manifest(spark, str(folder)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {name.split("/")[-1]: (len(data), hashlib.md5(data).hexdigest()) for name, data in files.items()}
+
+
+def test_corpora_of_three_shapes(spark, tmp_path):
+    docs = [
+        {"id": "5733be", "title": "Gene", "context": "c", "question": "q1", "answers": {"text": ["a", "b"], "answer_start": [1, 2]}},
+        {"pubid": 7, "question": "q2", "context": {"contexts": ["x", "y"], "labels": []}, "long_answer": "la", "final_decision": "maybe"},
+        {"question": "q3", "task": "anatomy", "choices": ["w", "x", "y", "z"], "answer": 2},
+        {"question": "q4", "subject": "virology", "choices": ["w"], "answer": 9},
+        {"question": "q5", "context": None},
+    ]
+    (tmp_path / "all.json").write_text("\n".join(map(json.dumps, docs)))
+    rows = {r["question"]: r for r in readers.qa_documents(spark, str(tmp_path / "all.json")).collect()}
+    assert [(r["shape"], r["subject"], r["contexts"], r["answers"], r["choices"], r["decision"]) for _, r in sorted(rows.items())] == [
+        ("extract", "Gene", ["c"], ["a", "b"], [], None), ("judged", None, ["x", "y"], ["la"], [], "maybe"),
+        ("choices", "anatomy", [], ["y"], ["w", "x", "y", "z"], None), ("choices", "virology", [], [], ["w"], None),
+        ("extract", None, [], [], [], None),
+    ]
+    assert rows["q1"]["id"] == "5733be" and rows["q3"]["answer_idx"] == 2
+
+
 def test_cache_is_reused(spark, tmp_path):
     calls = []
 
