@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import posixpath
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,9 +30,14 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def file_sizes(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """(path, bytes) of every file below; contents are not read."""
+    """(path, bytes) of every file below; contents are not read.
+
+    A scan passes empty files by, so the names come from the listing that the scan is made from and the driver has anyway.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([paths] if isinstance(paths, str) else list(paths))
-    return files.select("path", F.col("length").alias("bytes"))
+    names = spark.createDataFrame([(unquote(f),) for f in files.inputFiles()], "path string")
+    sizes = files.select(_bare(F.col("path")).alias("__bare"), F.col("length").alias("bytes"))
+    return names.withColumn("__bare", _bare(F.col("path"))).join(sizes, "__bare", "left").select("path", F.coalesce("bytes", F.lit(0)).alias("bytes"))
 
 
 def readable_runs(spark: SparkSession, folders: Sequence[str]) -> tuple[DataFrame | None, DataFrame]:

@@ -131,10 +131,10 @@ def test_task_scores(spark):
 
 def test_unique_sequences(spark):
     make = lambda first, count: K.sequences(spark.range(first, first + count), "id", "sort", 2, 4, 0, 5, "int")
-    pairs = K.unique_sequences(make, 12)
+    pairs = K.unique_sequences(spark, make, 12)
     assert pairs.count() == 12 and pairs.select("input").distinct().count() == 12
     with pytest.raises(ValueError):
-        K.unique_sequences(make, 500, max_rounds=2)
+        K.unique_sequences(spark, make, 500)
 
 
 def test_template(spark):
