@@ -96,9 +96,11 @@ def test_large_groups_of_near_copies(make, monkeypatch, blocks):
     assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got.collect()} == plain_jaccard(texts, 4, 85)
 
 
-def test_open_lists_are_searched_whole(make, monkeypatch):
-    """Without any round of homes after the first, the search of all open lists must find the rest alone."""
-    monkeypatch.setattr(jaccard_join, "MOST_ROUNDS", 1)
+@pytest.mark.parametrize("small", [0, 5, 64])
+def test_open_lists_are_settled_exactly(make, monkeypatch, small):
+    """Without any round of homes after the first, searched lists and counted pairs must find the rest alone."""
+    monkeypatch.setattr(jaccard_join, "MOST_ROUNDS", 0)
+    monkeypatch.setattr(jaccard_join, "SMALL_LIST", small)
     monkeypatch.setattr(jaccard_join, "DEPTH", 3)
     texts = copies(random.Random(8), 25, 8, 4)
     got = jaccard_join.jaccard_components(make(texts), words=3, percent=70)
