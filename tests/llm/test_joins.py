@@ -107,6 +107,49 @@ def test_open_lists_are_settled_exactly(make, monkeypatch, small):
     assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got.collect()} == plain_jaccard(texts, 3, 70)
 
 
+def test_sketches_never_rule_out_a_link():
+    r = np.random.default_rng(6)
+    ruled_out = 0
+    for size in (1, 2, 7, 8, 9, 60, 900, 6000):
+        for share in (0.0, 0.5, 0.8, 0.84, 0.86, 0.9, 0.97, 1.0):
+            x = np.unique(r.integers(0, 2**63, size).astype(np.uint64) * np.uint64(2) + r.integers(0, 2, size).astype(np.uint64))
+            own = r.integers(0, 2**63, int(size * r.uniform(0, 1.2)) + 1).astype(np.uint64)
+            y = np.unique(np.concatenate([x[:int(len(x) * share)], own[:int((1 - share) * size * r.uniform(0, 1.3))]]))
+            if not len(y):
+                continue
+            both = len(np.intersect1d(x, y))
+            for percent in (1, 60, 85, 100):
+                links = 100 * both >= percent * (len(x) + len(y) - both)
+                can = jaccard_join.can_link((len(x), len(y)), (jaccard_join.sketch(x), jaccard_join.sketch(y)), percent)
+                assert can or not links
+                ruled_out += not can
+    crowded = np.arange(4000, dtype=np.uint64) * np.uint64(1 << 20)  # all in one place, which counts to 255
+    assert jaccard_join.can_link((4000, 3900), (jaccard_join.sketch(crowded), jaccard_join.sketch(crowded[:3900])), 85)
+    assert ruled_out > 60
+
+
+def test_sets_that_share_enough_lists_both_keep_the_smallest(spark):
+    r = random.Random(8)
+    rows, lists = [], [(t, r.randint(2, 200), r.randint(1, 3)) for t in range(60)]
+    for node in range(30):
+        depth = r.randint(1, 16)
+        rows += [(t, node, 20, node, depth, c, w) for t, c, w in lists if r.random() < 0.4]
+    kept = jaccard_join._with_kept(spark.createDataFrame(rows, "token long, node long, n long, component long, depth int, c long, w long")).collect()
+    mine = defaultdict(dict)
+    for x in kept:
+        mine[x["node"]][x["token"]] = x
+    met = 0
+    for a in mine:
+        for b in mine:
+            shared = [(x["c"], -t, t) for t, x in mine[a].items() if t in mine[b]]
+            depth = max(next(iter(mine[k].values()))["depth"] for k in (a, b))
+            if a < b and sum(mine[a][t]["w"] for *_, t in shared) >= depth:
+                met += 1
+                least = min(shared)[2]
+                assert mine[a][least]["kept"] and mine[b][least]["kept"]
+    assert met > 50 and not all(x["kept"] for x in kept)
+
+
 def test_blocks_of_a_group_are_dealt_to_many_tasks(spark):
     members = spark.createDataFrame([(1, 2, 3, 2, "a b c d")], "home long, node long, n long, component long, text string")
     edges = jaccard_join._searched(members.withColumn("text", members["text"].cast("binary")), "home", 4, 85)
