@@ -74,5 +74,6 @@ def aggregate_scores(scored: DataFrame, dataset: str, scorers: dict[str, Scorer]
     for name, scorer in scorers.items():
         for check, value in scorer.missing.items():
             other = F.when((F.col(dataset) == name) & (F.col("check") == check), F.lit(float(value))).otherwise(other)
-    long = scored.select(dataset, F.explode("scores").alias("check", "value"))
+    # An inner explode would have the optimiser filter for non-empty maps below all checks, which repeats each check's expressions there.
+    long = scored.select(dataset, F.explode_outer("scores").alias("check", "value")).where(F.col("check").isNotNull())
     return long.groupBy(dataset, "check").agg(F.count("*").alias("n"), F.avg(F.coalesce(filled, other)).alias("mean"))
