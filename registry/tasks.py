@@ -8,10 +8,10 @@ from ratiocert.functions import tasks as T
 from ratiocert.operators import aggregates as A
 from ratiocert.plans import scorers as S
 from ratiocert.plans import tasks as K
-from ratiocert.session import scratch_path
+from ratiocert.session import scratch_path, spread_rows
 from ratiocert.sources import writers
 
-from .base import query, table, wide_table
+from .base import query, table
 from .certificates import rounded
 
 N_INT, N_CHAR, LENGTH, SEED = 12, 28, 9, 23633
@@ -35,7 +35,7 @@ SQL_TASK = {
 
 
 def _sequences(spark, sf, task):
-    orders = wide_table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    orders = spread_rows(table(spark, sf, "orders").select(F.col("o_orderkey").alias("id")))
     return K.sequences(orders, "id", task, LENGTH, N_INT, N_CHAR, SEED)
 
 
@@ -67,7 +67,8 @@ SQL_PROMPT = f"""concat('Q ', array_to_string(items, ' '), ' S ', {SQL_MARK}, '
 def tsk_prompt(spark, sf):
     s = _sequences(spark, sf, "sort")
     p = T.prompt(F.col("input"), "sort", 3, F.col("id"))
-    return s.select("id", p.alias("prompt"), F.concat(p, "answer").alias("sequence"), F.length(p).alias("len_prompt_text"))
+    return s.select("id", p.alias("prompt"), "answer").select(
+        "id", "prompt", F.concat("prompt", "answer").alias("sequence"), F.length("prompt").alias("len_prompt_text"))
 
 
 # Completed sequences: right ones, swapped answers, cut answers, missing start.
@@ -85,8 +86,8 @@ def _done(spark, sf):
         .when(F.col("id") % 4 == 2, F.slice("want", F.lit(1), F.greatest(F.size("want") - 1, F.lit(1))))
         .otherwise(F.col("want")))
     text = F.concat(T.prompt(F.col("input"), "sort", 3, F.col("id")), F.array_join(got, " "))
-    text = F.when(F.col("id") % 4 == 3, F.substring(text, F.lit(3), F.length(text))).otherwise(text)
-    return s.select("id", text.alias("text"))
+    cut = F.when(F.col("id") % 4 == 3, F.substring("text", F.lit(3), F.length("text"))).otherwise(F.col("text"))
+    return s.select("id", text.alias("text")).select("id", cut.alias("text"))
 
 
 def _checked(spark, sf):
