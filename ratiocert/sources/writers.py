@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .readers import file_sizes
 
 
@@ -35,7 +36,11 @@ def write_results(results: DataFrame, metrics: DataFrame, config: dict[str, str]
 
 
 def write_splits(pairs: DataFrame, path: str, order: str) -> None:
-    """A JSON table per split, and all pairs joined as text lines in id order."""
+    """A JSON table per split, and all pairs joined as text lines in id order.
+
+    The pairs are stored first: both outputs, and the look at the ids before they are ordered, would each make them again.
+    """
+    pairs = cut_lineage(pairs.select(order, "split", "input", "answer"))
     pairs.select("split", "input", "answer").write.mode("errorifexists").partitionBy("split").json(f"{path}/splits")
     lines = pairs.orderBy(order).select(F.concat_ws(" ", "input", "answer").alias("value"))
     lines.write.mode("errorifexists").text(f"{path}/all_text")
