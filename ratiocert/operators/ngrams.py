@@ -8,19 +8,23 @@ from pyspark.sql import functions as F
 from ..functions.seeded import seeded_key
 from ..functions.sequences import BOS, UNK
 from ..session import cut_lineage
-from .lookup import checked_broadcast, spread_left_join
+from .lookup import SMALL_TABLE, checked_broadcast, frequent_rows, spread_left_join
+
+
+# Up to this many ids of surplus copies are broadcast, so that no text moves to leave them out.
+SURPLUS_IDS = 2_000_000
 
 
 def distinct_by_digest(rows: DataFrame, doc_id: str, digest: str) -> DataFrame:
     """One row per digest, the one with the smallest id; ``rows`` should be stored.
 
     Only the ids of surplus copies are looked for: digests and ids are all that is shuffled, and the surplus is
-    taken out by a broadcast where a count allows it.
+    taken out by a broadcast where a count allows it; as ids they are short, so many more than rows of text may be.
     """
     ids = rows.select(doc_id, digest)
     copied = ids.groupBy(digest).agg(F.min(doc_id).alias("__keep"), F.max(doc_id).alias("__last")).where("__keep < __last")
     surplus = ids.join(copied, digest).where(F.col(doc_id) != F.col("__keep")).select(doc_id)
-    return rows.join(checked_broadcast(surplus), doc_id, "left_anti").drop(digest)
+    return rows.join(checked_broadcast(surplus, SURPLUS_IDS), doc_id, "left_anti").drop(digest)
 
 
 def half_of(text: Column, seed: int) -> Column:
@@ -94,13 +98,15 @@ def bigram_table(pairs: DataFrame, unigrams: DataFrame) -> DataFrame:
 
 
 def score_sequences(samples: DataFrame, sample_id: str, prompt: str, response: str, unigrams: DataFrame,
-                    pairs: DataFrame, lam: float = 0.6, scope: str = "y|x", carry: tuple[str, ...] = ()) -> DataFrame:
+                    pairs: DataFrame, lam: float = 0.6, scope: str = "y|x", carry: tuple[str, ...] = (),
+                    frequent_pairs: int = SMALL_TABLE) -> DataFrame:
     """(sample_id, carry, ll_model, ll_generator, n_token): natural-log scores of every sample.
 
     Under ``y|x`` the first response token is conditioned on the last prompt token, under ``y`` on
     the start token, and ``x+y`` scores prompt and response together. The generator is a unigram.
 
-    Each distinct (prev, tok) pair is scored once, and samples bring only their pair counts.
+    Each distinct (prev, tok) pair is scored once. Occurrences of frequent pairs are answered from a broadcast and summed where
+    their sample lies; only those of other pairs, none of them hot, meet their scores by a shuffle.
     """
     if scope == "y|x":
         last = F.coalesce(F.try_element_at(F.col(prompt), F.lit(-1)), F.lit(BOS))
@@ -111,23 +117,18 @@ def score_sequences(samples: DataFrame, sample_id: str, prompt: str, response: s
         grams = bigrams(F.concat(prompt, response), F.lit(BOS))
     else:
         raise ValueError(f"unknown scope {scope!r}")
-    used = cut_lineage(
-        samples.select(sample_id, *carry, F.explode(grams).alias("p"))
-        .groupBy(sample_id, *carry, "p.prev", "p.tok")
-        .agg(F.count(F.lit(1)).alias("times"))
-        .withColumn("pair", pair_key("prev", "tok"))
-    )
-    weights = used.groupBy("prev", "tok").agg(F.count(F.lit(1)).alias("samples"))
-    scored = cut_lineage(pair_scores(weights, unigrams, pairs, lam).withColumn("pair", pair_key("prev", "tok")))
-    return (
-        spread_left_join(used, scored, "pair", ["ln_model", "ln_generator"], "samples", F.xxhash64(sample_id, "pair"))
-        .groupBy(sample_id, *carry)
-        .agg(
-            F.sum(F.col("times") * F.col("ln_model")).alias("ll_model"),
-            F.sum(F.col("times") * F.col("ln_generator")).alias("ll_generator"),
-            F.sum("times").alias("n_token"),
-        )
-    )
+    weights = samples.select(F.explode(grams).alias("p")).groupBy("p.prev", "p.tok").agg(F.count(F.lit(1)).alias("samples"))
+    scored = cut_lineage(
+        pair_scores(weights, unigrams, pairs, lam).select(pair_key("prev", "tok").alias("pair"), "samples", "ln_model", "ln_generator"))
+    used = samples.select(sample_id, *carry, F.explode(grams).alias("p")).select(
+        sample_id, *carry, pair_key("p.prev", "p.tok").alias("pair"))
+    frequent, rare = frequent_rows(scored, "samples", frequent_pairs)
+    met = used.join(F.broadcast(frequent), "pair")
+    if rare is not None:
+        far = used.join(F.broadcast(frequent.select("pair")), "pair", "left_anti").join(rare, "pair")
+        met = met.unionByName(far)
+    return met.groupBy(sample_id, *carry).agg(
+        F.sum("ln_model").alias("ll_model"), F.sum("ln_generator").alias("ll_generator"), F.count(F.lit(1)).alias("n_token"))
 
 
 def pair_key(prev: str, tok: str) -> Column:
