@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lookup import checked_broadcast
+from ..operators.ordering import row_positions
 from ..session import cut_lineage
 from .readers import file_sizes
 
@@ -46,6 +48,7 @@ def write_splits(pairs: DataFrame, path: str, order: str) -> None:
     lines.write.mode("errorifexists").text(f"{path}/all_text")
 
 
+MANIFEST_TASKS = 1000  # a file is one task's work; beyond so many files they share tasks
 # Files with these endings are unpacked by the text source, so their bytes are read whole.
 PACKED = r"\.(gz|bz2|zst|lz4|snappy|deflate)$"
 
@@ -54,14 +57,20 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     """(path, file, bytes, md5) of every file below a folder, as ``md5sum`` gives them, for files of any size.
 
     A digest takes a file's bytes in order, so a file is one task's work. They arrive there as lines, sorted by their place
-    in the file, and only a batch of them is held. Packed files alone are taken whole, up to the 2 GB that Spark allows them.
+    in the file, and only a batch of them is held. Files are dealt out by their place in the order of their sizes, so that no two
+    meet in a task by chance. Packed files alone are taken whole, up to the 2 GB that Spark allows them.
     """
     files = file_sizes(spark, path)
     lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*").option("lineSep", "\n").text(path).select(
         F.col("value").cast("binary").alias("line"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"),
         F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"),
     ).where(~F.col("path").rlike(PACKED))
-    digests = lines.repartition("path").sortWithinPartitions("path", "block", "row").mapInArrow(_digests, "path string, bytes long, md5 string")
+    listed = cut_lineage(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")))
+    tasks = min(max(listed.count(), 1), MANIFEST_TASKS)
+    dealt = row_positions(listed, ["size", "path"], "spot").select("path", (F.col("spot") % tasks).cast("int").alias("task"))
+    placed = lines.join(checked_broadcast(dealt), "path").repartitionById(tasks, F.col("task"))
+    digests = placed.sortWithinPartitions("path", "block", "row").mapInArrow(_digests, "path string, bytes long, md5 string")
     packed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("path").rlike(PACKED))
     whole = packed.select("path", F.col("length").alias("bytes"), F.md5("content").alias("md5"))
     empty = files.where((F.col("bytes") == 0) & ~F.col("path").rlike(PACKED)).select("path", "bytes", F.md5(F.lit("")).alias("md5"))

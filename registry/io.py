@@ -195,7 +195,7 @@ def snk_manifest(spark, sf):
     """One file a part, its texts in id order: the digests are those of the files' bytes."""
     path = scratch_path(spark, "manifest")
     docs = table(spark, sf, "documents").select("text", "doc_id", (F.col("doc_id") % 4).alias("n"))
-    docs.repartition("n").sortWithinPartitions("n", "doc_id").select("text", "n").write.partitionBy("n").text(path)
+    docs.repartitionById(4, F.pmod("n", F.lit(4)).cast("int")).sortWithinPartitions("n", "doc_id").select("text", "n").write.partitionBy("n").text(path)
     found = writers.manifest(spark, path)
     return found.select(F.regexp_extract("path", "n=([0-9]+)/", 1).alias("part"), "bytes", "md5")
 
