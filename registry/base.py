@@ -94,7 +94,8 @@ gate AS (SELECT request_id, bool_and(first_ok IS NULL) AS abstained, count(*) AS
 
 
 def draws(spark: SparkSession, sf: str) -> DataFrame:
-    return wide_table(spark, sf, "lineitem").selectExpr(*_DRAW_COLUMNS)
+    """The window deals the rows out by request, so they are not spread over the cores before."""
+    return table(spark, sf, "lineitem").selectExpr(*_DRAW_COLUMNS)
 
 
 # --- prompt/response pairs: a user turn and the assistant turn right after it -------------------

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ratiocert.functions import sequences as Q
 from ratiocert.plans import certificates as C
 from ratiocert.plans import gate as G
-from ratiocert.session import scratch_path
+from ratiocert.session import cut_lineage, scratch_path
 from ratiocert.sources import cache, readers, writers
 
 from .base import (GATE_K, GATE_T, SQL_WORDS, V_GATE, V_ITEMS, V_PAIRS, V_SCORED, V_SCORES, draws, items, pairs, query, scores, table, wide_table)
@@ -162,7 +162,7 @@ def snk_csv(spark, sf):
   '{GATE_K}' AS k FROM gate""")
 def snk_results_json(spark, sf):
     path = scratch_path(spark, "gate")
-    decisions = G.run_gate(draws(spark, sf), GATE_K, GATE_T)
+    decisions = cut_lineage(G.run_gate(draws(spark, sf), GATE_K, GATE_T))  # written and reported on
     writers.write_results(decisions, G.gate_report(decisions), {"k": GATE_K, "T": GATE_T}, path)
     metrics = spark.read.schema("mean_abstained double").json(f"{path}/metrics").select(F.round("mean_abstained", 9).alias("mean_abstained"))
     config = spark.read.schema("name string, value string").json(f"{path}/config").where("name = 'k'").select(F.col("value").alias("k"))
