@@ -16,17 +16,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-from .base import bounded, sampled
-from .boosting import BoostedTrees, calibrate, fit_boosted, threshold_for
+from .base import Shelf, bounded, sampled
+from .boosting import BoostedTrees, calibrate_scores, fit_boosted_rows, listed, threshold_for
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_DOCS = 60_000  # about so many rows are looked at to train the trees; most of them hold no proposal
 PRECISION = 0.98
 Span = tuple[int, int]
 
@@ -186,6 +185,9 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     ]
 
 
+N_FEATURES = len(features("", KINDS[0], 0, 0))
+
+
 @dataclass
 class Scorer:
     trees: BoostedTrees | None = None
@@ -206,14 +208,18 @@ class Scorer:
         return [(k, *s) for k in KINDS for s in strict[k]] + extra
 
 
-def fit_scorer(docs: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE_DOCS, precision: float = PRECISION) -> Scorer:
-    """Trees and thresholds from about ``sample`` of the different proposals of about ``sample`` rows, both chosen by a digest:
-    of the id, and of the proposal itself, so that every part and label keeps the same share.
+def fit_scorer(docs: DataFrame, id_col: str, text_col: str, sample: int | None = None, precision: float = PRECISION) -> Scorer:
+    """Trees and thresholds from the different labelled proposals of all rows. A caller may name a ``sample``: then about so many
+    of the proposals of about so many rows, both chosen by a digest: of the id, and of the proposal itself, so that every part
+    and label keeps the same share.
 
-    Two thirds of the sampled rows train, the others calibrate; a kind's threshold is the lowest score at which the
-    calibration rows reach the precision. Without both labels in both parts, only strict spans are found.
+    Two thirds of the rows train, the others calibrate; a kind's threshold is the lowest score at which the
+    calibration rows reach the precision. Without both labels in both parts, only strict spans are found. Proposals stay in the
+    tasks: sums of the trees' levels, and counts of the calibration rows by kind, score and label, are what the driver gets.
     """
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").rlike(_WORTH_A_LOOK))
+    if sample is not None:
+        narrow = sampled(narrow, docs.count(), sample, "id")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,19 +235,34 @@ def fit_scorer(docs: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE
                 names=["x", "y", "part"],
             )
 
-    found = cut_lineage(
-        sampled(narrow, docs.count(), sample, "id").select("text").mapInArrow(describe, "x array<double>, y double, part int").distinct()
-    )
-    seen = sampled(found, found.count(), sample, "part", "y", "x").orderBy("part", "y", "x").toPandas()
-    if not len(seen):
-        return Scorer()
-    x, y, fit = np.stack(seen["x"].to_numpy()), seen["y"].to_numpy(), seen["part"].to_numpy() > 0
-    if min(len(set(y[fit])), len(set(y[~fit]))) < 2:
-        return Scorer()
-    trees = calibrate(fit_boosted(x[fit], y[fit]), x[~fit], y[~fit])
-    p, kind = trees.probability(x), x[:, 0]
-    held = {k: (~fit) & (kind == i) for i, k in enumerate(KINDS)}
-    return Scorer(trees, {k: threshold_for(p[m], y[m], precision) for k, m in held.items()})
+    shelf = Shelf()
+    found = shelf.keep(narrow.select("text").mapInArrow(describe, "x array<double>, y double, part int").distinct())
+    seen = found if sample is None else sampled(found, found.count(), sample, "part", "y", "x")
+    fit, held = seen.where("part > 0"), seen.where("part = 0")
+    both = seen.groupBy((F.col("part") > 0).alias("fit"), "y").count().count() == 4  # both labels in both parts
+    scorer = Scorer()
+    if both:
+        trees = fit_boosted_rows(fit, N_FEATURES)
+        counts = _score_counts(held, trees)
+        s, y, n = (counts[c].to_numpy() for c in ("score", "y", "n"))
+        trees = calibrate_scores(trees, s, y, n)
+        of_kind = {k: counts["kind"].to_numpy() == i for i, k in enumerate(KINDS)}
+        p = trees.scaled(s)
+        scorer = Scorer(trees, {k: threshold_for(p[m], y[m], precision, n[m]) for k, m in of_kind.items()})
+    shelf.drop(found)
+    return scorer
+
+
+def _score_counts(rows: DataFrame, trees: BoostedTrees) -> pd.DataFrame:
+    """How many of ``rows`` (x, y) have each (kind, score, y); raw scores are on a grid, so that there are few."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = listed(batch.column("x"), N_FEATURES)
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(trees.raw(x)), batch.column("y")], names=["kind", "score", "y"])
+
+    scored = rows.select("x", "y").mapInArrow(score, "kind double, score double, y double")
+    return scored.groupBy("kind", "score", "y").agg(F.count("*").alias("n")).orderBy("kind", "score", "y").toPandas()
 
 
 def _listed(spans: list[tuple[str, int, int]]) -> str:

@@ -93,6 +93,32 @@ def test_more_proposals_than_the_sample_still_train(make):
     assert scorer.trees is not None and scorer.threshold["phone"] <= 1
 
 
+def test_trees_learn_from_the_proposals_of_every_row(make, spark):
+    """The same trees and thresholds from some rows and from these among 130,000 others, which propose nothing."""
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 12)))
+    number = lambda: r.choice(["", "+"]) + "-".join(str(r.randint(10, 9999)) for _ in range(4))
+    few = make([(i, " ".join(f"{word()} {number()}" for _ in range(5))) for i in range(200)])
+    many = few.select("doc_id", "text").unionByName(spark.range(1000, 131_000).selectExpr("id AS doc_id", "concat('row ', id) AS text"))
+    one, two = (pii.fit_scorer(docs, "doc_id", "text") for docs in (few, many))
+    assert one.trees is not None and one.threshold == two.threshold and (one.trees.slope, one.trees.shift) == (two.trees.slope, two.trees.shift)
+    assert all((getattr(one.trees, a) == getattr(two.trees, a)).all() for a in ("feature", "cut", "value"))
+
+
+def test_trees_of_a_table_are_those_of_its_rows(spark):
+    from ratiocert.llm.boosting import fit_boosted, fit_boosted_rows, threshold_for
+
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 50, (500, 3)).astype(float)
+    y = ((x[:, 0] > 20) ^ (x[:, 1] > 30) ^ (rng.random(500) < 0.1)).astype(float)
+    rows = spark.createDataFrame([(a.tolist(), float(b)) for a, b in zip(x, y, strict=True)], "x array<double>, y double").repartition(5)
+    one, two = fit_boosted(x, y, rounds=4), fit_boosted_rows(rows, 3, rounds=4)
+    assert one.base == two.base and all((getattr(one, a) == getattr(two, a)).all() for a in ("feature", "cut", "value"))
+    assert ((one.raw(x) > 0) == y).mean() > 0.8
+    p, y, n = np.array([0.9, 0.9, 0.5, 0.1]), np.array([1.0, 0.0, 1.0, 0.0]), np.array([7, 1, 2, 5])
+    assert threshold_for(p, y, 0.85, n) == threshold_for(np.repeat(p, n), np.repeat(y, n), 0.85) == 0.5
+
+
 def test_spelled_addresses_and_national_phones_are_added(make):
     r = random.Random(6)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 9)))
