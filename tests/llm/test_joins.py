@@ -167,6 +167,37 @@ def test_divide_skip_finds_all_links():
         assert union_find(range(80), got) == union_find(range(80), links)
 
 
+def test_every_way_to_count_long_lists_finds_all_links(monkeypatch):
+    """By products in tiles, by setting lists aside, and by merging all; pairs that agree in a side don't count."""
+    r = np.random.default_rng(4)
+    for percent, far in ((30, 2), (60, 0), (85, 5)):
+        base = r.choice(90, (4, 45))
+        sets = [np.unique(np.append(base[i % 4][r.random(45) < 0.9], r.integers(90, 2000, 3))).astype(np.uint64) for i in range(90)]
+        sides = [r.integers(0, 30, 90), r.integers(0, 3, 90)]
+        differ = lambda a, b: all(s[a] != s[b] for s in sides)
+        links = [(a, b) for a in range(90) for b in range(a) if differ(a, b) and 100 * len(np.intersect1d(sets[a], sets[b])) >= percent * len(np.union1d(sets[a], sets[b]))]
+        monkeypatch.setattr(jaccard_join, "TILE", 90 * 7)
+        monkeypatch.setattr(jaccard_join, "LONG_LIST", far)
+        for dense in (2048, 0):
+            for share in (1, 12, 1000):
+                monkeypatch.setattr(jaccard_join, "DENSE_SHARE", share)
+                got = jaccard_join.linked(np.array([len(s) for s in sets]), sets, percent, sides, dense)
+                assert all(differ(a, b) for a, b in got) and union_find(range(90), got) == union_find(range(90), links)
+        assert links
+
+
+def test_only_sets_that_may_link_are_searched():
+    """A passage in common does not make a link; such sets used to meet each other all the same."""
+    passage = np.arange(40, dtype=np.uint64)
+    sets = [np.append(passage, np.arange(1000 * i, 1000 * i + 60, dtype=np.uint64)) for i in range(1, 50)]
+    owner, first = jaccard_join._shared_grams(np.full(49, 100), sets, 85, [np.arange(49)])
+    assert not len(owner) and not len(first)
+    sets += [sets[7].copy(), sets[8].copy()]
+    component = np.append(np.arange(50), 8)  # the last is known to belong to its copy
+    owner, first = jaccard_join._shared_grams(np.full(51, 100), sets, 85, [component])
+    assert set(owner.tolist()) == {7, 49} and len(first) == 100 and jaccard_join.linked(np.full(51, 100), sets, 85, [component]) == [(7, 49)]
+
+
 def test_jaccard_edges(odd, nothing):
     got = jaccard_join.jaccard_components(odd)
     assert got.columns == ["doc_id", "n_shingles", "component_id"]
