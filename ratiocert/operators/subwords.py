@@ -177,7 +177,7 @@ def learn_merges(corpus: DataFrame, tokens: Column, vocabulary: int | None = Non
     taken = set(spelled)
     free = (c for c in map(chr, range(FIRST_CODE, LAST_CODE + 1)) if c not in taken and ord(c) & 0xFFFE != 0xFFFE)
     learned: list[tuple[int, str, str, int]] = []
-    width = 64
+    width = least = min(64, most_pairs)  # with more, pairs that were not read would count as absent
     while len(learned) < wanted:
         pairs = cut_lineage(pair_counts(words))
         top = pairs.orderBy(F.col("freq").desc()).limit(most_pairs + 1).collect()
@@ -197,7 +197,7 @@ def learn_merges(corpus: DataFrame, tokens: Column, vocabulary: int | None = Non
             elif smaller or limit >= most_pairs:
                 break
             else:
-                limit *= 2
+                limit = min(limit * 2, most_pairs)
         width = max(min(limit, most_pairs), 1)
         merges: list[tuple[str, str, str]] = []
         if found is None:
@@ -206,7 +206,7 @@ def learn_merges(corpus: DataFrame, tokens: Column, vocabulary: int | None = Non
             spelled[symbol] = spelled[left] + spelled[right]
             learned.append((len(learned), spelled[left].decode(), spelled[right].decode(), top[0]["freq"]))
             merges.append((left, right, symbol))
-            width = max(width, 64)
+            width = max(width, least)
         else:
             few = _Merger([(r["island"], r["freq"]) for r in found.collect()], spelled, free)
             while len(learned) < wanted and (best := few.best()) and best[2] > floor:

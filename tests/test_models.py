@@ -120,6 +120,14 @@ def test_merges_in_rounds_keep_their_order(spark, most_islands, most_pairs):
     assert [(r["left"], r["right"], r["freq"]) for r in got] == brute_merges(texts, n)
 
 
+def test_merges_wait_for_pairs_that_were_not_read(spark):
+    """Of 45 equally frequent pairs a round reads four; a merge from these alone would go on to what the others make rarer."""
+    texts = [" ".join(a + b for a in "abcdefghij" for b in "abcdefghij" if a < b) + " aba aba"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = W.learn_merges(df, words(F.col("text")), rounds=5, most_pairs=3).orderBy("rank").collect()
+    assert [(r["left"], r["right"], r["freq"]) for r in got] == brute_merges(texts, 5)
+
+
 def test_merges_end_where_no_pair_is_left(spark):
     df = spark.createDataFrame([("ab ab c",), (None,)], "text string")
     assert W.learn_merges(df, words(F.col("text")), rounds=9).count() == 1
