@@ -22,6 +22,7 @@ SAMPLE_DOCS = 2500  # at most so many labelled rows train the model
 UNDETERMINED = "und"
 _U = np.uint64
 _SPAN = 64  # words per block of the forward-backward scan
+_GAP = b"   "  # after each text, so that no feature reaches into the next one
 
 
 def lowered(text: str | None) -> bytes:
@@ -36,12 +37,12 @@ class WordFeatures:
     """Letter runs of some lower-cased texts and the feature numbers of each."""
 
     def __init__(self, texts: list[bytes]):
-        joined = np.frombuffer(b" ".join(texts) + b"   ", np.uint8)
+        joined = np.frombuffer(_GAP.join([*texts, b""]), np.uint8)
         letter = ((joined >= 97) & (joined <= 122)) | (joined >= 128)
         edge = np.diff(letter.astype(np.int8), prepend=0)
         self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         begins = np.zeros(len(texts) + 1, np.int64)
-        np.cumsum([len(t) + 1 for t in texts], out=begins[1:])
+        np.cumsum([len(t) + len(_GAP) for t in texts], out=begins[1:])
         self.first = np.searchsorted(self.start, begins)
         self.bytes = joined.astype(_U)
 
@@ -85,10 +86,9 @@ class ChainModel:
             return out
         for slot in features.of_words():
             out += self.weight[slot]
+        places = np.stack([features.start, features.end], 1).ravel()
         for slot in features.of_places():
-            total = np.zeros((len(slot) + 1, len(self.labels)), np.float64)
-            np.cumsum(self.weight[slot], axis=0, dtype=np.float64, out=total[1:])
-            out += total[np.minimum(features.end, len(slot))] - total[np.minimum(features.start, len(slot))]
+            out += np.add.reduceat(self.weight[slot], places, axis=0, dtype=np.float64)[::2]
         return out
 
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -186,6 +187,15 @@ def test_every_way_to_count_long_lists_finds_all_links(monkeypatch):
         assert links
 
 
+def test_sets_of_many_texts_are_made_in_little_memory():
+    texts = [" ".join(f"w{k}x{i}" for i in range(130)).encode() for k in range(2000)]
+    tracemalloc.start()
+    n = sum(len(s) for s in jaccard_join._sets(texts, 4))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 2000 * 127 and peak < 20e6
+
+
 def test_only_sets_that_may_link_are_searched():
     """A passage in common does not make a link; such sets used to meet each other all the same."""
     passage = np.arange(40, dtype=np.uint64)

@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,6 +197,30 @@ def test_code_switched_text_gets_both_labels(make, spark):
     assert got[2]["lang_pred"] == "de" and got[3]["lang_pred"] == got[4]["lang_pred"] == "und" and got[4]["score"] == 0
 
 
+def test_words_at_the_end_of_a_text_do_not_see_the_next_text():
+    model = small_model()
+    texts = [b"the of ein", b"der die und", b"", "this é".encode()]
+    together = model.scores(crf.WordFeatures(texts))
+    assert np.array_equal(together, np.concatenate([model.scores(crf.WordFeatures([t])) for t in texts]))
+
+
+def test_language_of_a_batch_is_found_in_little_memory(make, monkeypatch):
+    """A batch of 2 MB takes less than 60 MB at any time, and rows get what they get alone."""
+    docs, model = make([(1, "the of")]), small_model()
+    taken = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: taken.append(f))
+    crf.predict_languages(docs, model)
+    texts = [("the of and with this der die und nicht " * 26)[k:] for k in range(40) for _ in range(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+    tracemalloc.start()
+    got = next(taken[0](iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    alone = next(taken[0](iter([batch.slice(77, 1)])))
+    assert alone.column("score")[0].as_py() == pytest.approx(got.column("score")[77].as_py(), abs=1e-12)
+
+
 def test_few_labels_fill_the_sample(spark, monkeypatch):
     docs = spark.range(5000).selectExpr("id AS doc_id", "'some words' AS text", "IF(id % 50 = 0, 'en', NULL) AS lang")
     monkeypatch.setattr(crf, "fit_chain", lambda texts, langs: len(texts))
