@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import bounded, bounded_sample
+from .base import SMALL_BATCH, bounded, bounded_sample
 from .tokens import chunked, mixed, powers
 
 BITS = 17
@@ -245,7 +245,7 @@ def predict_languages(docs: DataFrame, model: ChainModel | None, id_col: str = "
     no letter is ``und`` with score 0, as is every text without a model. Repeated rows are predicted each. Other
     columns are not kept, so that none can clash. An empty table gives an empty result.
     """
-    bounded(docs.sparkSession)
+    bounded(docs.sparkSession, SMALL_BATCH)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Shelf, bounded, sampled
+from .base import SMALL_BATCH, Shelf, bounded, sampled
 from .boosting import BoostedTrees, calibrate_scores, fit_boosted_rows, listed, threshold_for
 
 KINDS = ("email", "ip", "card", "phone")
@@ -287,7 +287,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ``redacted`` is the text with all of them replaced. Null texts count as empty and stay null. Repeated rows are treated
     each. Other columns are not kept, so that none can clash. An empty table gives an empty result.
     """
-    bounded(docs.sparkSession)
+    bounded(docs.sparkSession, SMALL_BATCH)
     scorer = scorer or fit_scorer(docs, id_col, text_col)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,7 +314,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def redact(docs: DataFrame, text_col: str = "text", scorer: Scorer | None = None, id_col: str = "doc_id") -> DataFrame:
     """All columns of ``docs``, with the chosen spans of the text replaced. Null texts stay null."""
-    bounded(docs.sparkSession)
+    bounded(docs.sparkSession, SMALL_BATCH)
     scorer = scorer or fit_scorer(docs, id_col, text_col)
     at = docs.columns.index(text_col)
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .base import bounded, word_count
+from .base import SMALL_BATCH, bounded, word_count
 from .tokens import Words, chunked, mixed
 
 SEED_WORDS = 5
@@ -179,7 +179,7 @@ def tile_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     Null and empty texts share nothing; items without words are left out; an empty test set leaves all texts clean.
     Repeated rows are judged each. Without ``keep``, columns other than the id are not kept, so that none can clash.
     """
-    bounded(docs.sparkSession)
+    bounded(docs.sparkSession, SMALL_BATCH)
     item_kind = benchmark.schema[item_col].dataType.simpleString()
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
