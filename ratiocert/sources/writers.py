@@ -50,7 +50,8 @@ def write_splits(pairs: DataFrame, path: str, order: str) -> None:
 
 MANIFEST_TASKS = 1000  # a file is one task's work; beyond so many files they share tasks
 # Files with these endings are unpacked by the text source, so their bytes are read whole.
-PACKED = r"\.(gz|bz2|zst|lz4|snappy|deflate)$"
+PACKED_ENDS = ("gz", "bz2", "zst", "lz4", "snappy", "deflate")
+PACKED = rf"\.({'|'.join(PACKED_ENDS)})$"
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -71,7 +72,9 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     dealt = row_positions(listed, ["size", "path"], "spot").select("path", (F.col("spot") % tasks).cast("int").alias("task"))
     placed = lines.join(checked_broadcast(dealt), "path").repartitionById(tasks, F.col("task"))
     digests = placed.sortWithinPartitions("path", "block", "row").mapInArrow(_digests, "path string, bytes long, md5 string")
-    packed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("path").rlike(PACKED))
+    # By name, since a filter of rows would come after their contents were read, those of all files.
+    packed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
+        "pathGlobFilter", f"*.{{{','.join(PACKED_ENDS)}}}").load(path).where(F.col("path").rlike(PACKED))
     whole = packed.select("path", F.col("length").alias("bytes"), F.md5("content").alias("md5"))
     empty = files.where((F.col("bytes") == 0) & ~F.col("path").rlike(PACKED)).select("path", "bytes", F.md5(F.lit("")).alias("md5"))
     found = digests.unionByName(whole).unionByName(empty)
